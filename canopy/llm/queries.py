@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, minhash, toxicity
+from . import bpe, caps, decontaminate, line_dedup, minhash, toxicity
 from ._common import table
 
 
+def op1_cap_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_cap_near_dedup": op1_cap_near_dedup,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
