@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, caps, decontaminate, line_dedup, minhash, toxicity
+from . import bpe, caps, decontaminate, extract, line_dedup, minhash, toxicity
 from ._common import table
 
 
@@ -30,6 +30,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extraction_report(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op7_toxicity": op7_toxicity,
+        "op8_html_extraction": op8_html_extraction,
         "op9_line_dedup": op9_line_dedup,
     }
 
