@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, caps, decontaminate, extract, line_dedup, minhash, toxicity
+from . import bpe, caps, decontaminate, extract, line_dedup, minhash, surrogates, toxicity
 from ._common import table
 
 
@@ -38,6 +38,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.surrogate_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cap_near_dedup": op1_cap_near_dedup,
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": op7_toxicity,
         "op8_html_extraction": op8_html_extraction,
         "op9_line_dedup": op9_line_dedup,
+        "op10_pii_surrogates": op10_pii_surrogates,
     }
 
 
