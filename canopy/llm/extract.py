@@ -158,18 +158,20 @@ FEATURES = [
 _AT = {name: k for k, name in enumerate(FEATURES)}
 
 
-@lru_cache(20_000)
-def _context(tags: tuple[str, ...], names: tuple[str, ...]) -> tuple[int, ...]:
+def _context(tags: tuple[str, ...], names: tuple[str, ...]) -> list[int]:
     found = {_AT["bias"]} | {_AT[f"in_{t}"] for t in tags if f"in_{t}" in _AT} | {_AT[f"part_{_PART_OF[n]}"] for n in names if n in _PART_OF}
     own = next((t for t in reversed(tags) if t in BLOCKS), "")
     kind = "own_heading" if re.fullmatch("h[1-6]", own) else f"own_{own}"
-    return tuple(sorted(found | ({_AT[kind]} if kind in _AT else set())))
+    return sorted(found | ({_AT[kind]} if kind in _AT else set()))
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), len(FEATURES)), np.float64)
+    contexts: dict[tuple, list[int]] = {}
     for k, b in enumerate(blocks):
-        x[k, list(_context(b.tags, b.names))] = 1
+        if (context := contexts.get((b.tags, b.names))) is None:
+            context = contexts[b.tags, b.names] = _context(b.tags, b.names)
+        x[k, context] = 1
         words = b.text.count(" ") + 1
         for size in (3, 10, 25, 60):
             x[k, _AT[f"words_{size}"]] = words >= size
@@ -338,12 +340,13 @@ def main_text(page: str | None, chain: Chain) -> str:
 def extract(pages: DataFrame, *, html_col: str = "html", out_col: str = "text", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The kept columns with the main text of each page."""
     source = pages.select(*keep, F.col(html_col).cast("string").alias("__html"))
-    chain = source.sparkSession.sparkContext.broadcast(trained_chain())
+    weights = source.sparkSession.sparkContext.broadcast((trained_chain().emission, trained_chain().transition))
     schema = source.select(*keep, F.lit("").alias(out_col)).schema
 
     def run(batches):
+        chain = Chain(*weights.value)
         for batch in batches:
-            texts = [main_text(p, chain.value) for p in batch["__html"].to_pylist()]
+            texts = [main_text(p, chain) for p in batch["__html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch[k] for k in keep], pa.array(texts, pa.string())], names=[*keep, out_col])
 
     return source.mapInArrow(run, schema)

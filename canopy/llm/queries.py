@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, caps, decontaminate, extract, line_dedup, minhash, surrogates, toxicity
+from . import bpe, caps, decontaminate, extract, line_dedup, lm, minhash, surrogates, toxicity
 from ._common import table
 
 
@@ -26,6 +26,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_toxicity": op7_toxicity,
         "op8_html_extraction": op8_html_extraction,
         "op9_line_dedup": op9_line_dedup,
