@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, caps, decontaminate, extract, line_dedup, lm, minhash, surrogates, toxicity
+from . import bpe, caps, decontaminate, extract, line_dedup, lm, minhash, suffix_dedup, surrogates, toxicity
 from ._common import table
 
 
@@ -22,6 +22,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_report(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_cap_near_dedup": op1_cap_near_dedup,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_bpe_round_trip": op3_bpe_round_trip,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_lm_scoring": op6_lm_scoring,
         "op7_toxicity": op7_toxicity,
