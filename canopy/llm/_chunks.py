@@ -1,69 +1,103 @@
 """Documents as chunks that share one local dictionary.
 
 A chunk holds consecutive documents of one input partition, some megabytes of text. Its distinct tokens are numbered by
-falling frequency and its documents become sequences of those numbers, packed by byte plane and compressed. What must be
-known about each token (its ids, its count) can then be worked out once for each distinct token of the corpus and joined
-back to the chunks, so that a shuffle carries each token once for a chunk and not once for an occurrence.
-
-A chunk is bounded by CHUNK_BYTES of text, or one document where that is longer. The table is staged, so both sides of
-the join back see the same numbering even if an executor is lost.
+falling frequency and its documents become sequences of those numbers, packed by byte plane and compressed. The tokens
+themselves go to buckets by a hash of the token, one packed row for each bucket of a chunk. All chunks' rows of a bucket
+meet in one task (the shuffle of distinct tokens), where what must be known about a token (its ids, its count) is worked
+out once, and the answers return to the chunks in the order of the tokens.
+
+A chunk is bounded by CHUNK_BYTES of text, or one document where that is longer. A bucket holds a share of the corpus's
+distinct tokens for each chunk; buckets are as many as the shuffle partitions, so that setting bounds a task, and a
+frequent token has one entry a chunk however often it occurs. The table is staged, bucketed by chunk: both sides of the
+join back see the same numbering even if an executor is lost, and the texts' side is not shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import staged
+from ._common import shared_root
 
 CHUNK_BYTES = 8 << 20
 
 
-def pack(codes: np.ndarray) -> bytes:
-    planes = 1 if not codes.size else max(1, (int(codes.max()).bit_length() + 7) // 8)
-    split = codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 below 2^31, byte plane by byte plane, compressed."""
+    planes = 1 if not numbers.size else max(1, (int(numbers.max()).bit_length() + 7) // 8)
+    split = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T
     return bytes([planes]) + zstandard.ZstdCompressor(level=1).compress(split.tobytes())
 
 
 def unpack(packed: bytes) -> np.ndarray:
     planes = packed[0]
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8).reshape(planes, -1)
-    codes = np.zeros(raw.shape[1], np.int64)
-    for k in range(planes):
-        codes |= raw[k].astype(np.int64) << (8 * k)
-    return codes
+    out = np.zeros((raw.shape[1], 4), np.uint8)
+    out[:, :planes] = raw.T
+    return out.reshape(-1).view("<i4")
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    lengths = pack(np.fromiter(map(len, words), np.int64, len(words)))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    at = 4 + int.from_bytes(packed[:4], "little")
+    ends = np.cumsum(unpack(packed[4:at]), dtype=np.int64).tolist()
+    joined = zstandard.ZstdDecompressor().decompress(packed[at:])
+    return [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs flat[starts[p] : starts[p] + lengths[p]] for each p of picks, end to end, and each one's length."""
     n = lengths[picks]
-    ends = np.cumsum(n)
+    ends = np.cumsum(n, dtype=np.int64)
     where = np.repeat(starts[picks] - (ends - n), n) + np.arange(ends[-1] if n.size else 0)
     return flat[where], n
 
 
-def chunk_table(
-    documents: DataFrame, keep: list[str], text_col: str, split: Callable[[str], list], *, binary: bool = False, chunk_bytes: int = CHUNK_BYTES
-) -> DataFrame:
-    """Stage rows (chunk, rows array<struct of keep>, lens array<int>, codes binary, words array<binary>)."""
+class Chunks:
+    """The staged table: texts (chunk, rows, lens, codes, buckets) and tokens (chunk, bucket, words, counts)."""
+
+    def __init__(self, table: DataFrame):
+        self.texts = table.where("bucket is null").select("chunk", "rows", "lens", "codes", "buckets")
+        self.tokens = table.where("bucket is not null").select("chunk", "bucket", "words", "counts")
+
+
+def chunked(
+    documents: DataFrame,
+    keep: list[str],
+    text_col: str,
+    split: Callable[[str], list],
+    *,
+    binary: bool = False,
+    counted: str | None = None,
+    chunk_bytes: int = CHUNK_BYTES,
+) -> Chunks:
+    """Split the texts into tokens and stage them. counts holds each token's occurrences in rows where `counted` is true."""
+    spark = documents.sparkSession
     source = documents.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    row_type = source.schema["row"].dataType
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    binaries = ("codes", "buckets", "words", "counts")
     schema = T.StructType(
         [
             T.StructField("chunk", T.LongType()),
-            T.StructField("rows", T.ArrayType(row_type)),
+            T.StructField("bucket", T.IntegerType()),
+            T.StructField("rows", T.ArrayType(source.schema["row"].dataType)),
             T.StructField("lens", T.ArrayType(T.IntegerType())),
-            T.StructField("codes", T.BinaryType()),
-            T.StructField("words", T.ArrayType(T.BinaryType())),
+            *[T.StructField(b, T.BinaryType()) for b in binaries],
         ]
     )
 
@@ -72,58 +106,80 @@ def chunk_table(
         rows: list[pa.Array] = []
         numbers: defaultdict = defaultdict(count().__next__)
         parts: list[np.ndarray] = []
-        size = 0
+        size, row_type = 0, None
+
+        def record(chunk: int, bucket: int | None, held: pa.Array | None, lens: list[int] | None, *packed: bytes | None) -> pa.RecordBatch:
+            held = pa.nulls(1, pa.list_(row_type)) if held is None else pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
+            arrays = [pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), held, pa.array([lens], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([*arrays, *[pa.array([p], pa.binary()) for p in packed]], names=schema.names)
 
-        def flush() -> pa.RecordBatch:
-            codes = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        def flush() -> Iterator[pa.RecordBatch]:
+            chunk, held = next(serial), pa.concat_arrays(rows)
+            codes = np.concatenate(parts)
             order = np.argsort(-np.bincount(codes, minlength=len(numbers)), kind="stable")
-            rank = np.empty(len(numbers), np.int64)
-            rank[order] = np.arange(len(numbers))
+            rank = np.empty(len(numbers), np.int32)
+            rank[order] = np.arange(len(numbers), dtype=np.int32)
+            codes = rank[codes]
             tokens = list(numbers)
-            words = [tokens[i] if binary else tokens[i].encode() for i in order]
-            all_rows = pa.concat_arrays(rows)
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([next(serial)], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array([0, len(all_rows)], pa.int32()), all_rows),
-                    pa.array([[len(p) for p in parts]], pa.list_(pa.int32())),
-                    pa.array([pack(rank[codes])], pa.binary()),
-                    pa.array([words], pa.list_(pa.binary())),
-                ],
-                names=schema.names,
-            )
+            tokens = [tokens[i] if binary else tokens[i].encode() for i in order]
+            homes = np.fromiter((xxhash.xxh3_64_intdigest(t) % partitions for t in tokens), np.int64, len(tokens))
+            yield record(chunk, None, held, [len(p) for p in parts], pack(codes), pack(homes), None, None)
+            counts = np.zeros(0, np.int64)
+            if counted:
+                mask = np.repeat(held.field(counted).to_numpy(zero_copy_only=False).astype(bool), [len(p) for p in parts])
+                counts = np.bincount(codes[mask], minlength=len(tokens))
+            by_home = np.argsort(homes, kind="stable")
+            homes_in, starts = np.unique(homes[by_home], return_index=True)
+            for home, own in zip(homes_in.tolist(), np.split(by_home, starts[1:]), strict=True) if len(tokens) else ():
+                yield record(chunk, home, None, None, None, None, pack_words([tokens[i] for i in own]), pack(counts[own]) if counted else None)
             rows.clear()
             parts.clear()
             numbers.clear()
             numbers.default_factory = count().__next__
-            return out
 
         for batch in batches:
-            texts = batch["text"].cast(pa.binary()).to_pylist() if binary else batch["text"].to_pylist()
+            row_type = batch["row"].type
+            texts = batch["text"].cast(pa.binary()) if binary else batch["text"]
             begun = 0
-            for i, text in enumerate(texts):
+            for i in range(batch.num_rows):
+                text = texts[i].as_py()
                 tokens = split(text) if text else ()
-                parts.append(np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)))
+                parts.append(np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens)))
                 size += len(text or "")
                 if size >= chunk_bytes:
                     rows.append(batch["row"].slice(begun, i + 1 - begun))
                     begun, size = i + 1, 0
-                    yield flush()
-            if begun < len(texts):
+                    yield from flush()
+            if begun < batch.num_rows:
                 rows.append(batch["row"].slice(begun))
         if rows:
-            yield flush()
+            yield from flush()
+
+    name = f"canopy_chunks_{uuid.uuid4().hex}"
+    writer = source.mapInArrow(run, schema).write.format("parquet").option("path", f"{shared_root(spark)}/{name}").option("compression", "zstd")
+    writer.bucketBy(partitions, "chunk").saveAsTable(name)
+    table = spark.table(name)
+    found = Chunks(table)
+    spark.sql(f"DROP TABLE {name}")  # the files stay; the frames above refer to them
+    return found
+
 
-    return staged(source.mapInArrow(run, schema), "chunks")
+def answered(chunks: Chunks, answer: Callable[[list[list[bytes]], list[np.ndarray]], list[bytes]]) -> DataFrame:
+    """chunks.texts with answers: array of (bucket, packed) where answer gave packed for the tokens of each row of a bucket."""
 
+    def run(table: pa.Table) -> pa.Table:
+        counts = [unpack(c) if c else np.zeros(0, np.int64) for c in table["counts"].to_pylist()]
+        packed = answer([unpack_words(w) for w in table["words"].to_pylist()], counts)
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "packed": pa.array(packed, pa.binary())})
 
-def chunk_words(chunks: DataFrame) -> DataFrame:
-    """Rows (chunk, code, word): each chunk's distinct tokens."""
-    return chunks.select("chunk", F.posexplode("words").alias("code", "word"))
+    answers = chunks.tokens.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, packed binary")
+    together = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "packed")).alias("answers"))
+    return chunks.texts.join(together, "chunk", "left")
 
 
-def with_dictionary(chunks: DataFrame, facts: DataFrame) -> DataFrame:
-    """Join facts (chunk, code, and columns about the word) back as one array a chunk; bounded by a chunk's distinct words."""
-    about = [c for c in facts.columns if c != "chunk"]
-    dictionary = facts.groupBy("chunk").agg(F.collect_list(F.struct(*about)).alias("dictionary"))
-    return chunks.drop("words").join(dictionary, "chunk", "left")
+def token_places(buckets: bytes) -> dict[int, np.ndarray]:
+    """For each bucket, the numbers of its tokens in the order of its packed rows."""
+    homes = unpack(buckets)
+    by_home = np.argsort(homes, kind="stable")
+    found, starts = np.unique(homes[by_home], return_index=True)
+    return dict(zip(found.tolist(), np.split(by_home, starts[1:]), strict=True)) if homes.size else {}

@@ -13,6 +13,7 @@ ignored; ids outside the vocabulary raise an error.
 from __future__ import annotations
 
 import base64
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -23,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._chunks import CHUNK_BYTES, chunk_table, chunk_words, gather, unpack, with_dictionary
+from ._chunks import CHUNK_BYTES, answered, chunked, gather, pack, token_places, unpack
 from ._common import per_batch
 
+ROWS_OUT = 500
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -50,35 +52,53 @@ def encode(
     def pieces(text: str) -> list[str]:
         return regex.findall(pattern, text)
 
-    def encode_words(batches):
+    def encode_words(lists: list[list[bytes]], counts: list[np.ndarray]) -> list[bytes]:
         bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocabulary.value, special_tokens={})
-        for batch in batches:
-            ids = [np.array(bpe._encode_single_piece(w), "<u4").tobytes() for w in batch[0].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(ids, pa.binary())], names=["word", "ids"])
+        known: dict[bytes, list[int]] = {}
+        out = []
+        for words in lists:
+            for w in words:
+                if w not in known:
+                    known[w] = bpe._encode_single_piece(w)
+            found = [known[w] for w in words]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            out.append(_pair(pack(lengths), pack(np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum())))))
+        return out
 
     def assemble(batch: pa.RecordBatch):
         for i in range(batch.num_rows):
             rows, lens = batch["rows"][i].values, np.array(batch["lens"][i].values, np.int64)
-            codes, dictionary = unpack(batch["codes"][i].as_py()), batch["dictionary"][i].values
-            found, n = np.zeros(0, "<u4"), np.zeros(0, np.int64)
-            if codes.size:
-                order = np.argsort(np.array(dictionary.field("code")))
-                encoded = [dictionary.field("ids")[int(k)].as_py() for k in order]
-                lengths = np.fromiter((len(x) // 4 for x in encoded), np.int64, len(encoded))
-                found, n = gather(np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(encoded), "<u4"), codes)
-            ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(lens)])]
-            out = [found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.field("id"), pa.array(out, pa.binary())], names=["id", "ids"])
+            codes, places = unpack(batch["codes"][i].as_py()), token_places(batch["buckets"][i].as_py())
+            total = sum(p.size for p in places.values())
+            lengths, starts, flat, at = np.zeros(total, np.int32), np.zeros(total, np.int64), [np.zeros(0, np.int32)], 0
+            for part in batch["answers"][i].as_py() or ():
+                n, ids = map(unpack, _unpair(part["packed"]))
+                lengths[places[part["bucket"]]] = n
+                starts[places[part["bucket"]]] = at + np.cumsum(n, dtype=np.int64) - n
+                flat.append(ids)
+                at += ids.size
+            every = np.concatenate(flat)
+            ends = np.cumsum(lens)
+            for first in range(0, len(lens), ROWS_OUT):
+                last = min(first + ROWS_OUT, len(lens))
+                out = [gather(starts, lengths, every, codes[ends[k] - lens[k] : ends[k]])[0].tobytes() for k in range(first, last)]
+                yield pa.RecordBatch.from_arrays([rows.field("id").slice(first, last - first), pa.array(out, pa.binary())], names=["id", "ids"])
 
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chunks = chunk_table(source, ["id"], "text", pieces, chunk_bytes=chunk_bytes)
-    words = chunk_words(chunks)
-    encoded = words.select("word").distinct().mapInArrow(encode_words, "word binary, ids binary")
-    joined = with_dictionary(chunks, words.join(encoded, "word").select("chunk", "code", "ids"))
+    joined = answered(chunked(source, ["id"], "text", pieces, chunk_bytes=chunk_bytes), encode_words)
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("ids", T.BinaryType())])
     return joined.mapInArrow(per_batch(assemble), schema).withColumnRenamed("id", id_col)
 
 
+def _pair(a: bytes, b: bytes) -> bytes:
+    return len(a).to_bytes(4, "little") + a + b
+
+
+def _unpair(packed: bytes) -> tuple[bytes, bytes]:
+    at = 4 + int.from_bytes(packed[:4], "little")
+    return packed[4:at], packed[at:]
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """encoded with the bytes that its ids stand for."""
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -94,7 +114,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids",
         for batch in batches:
             out = []
             for ids in batch[ids_col].to_pylist():
-                out.append(gather(starts, lengths, flat, np.frombuffer(ids or b"", "<u4"))[0].tobytes())
+                out.append(gather(starts, lengths, flat, np.frombuffer(ids or b"", "<i4"))[0].tobytes())
             yield pa.RecordBatch.from_arrays([*[batch[n] for n in kept], pa.array(out, pa.binary())], names=[*kept, out_col])
 
     return encoded.select(*kept).mapInArrow(run, schema)
