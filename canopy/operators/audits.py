@@ -66,8 +66,8 @@ class Context:
         return outliers(self)
 
 
-def finding(name: str, rows: DataFrame, **columns: Column) -> DataFrame:
-    have = {"audit": F.lit(name)} | columns
+def finding(audit_name: str, rows: DataFrame, /, **columns: Column) -> DataFrame:
+    have = {"audit": F.lit(audit_name)} | columns
     return rows.select(*[(have[c] if c in have else F.col(c) if c in rows.columns else F.lit(None)).cast(TYPES.get(c, "string")).alias(c) for c in FINDING])
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.functions import text
+from canopy.functions import text, vectors
 
 LEAVES = ("function", "type")
 HELPER_CALLERS = 2
@@ -82,8 +82,8 @@ def nearest_common_directory(paths: Column) -> Column:
     folders = F.transform(paths, lambda p: F.slice(F.split(p, "/"), 1, F.size(F.split(p, "/")) - 1))
     return F.array_join(
         F.aggregate(
-            F.slice(folders, 2, F.size(folders)),
-            F.element_at(folders, 1),
+            F.slice(folders, 2, F.greatest(F.size(folders), F.lit(0))),
+            F.get(folders, 0),
             lambda a, b: F.filter(F.transform(a, lambda x, i: F.when(F.slice(a, 1, i + 1) == F.slice(b, 1, i + 1), x)), lambda x: x.isNotNull()),
         ),
         "/",
@@ -92,7 +92,7 @@ def nearest_common_directory(paths: Column) -> Column:
 
 def in_file_patterns(nodes: DataFrame, depth: int = 0) -> DataFrame:
     """Rows (parent_key, tag, members, pattern_key) of the groups that two or more leaves of one parent make at a tag depth."""
-    tagged = nodes.where(is_leaf(F.col("kind")) & (F.size("patterns") > depth)).withColumn("tag", F.element_at("patterns", depth + 1))
+    tagged = nodes.where(is_leaf(F.col("kind")) & (F.size("patterns") > depth)).withColumn("tag", F.get("patterns", depth))
     groups = tagged.groupBy("parent_key", "tag").agg(F.count("*").alias("members"), F.min("ord").alias("first_ord")).where(F.col("members") >= MIN_PATTERN)
     return groups.withColumn("pattern_key", F.concat_ws(":", F.lit("pattern"), "parent_key", "tag"))
 
@@ -104,7 +104,7 @@ def group_patterns(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     current = nodes
     for depth in range(levels):
         groups = in_file_patterns(current, depth)
-        tag = F.when(is_leaf(F.col("kind")) & (F.size("patterns") > depth), F.element_at("patterns", depth + 1))
+        tag = F.when(is_leaf(F.col("kind")) & (F.size("patterns") > depth), F.get("patterns", depth))
         moved = current.withColumn("_tag", tag).join(
             groups.select(F.col("parent_key").alias("_gp"), F.col("tag").alias("_gt"), "pattern_key"), (F.col("parent_key") == F.col("_gp")) & (F.col("_tag") == F.col("_gt")), "left"
         )
@@ -120,8 +120,6 @@ def group_patterns(nodes: DataFrame, levels: int | None = None) -> DataFrame:
             F.max("parent_key").alias("parent_key"),
             F.bool_and("util").alias("util"),
         )
-        from canopy.functions import vectors
-
         means = members.groupBy("pattern_key").agg(vectors.centroid(F.col("identity")).alias("identity"), vectors.centroid(F.col("leaf")).alias("leaf"))
         containers = containers.join(means, "pattern_key").withColumn("kind", F.lit("pattern")).withColumnRenamed("pattern_key", "key")
         containers = containers.withColumn("patterns", F.array().cast("array<string>"))
@@ -132,7 +130,7 @@ def group_patterns(nodes: DataFrame, levels: int | None = None) -> DataFrame:
 
 def cross_file_patterns(nodes: DataFrame) -> DataFrame:
     """Rows (tag, files, directory_key): tags of two files or more, at the nearest directory common to them."""
-    tagged = nodes.where(is_leaf(F.col("kind")) & (F.size("patterns") > 0)).select(F.element_at("patterns", 1).alias("tag"), "path")
+    tagged = nodes.where(is_leaf(F.col("kind")) & (F.size("patterns") > 0)).select(F.get("patterns", 0).alias("tag"), "path")
     # One path a folder is enough for the common directory, so the array is bounded by folders, not by units.
     folders = tagged.groupBy("tag", text.parent_path(F.col("path")).alias("folder")).agg(F.min("path").alias("path"), F.count_distinct("path").alias("files"))
     groups = folders.groupBy("tag").agg(F.sum("files").alias("files"), F.sort_array(F.collect_list("path")).alias("paths")).where("files >= 2")

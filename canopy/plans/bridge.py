@@ -95,8 +95,18 @@ def _containers(children: DataFrame, kind: str, prefix: str, depth: int, base: i
     )
 
 
+_KEPT: dict[tuple[str, str], DataFrame] = {}
+
+
 def vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All nodes; ord follows: units by vec_id, then files, then the root and the directories."""
+    """All nodes, kept in memory and on disk for the session; ord: units by vec_id, then files, the root, the directories."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _KEPT:
+        _KEPT[known] = build_tree(spark, sf_dir)
+    return _KEPT[known].persist()
+
+
+def build_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = unit_rows(table(spark, sf_dir, "embeddings"))
     number = F.regexp_extract(F.col("parent_key"), r"L(\d+)", 1).cast("long")
     file_number = F.regexp_extract(F.col("parent_key"), r"F(\d+)$", 1).cast("long")
