@@ -29,7 +29,7 @@ NEUTRAL = "Dr Prof".split()
 LATIN = "ba de fi go lu ma ne pi ro sa te vi ka lo mi na".split()
 CYRILLIC = "ба де фи го лу ма не пи ро са те ви ка ло ми на".split()
 
-_TITLE = "|".join([*MALE, *FEMALE, *NEUTRAL])
+_TITLE = "|".join(sorted([*MALE, *FEMALE, *NEUTRAL], key=len, reverse=True))  # Mrs before Mr
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _EMAIL = r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}"
 _IP = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)"
