@@ -3,6 +3,7 @@
 A byte string of LENGTH bytes is known by an anchor: the smallest hash among its GRAM-byte strings. Equal strings have
 equal anchors, and neighbouring strings mostly share one, so a document falls into runs of strings with one anchor.
 
+0. Texts that a smaller document has whole are known by a digest, wholly removed, and left out of what follows.
 1. The anchors of each chunk of documents meet in buckets; those that occur in two documents or more go on.
 2. The runs with such an anchor meet in buckets, once for each distinct run of a chunk, with the smallest id that holds it.
    A run that a smaller document holds too is settled. For the others, the strings inside all runs of one anchor are
@@ -23,6 +24,7 @@ removed for the other's sake; rows with a null id neither lose anything nor coun
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from itertools import count
 
 import numpy as np
@@ -178,7 +180,7 @@ def _unframed(whole: bytes) -> list[bytes]:
 
 
 def _text_chunks(documents: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """Staged rows (chunk, ids, texts), bucketed by chunk."""
+    """Staged rows (chunk, ids, texts, digests), bucketed by chunk."""
     spark = documents.sparkSession
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
@@ -187,7 +189,9 @@ def _text_chunks(documents: DataFrame, id_col: str, text_col: str, chunk_bytes:
         ids, texts, size = [], [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([next(serial)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary()))], names=["chunk", "ids", "texts"])
+            digests = [xxhash.xxh3_128_digest(t) if t else None for t in texts]
+            arrays = [pa.array([next(serial)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary())), pa.array([digests], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays(arrays, names=["chunk", "ids", "texts", "digests"])
 
         for batch in batches:
             held = batch["id"].to_pylist()
@@ -202,7 +206,7 @@ def _text_chunks(documents: DataFrame, id_col: str, text_col: str, chunk_bytes:
             yield flush()
 
     name = f"canopy_texts_{uuid.uuid4().hex}"
-    writer = source.mapInArrow(run, "chunk long, ids array<long>, texts array<binary>").write.format("parquet")
+    writer = source.mapInArrow(run, "chunk long, ids array<long>, texts array<binary>, digests array<binary>").write.format("parquet")
     writer = writer.option("path", f"{shared_root(spark)}/{name}").option("compression", "zstd")
     writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(name)
     table = spark.table(name)
@@ -211,63 +215,79 @@ def _text_chunks(documents: DataFrame, id_col: str, text_col: str, chunk_bytes:
     return found
 
 
+def _without_copies(texts: DataFrame) -> DataFrame:
+    """texts with copies: the places of texts that a document with a smaller id has whole."""
+    each = texts.select("chunk", F.posexplode(F.arrays_zip("ids", "digests")).alias("place", "x")).select("chunk", "place", "x.ids", "x.digests").where("ids is not null and digests is not null")
+    first = each.groupBy("digests").agg(F.min("ids").alias("low"))
+    later = each.join(first, "digests").where("low < ids").groupBy("chunk").agg(F.collect_list("place").alias("copies"))
+    return texts.select("chunk", "ids", "texts").join(staged(later, "copies"), "chunk", "left")
+
+
 def _back(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "packed")).alias(name))
 
 
+def _parted(homes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The places of each value, in order."""
+    order = np.argsort(homes, kind="stable")
+    found, starts = np.unique(homes[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, starts[1:]), strict=True)) if homes.size else []
+
+
 def _anchor_lists(runs: Runs, ids: list[int | None], buckets: int):
     """For each bucket: the distinct anchors in order, how often each occurs, whether in several documents here."""
     order = np.argsort(runs.anchor, kind="stable")
     anchors, begin, n = np.unique(runs.anchor[order], return_index=True, return_counts=True)
-    own = np.array([i if i is not None else 0 for i in ids], np.int64)[runs.text[order]] if order.size else np.zeros(0, np.int64)
-    if anchors.size:
-        several = np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)
-    else:
-        several = np.zeros(0, bool)
-    home = (anchors % _U(buckets)).astype(np.int64)
-    for b in np.unique(home).tolist():
-        at = np.flatnonzero(home == b)
+    if not anchors.size:
+        return
+    own = np.array([i if i is not None else 0 for i in ids], np.int64)[runs.text[order]]
+    several = np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)
+    for b, at in _parted((anchors % _U(buckets)).astype(np.int64)):
         yield b, anchors[at], n[at], several[at], at
-    return
 
 
 SINGLE, SHARED, WIDE = 0, 1, 2
 
 
-def _flags(runs: Runs, ids: list[int | None], buckets: int, answers: list[dict]) -> np.ndarray:
+def _flags(runs: Runs, buckets: int, answers: list[dict]) -> np.ndarray:
     """For each run, whether its anchor is single, shared or hot."""
     distinct = np.unique(runs.anchor)
     state = np.zeros(distinct.size, np.int8)
     packed = {a["bucket"]: a["packed"] for a in answers}
-    for b, _, _, _, at in _anchor_lists(runs, ids, buckets):
+    for b, at in _parted((distinct % _U(buckets)).astype(np.int64)):
         state[at] = unpack(packed[b])
     return state[np.searchsorted(distinct, runs.anchor)]
 
 
-def _entries(runs: Runs, flags: np.ndarray, texts: list[bytes], ids: list[int | None], buckets: int, length: int):
-    """The distinct runs that go on: by bucket, run -> [number, smallest id, tag]; and each use (bucket, number, text, first, many)."""
-    held: dict[int, dict[bytes, list[int]]] = {}
-    uses: list[tuple[int, int, int, int, int]] = []
-
-    def add(bucket: int, string: bytes, tag: int, text: int, first: int, many: int) -> None:
-        own = held.setdefault(bucket, {})
-        entry = own.get(string)
-        if entry is None:
-            entry = own[string] = [len(own), ids[text], tag]
-        elif ids[text] < entry[1]:
-            entry[1] = ids[text]
-        uses.append((bucket, entry[0], text, first, many))
-
-    at = np.flatnonzero(flags)
-    for text, first, many, anchor, flag in zip(runs.text[at].tolist(), runs.first[at].tolist(), runs.many[at].tolist(), runs.anchor[at].tolist(), flags[at].tolist(), strict=True):
-        if flag == SHARED:
-            add(anchor % buckets, texts[text][first : first + many + length - 1], anchor & 0x7FFFFFFF, text, first, many)
-        else:
-            for p in range(first, first + many):
-                string = texts[text][p : p + length]
-                tag = xxhash.xxh3_64_intdigest(string)
-                add(tag % buckets, string, tag & 0x7FFFFFFF, text, p, 1)
-    return held, uses
+class Entries:
+    """The distinct runs of a chunk that go on, and the uses of each: text, first string, number of strings, entry.
+
+    A bucket's entries are numbered in the order of their first use.
+    """
+
+    def __init__(self, runs: Runs, flags: np.ndarray, texts: list[bytes], ids: list[int | None], buckets: int, length: int):
+        whole, singly = np.flatnonzero(flags == SHARED), np.flatnonzero(flags == WIDE)
+        n = runs.many[singly]
+        ends = np.cumsum(n)
+        inner = np.arange(ends[-1] if n.size else 0) - np.repeat(ends - n, n)
+        self.text = np.concatenate([runs.text[whole], np.repeat(runs.text[singly], n)])
+        self.first = np.concatenate([runs.first[whole], np.repeat(runs.first[singly], n) + inner])
+        self.many = np.concatenate([runs.many[whole], np.ones(inner.size, np.int64)])
+        numbers: defaultdict = defaultdict(count().__next__)
+        stops = self.first + self.many + (length - 1)
+        slices = (texts[t][a:b] for t, a, b in zip(self.text.tolist(), self.first.tolist(), stops.tolist(), strict=True))
+        self.entry = np.fromiter(map(numbers.__getitem__, slices), np.int64, self.text.size)
+        self.strings = list(numbers)
+        self.low = np.full(len(self.strings), np.iinfo(np.int64).max)
+        own = np.array([i if i is not None else 0 for i in ids], np.int64)
+        self.own = own[self.text]
+        np.minimum.at(self.low, self.entry, self.own)
+        _, begin = np.unique(self.entry, return_index=True)
+        tag = np.concatenate([runs.anchor[whole], np.zeros(inner.size, np.uint64)])[begin]
+        for k in np.flatnonzero(begin >= whole.size).tolist():
+            tag[k] = xxhash.xxh3_64_intdigest(self.strings[k])
+        self.tag = (tag & _U(0x7FFFFFFF)).astype(np.int64)
+        self.buckets = _parted((tag % _U(buckets)).astype(np.int64))
 
 
 def remove_repeats(
@@ -276,17 +296,24 @@ def remove_repeats(
     """Rows (id, n_bytes, spans array<struct<start, stop>>, kept binary): the removed spans, and what is left."""
     spark = documents.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = _text_chunks(documents, id_col, text_col, chunk_bytes)
+    texts = _without_copies(_text_chunks(documents, id_col, text_col, chunk_bytes))
+
+    def read(batch: pa.RecordBatch, i: int) -> tuple[list[bytes], list[int | None], list[int | None], set[int]]:
+        """A chunk's texts, ids, the ids of those that are not copies of earlier texts, and the places of the copies."""
+        ids, held = batch["ids"][i].as_py(), [t or b"" for t in batch["texts"][i].as_py()]
+        copies = set(batch["copies"][i].as_py() or ())
+        return held, ids, [None if k in copies else x for k, x in enumerate(ids)], copies
+
+    def rows_of(batch: pa.RecordBatch, i: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        arrays = [pa.array([batch["chunk"][i].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["chunk", "bucket", "packed"])
 
     def anchors(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, held = batch["ids"][i].as_py(), [t or b"" for t in batch["texts"][i].as_py()]
-                rows = [(b, _frames(_ints(np.diff(a.astype(np.int64), prepend=0)), pack(n), pack(s.astype(np.int32)))) for b, a, n, s, _ in _anchor_lists(Runs(held, ids, length), ids, buckets)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch["chunk"][i].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
-                    names=["chunk", "bucket", "packed"],
-                )
+                held, _, ids, _ = read(batch, i)
+                found = _anchor_lists(Runs(held, ids, length), ids, buckets)
+                yield rows_of(batch, i, [(b, _frames(_ints(np.diff(a.astype(np.int64), prepend=0)), pack(n), pack(s.astype(np.int32)))) for b, a, n, s, _ in found])
 
     def meet(table: pa.Table) -> pa.Table:
         lists = [_unframed(p) for p in table["packed"].to_pylist()]
@@ -306,19 +333,15 @@ def remove_repeats(
     def entries(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, held = batch["ids"][i].as_py(), [t or b"" for t in batch["texts"][i].as_py()]
+                held, _, ids, _ = read(batch, i)
                 runs = Runs(held, ids, length)
-                found, _ = _entries(runs, _flags(runs, ids, buckets, batch["flags"][i].as_py() or []), held, ids, buckets, length)
+                found = Entries(runs, _flags(runs, buckets, batch["flags"][i].as_py() or []), held, ids, buckets, length)
                 rows = []
-                for b, own in found.items():
-                    strings, facts = list(own), list(own.values())
-                    blob = zstandard.ZstdCompressor(level=3).compress(b"".join(strings))
-                    sizes = pack(np.fromiter(map(len, strings), np.int64, len(strings)))
-                    rows.append((b, _frames(sizes, blob, _ints(np.array([f[1] for f in facts])), pack(np.array([f[2] for f in facts])))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch["chunk"][i].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
-                    names=["chunk", "bucket", "packed"],
-                )
+                for b, at in found.buckets:
+                    strings = [found.strings[k] for k in at]
+                    blob = zstandard.ZstdCompressor(level=1).compress(b"".join(strings))
+                    rows.append((b, _frames(pack(np.fromiter(map(len, strings), np.int64, len(strings))), blob, _ints(found.low[at]), pack(found.tag[at]))))
+                yield rows_of(batch, i, rows)
 
     def resolve(table: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
@@ -372,49 +395,51 @@ def remove_repeats(
     def cut(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, held = batch["ids"][i].as_py(), [t or b"" for t in batch["texts"][i].as_py()]
+                held, every, ids, copies = read(batch, i)
                 runs = Runs(held, ids, length)
-                found, uses = _entries(runs, _flags(runs, ids, buckets, batch["flags"][i].as_py() or []), held, ids, buckets, length)
-                lows, inner = {}, {}
-                for a in batch["holders"][i].as_py() or ():
-                    low, odd, flat = _unframed(a["packed"])
-                    lows[a["bucket"]] = _from_ints(low).tolist()
-                    flat, at = _from_ints(flat), 0
-                    strings = list(found[a["bucket"]])
+                found = Entries(runs, _flags(runs, buckets, batch["flags"][i].as_py() or []), held, ids, buckets, length)
+                low = np.full(len(found.strings), np.iinfo(np.int64).max)
+                inner: dict[int, np.ndarray] = {}
+                answers = {a["bucket"]: a["packed"] for a in batch["holders"][i].as_py() or ()}
+                for b, at in found.buckets:
+                    lows, odd, flat = _unframed(answers[b])
+                    low[at] = _from_ints(lows)
+                    flat, done = _from_ints(flat), 0
                     for n in unpack(odd).tolist():
-                        many = len(strings[n]) - length + 1
-                        inner[a["bucket"], n] = flat[at : at + many]
-                        at += many
-                change: dict[int, np.ndarray] = {}
-                for b, n, text, first, many in uses:
-                    if lows[b][n] < ids[text]:
-                        marks = change.setdefault(text, np.zeros(len(held[text]) + 1, np.int32))
-                        marks[first] += 1
-                        marks[first + many + length - 1] -= 1
-                    elif (b, n) in inner:
-                        at = first + np.flatnonzero(inner[b, n] < ids[text])
-                        if at.size:
-                            marks = change.setdefault(text, np.zeros(len(held[text]) + 1, np.int32))
-                            np.add.at(marks, at, 1)
-                            np.add.at(marks, at + length, -1)
-                spans, kept = [], []
-                for k, t in enumerate(held):
-                    if k not in change:
-                        spans.append([])
-                        kept.append(t)
-                        continue
-                    gone = np.cumsum(change[k])[:-1] > 0
-                    edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                    spans.append([{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-                    kept.append(np.frombuffer(t, np.uint8)[~gone].tobytes())
+                        many = len(found.strings[at[n]]) - length + 1
+                        inner[int(at[n])] = flat[done : done + many]
+                        done += many
+                sizes = np.fromiter(map(len, held), np.int64, len(held))
+                begins = np.cumsum(sizes + 1) - (sizes + 1)  # one place between texts, so that spans of two never join
+                marks = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
+                gone = low[found.entry] < found.own
+                at = begins[found.text] + found.first
+                np.add.at(marks, at[gone], 1)
+                np.add.at(marks, (at + found.many + (length - 1))[gone], -1)
+                for k in np.flatnonzero(~gone & np.isin(found.entry, np.fromiter(inner, np.int64, len(inner)))).tolist():
+                    places = at[k] + np.flatnonzero(inner[int(found.entry[k])] < found.own[k])
+                    np.add.at(marks, places, 1)
+                    np.add.at(marks, places + length, -1)
+                for k in copies:
+                    if sizes[k] >= length:
+                        marks[begins[k]] += 1
+                        marks[begins[k] + sizes[k]] -= 1
+                removed = np.cumsum(marks[:-1]) > 0
+                edges = np.flatnonzero(np.diff(removed.astype(np.int8), prepend=0, append=0))
+                bounds = np.searchsorted(edges, np.append(begins, removed.size))
                 for a in range(0, len(held), 500):
-                    own = slice(a, a + 500)
+                    spans, kept = [], []
+                    for k in range(a, min(a + 500, len(held))):
+                        own = (edges[bounds[k] : bounds[k + 1]] - begins[k]).tolist()
+                        spans.append([{"start": x, "stop": y} for x, y in zip(own[::2], own[1::2], strict=True)])
+                        stops = [0, *own, len(held[k])]
+                        kept.append(b"".join(held[k][x:y] for x, y in zip(stops[::2], stops[1::2], strict=True)))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(ids[own], pa.int64()),
-                            pa.array([len(t) for t in held[own]], pa.int64()),
-                            pa.array(spans[own], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                            pa.array(kept[own], pa.binary()),
+                            pa.array(every[a : a + 500], pa.int64()),
+                            pa.array(sizes[a : a + 500], pa.int64()),
+                            pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
+                            pa.array(kept, pa.binary()),
                         ],
                         names=["id", "n_bytes", "spans", "kept"],
                     )
