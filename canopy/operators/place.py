@@ -89,6 +89,8 @@ def chain_search(nodes: DataFrame, queries: DataFrame, start: DataFrame, top: in
         ended = met.where("child_name is null").select(*front.columns).unionByName(onward.where("child is null").select(*front.columns))
         done = ended if done is None else done.unionByName(ended)
         front = onward.where("child is not null").select("qid", F.col("child").alias("parent_key"), F.col("child_name").alias("parent_name"), "log_prob", (F.col("depth") + 1).alias("depth"), "trail", "order")
+        front = front.persist()  # else each level would work out all levels above it again
+    done = done.persist()
     mean = F.col("log_prob") / F.greatest("depth", F.lit(1))
     scored = done.withColumn("_m", mean)
     best = scored.groupBy("qid").agg(F.max("_m").alias("_best"))

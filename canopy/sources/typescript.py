@@ -134,7 +134,7 @@ def _typed(code: str, blank: str, default: str) -> tuple[str, str]:
 
 
 _DECLARATION = re.compile(r"(?m)^(?P<mods>(?:export\s+|default\s+|declare\s+|async\s+)*)(?P<what>function\s*\*?|type|interface)\s+(?P<name>[A-Za-z_$][\w$]*)")
-_IMPORT = re.compile(r"(?m)^\s*(?:import|export)\b[^;'\"]*?(?:from\s*)?['\"]([^'\"]+)['\"]")
+_IMPORT = re.compile(r"(?m)^\s*(?:import|export)\s+(?:[^;'\"()=]*?\bfrom\s*)?['\"]([^'\"]+)['\"]")
 _CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\(")
 _NOT_CALLS = frozenset("if for while switch catch function return typeof super import await new".split())
 
