@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -66,8 +67,43 @@ def per_batch(
                 else:
                     yield from out
 
-    return run
+    return trimmed(run)
+
+
+#: Rows and bytes that a Python worker gets at a time. Texts are long, so Spark's 10,000 rows would be many megabytes.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to a size that long texts fit in a worker's memory with."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def whole_rows(documents: DataFrame) -> DataFrame:
+    """One struct column, `whole`, of all columns: operators carry it through without a name that could clash."""
+    return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"))
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks and would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # not glibc
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and then trim()."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._chunks import CHUNK_BYTES, answered, chunked, gather, pack, token_places, unpack
-from ._common import per_batch
+from ._common import per_batch, trimmed
 
 ROWS_OUT = 500
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -117,7 +117,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids",
                 out.append(gather(starts, lengths, flat, np.frombuffer(ids or b"", "<i4"))[0].tobytes())
             yield pa.RecordBatch.from_arrays([*[batch[n] for n in kept], pa.array(out, pa.binary())], names=[*kept, out_col])
 
-    return encoded.select(*kept).mapInArrow(run, schema)
+    return encoded.select(*kept).mapInArrow(trimmed(run), schema)
 
 
 def round_trip_report(documents: DataFrame, ranks_path: str | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import in_blocks
-from ._common import staged
+from ._common import staged, trimmed
 from ._components import Forest, components
 
 COSINE = 0.95
@@ -114,7 +114,7 @@ def near_duplicates(
             raw = [u.tobytes() if u is not None else None for u in units]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], names=["id", "whole", "unit"])
 
-    base = staged(source.mapInArrow(normalise, "id long, whole binary, unit binary"), "units")
+    base = staged(source.mapInArrow(trimmed(normalise), "id long, whole binary, unit binary"), "units")
     usable = base.where("whole is not null and id is not null")
     classes = staged(usable.groupBy("whole").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
     words = code_words(classes.count())
@@ -135,7 +135,7 @@ def near_duplicates(
                 names=["id", "weight", "unit", "dim", "filters"],
             )
 
-    decoded = staged(reps.mapInArrow(decode, "id long, weight long, unit binary, dim int, filters array<int>"), "filters")
+    decoded = staged(reps.mapInArrow(trimmed(decode), "id long, weight long, unit binary, dim int, filters array<int>"), "filters")
     listed = decoded.select("id", "dim", F.explode("filters").alias("filter"))
     counts = listed.groupBy("dim", "filter").agg(F.count("*").alias("listed")).where("listed > 1")
     members = in_blocks(listed.join(counts, ["dim", "filter"]), F.ceil(F.col("listed") / GROUP_ROWS), F.col("id"))

@@ -10,21 +10,20 @@ The work is one pass over the documents with no shuffle. The windows are loaded
 of what is broadcast is a parameter; a benchmark of more windows costs one more pass for each further block.
 
 Defined cases: a null or empty text has no words, no hits and is clean; repeated documents are searched alike; a null
-item id contributes windows (hits count) but no id; items without words contribute nothing; extra columns are ignored
-unless named in ``carry``.
+item id contributes windows (hits count) but no id; items without words contribute nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import per_batch, staged, utf8
+from ._common import per_batch, staged, trimmed, utf8, whole_rows
 
 WINDOW = 10
 BLOCK_WORDS = 2
@@ -115,6 +114,27 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, size:
     return pairs.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+def _windows_in_passes(benchmark: DataFrame, item_col: str, item_text_col: str, size: int, windows_per_pass: int) -> Iterator[tuple[list, bool]]:
+    """The windows in blocks of about windows_per_pass, and whether it is the last block."""
+    windows = staged(benchmark_windows(benchmark, item_col, item_text_col, size), "windows")
+    passes = max(1, -(-windows.count() // windows_per_pass))
+    windows = windows.withColumn("pass", F.pmod(F.xxhash64("window"), F.lit(passes)))
+    for k in range(passes):
+        yield [(bytes(r[0]), list(r[1])) for r in windows.where(F.col("pass") == k).select("window", "items").collect()], k + 1 == passes
+
+
+def _searched(source: DataFrame, keep: str, blocks: Iterable[tuple[list, bool]], texts: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """source (keep and what texts reads) -> (keep, n_words, n_hit, items)."""
+    spark = source.sparkSession
+    rows = source.withColumns({"marks": F.lit(None).cast("binary"), "items": F.array().cast("array<string>")})
+    for k, (block, last) in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(block)
+        rows = rows.mapInArrow(trimmed(_one_pass(shared, keep, texts, last)), _schema(rows.schema, keep) if last else rows.schema)
+        if not last:
+            rows = staged(rows, f"pass{k}")
+    return rows
+
+
 def find_contamination(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -123,49 +143,31 @@ def find_contamination(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    carry: str | None = None,
     size: int = WINDOW,
     windows_per_pass: int = WINDOWS_PER_PASS,
 ) -> DataFrame:
-    """Rows of documents with n_words, n_hit, and the ids of the items that occur.
-
-    carry names one further column (a struct of all columns, say) that is returned untouched.
-    """
-    spark = documents.sparkSession
-    windows = staged(benchmark_windows(benchmark, item_col, item_text_col, size), "windows")
-    passes = max(1, -(-windows.count() // windows_per_pass))
-    windows = windows.withColumn("pass", F.pmod(F.xxhash64("window"), F.lit(passes)))
-    kept = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")] + ([F.col(carry).alias("carry")] if carry else [])
-    rows = documents.select(*kept, F.lit(None).cast("binary").alias("marks"), F.array().cast("array<string>").alias("items"))
-    for k in range(passes):
-        block = spark.sparkContext.broadcast([(bytes(r[0]), list(r[1])) for r in windows.where(F.col("pass") == k).select("window", "items").collect()])
-        rows = rows.mapInArrow(_one_pass(block, k + 1 == passes), _schema(rows.schema, k + 1 == passes))
-        if k + 1 < passes:
-            rows = staged(rows, f"pass{k}")
-    out = [F.col("id").alias(id_col), "n_words", "n_hit", "items"]
-    return rows.select(*out, *([F.col("carry").alias(carry)] if carry else []))
+    """Rows (id, n_words, n_hit, items) of all documents: the ids of the items that occur, sorted as strings."""
+    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    blocks = _windows_in_passes(benchmark, item_col, item_text_col, size, windows_per_pass)
+    found = _searched(source, "id", blocks, lambda batch: batch["text"])
+    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "items")
 
 
-def _schema(schema: T.StructType, last: bool) -> T.StructType:
-    if not last:
-        return schema
-    kept = [f for f in schema.fields if f.name not in ("text", "marks", "items")]
-    return T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
+def _schema(schema: T.StructType, keep: str) -> T.StructType:
+    return T.StructType([schema[keep], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _one_pass(block, last: bool):
+def _one_pass(block, keep: str, texts: Callable[[pa.RecordBatch], pa.Array], last: bool):
     def run(batches):
         searchers = searchers_of(block.value)
         for batch in batches:
             names = batch.schema.names
-            texts, marks, known = utf8(batch["text"]), batch["marks"].to_pylist(), batch["items"].to_pylist()
-            found = [scan(t, searchers, m, k) for t, m, k in zip(texts, marks, known, strict=True)]
+            marks, known = batch["marks"].to_pylist(), batch["items"].to_pylist()
+            found = [scan(t, searchers, m, k) for t, m, k in zip(utf8(texts(batch)), marks, known, strict=True)]
             items = pa.array([sorted(f[2]) for f in found], pa.list_(pa.string()))
             if last:
-                kept = [n for n in names if n not in ("text", "marks", "items")]
-                arrays = [batch[n] for n in kept]
-                arrays += [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1].count(1) for f in found], pa.int64()), items]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "n_words", "n_hit", "items"])
+                arrays = [batch[keep], pa.array([f[0] for f in found], pa.int64()), pa.array([f[1].count(1) for f in found], pa.int64()), items]
+                yield pa.RecordBatch.from_arrays(arrays, names=[keep, "n_words", "n_hit", "items"])
             else:
                 new = {"marks": pa.array([f[1] for f in found], pa.binary()), "items": items}
                 yield pa.RecordBatch.from_arrays([new.get(n, batch[n]) for n in names], names=names)
@@ -188,8 +190,8 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFram
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs, with their columns unchanged."""
-    rows = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"))
-    found = find_contamination(rows, benchmark, carry="whole")
+    blocks = _windows_in_passes(benchmark, "item_id", "text", WINDOW, WINDOWS_PER_PASS)
+    found = _searched(whole_rows(documents), "whole", blocks, lambda batch: batch["whole"].field("text"))
     return found.where(F.col("n_hit") == 0).select("whole.*")
 
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import trimmed
+
 TRAINING_PAGES = 300
 ROUNDS = 120
 
@@ -349,7 +351,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", out_col: str = "text",
             texts = [main_text(p, chain) for p in batch["__html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch[k] for k in keep], pa.array(texts, pa.string())], names=[*keep, out_col])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def extraction_report(pages: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._chunks import answered, chunked, pack, token_places, unpack, unpack_words
-from ._common import crc_of_id, staged, utf8
+from ._common import crc_of_id, staged, trimmed, utf8
 
 HELD_OUT = (7, 2)
 FREQUENT = 1024
@@ -374,7 +374,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         texts = [np.array([*map(own.symbol, words_of(t)), 0], np.int64) for _, t in sorted(rows)]
         yield pa.RecordBatch.from_arrays([pa.array([train(texts).dump()], pa.binary())], names=["net"])
 
-    fitted = sample.coalesce(1).mapInArrow(fit, "net binary").first()
+    fitted = sample.coalesce(1).mapInArrow(trimmed(fit), "net binary").first()
     network = spark.sparkContext.broadcast(bytes(fitted["net"]) if fitted else train([]).dump())
 
     def answer(lists: list[list[bytes]], counts: list[np.ndarray]) -> list[bytes]:
@@ -425,4 +425,4 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                     names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return answered(chunks, answer).mapInArrow(assemble, schema).withColumnRenamed("id", id_col)
+    return answered(chunks, answer).mapInArrow(trimmed(assemble), schema).withColumnRenamed("id", id_col)

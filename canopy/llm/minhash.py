@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import in_blocks
-from ._common import per_batch, staged, utf8
+from ._common import per_batch, staged, trimmed, utf8
 from ._components import components, spanning_links
 
 SHINGLE = 5
@@ -41,7 +41,7 @@ LOW_ESTIMATE = 0.65
 CLUSTER_ROWS = 3_000
 CLUSTER_SHINGLES = 4_000_000
 BROADCAST_ROWS = 250_000
-_CACHE = 1_000_000
+_CACHE = 200_000
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -91,7 +91,7 @@ def sketch_table(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 names=["id", "n", "whole", "sketch"],
             )
 
-    return source.mapInArrow(run, "id long, n long, whole binary, sketch array<long>")
+    return source.mapInArrow(trimmed(run), "id long, n long, whole binary, sketch array<long>")
 
 
 class Overlaps:
@@ -214,7 +214,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
             sets = [shingles(t, words).tobytes() for t in utf8(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["component"], batch["blocks"], pa.array(sets, pa.binary())], names=["id", "component", "blocks", "values"])
 
-    sets = in_blocks(texts.mapInArrow(whole_sets, "id long, component long, blocks long, values binary"), F.col("blocks"), F.col("id"))
+    sets = in_blocks(texts.mapInArrow(trimmed(whole_sets), "id long, component long, blocks long, values binary"), F.col("blocks"), F.col("id"))
 
     def verify(table: pa.Table) -> pa.Table:
         return _pairs(table["id"].to_pylist(), exact_links([np.frombuffer(v, np.uint64) for v in table["values"].to_pylist()]))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._chunks import pack, unpack
-from ._common import shared_root, staged
+from ._common import shared_root, staged, trimmed
 
 LENGTH = 50
 GRAM = 24
@@ -206,7 +206,7 @@ def _text_chunks(documents: DataFrame, id_col: str, text_col: str, chunk_bytes:
             yield flush()
 
     name = f"canopy_texts_{uuid.uuid4().hex}"
-    writer = source.mapInArrow(run, "chunk long, ids array<long>, texts array<binary>, digests array<binary>").write.format("parquet")
+    writer = source.mapInArrow(trimmed(run), "chunk long, ids array<long>, texts array<binary>, digests array<binary>").write.format("parquet")
     writer = writer.option("path", f"{shared_root(spark)}/{name}").option("compression", "zstd")
     writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(name)
     table = spark.table(name)
@@ -327,7 +327,7 @@ def remove_repeats(
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "packed": pa.array([pack(p.astype(np.int32)) for p in parts], pa.binary())})
 
     kind = "chunk long, bucket int, packed binary"
-    flagged = staged(_back(texts.mapInArrow(anchors, kind).groupBy("bucket").applyInArrow(meet, kind), "flags"), "flags")
+    flagged = staged(_back(texts.mapInArrow(trimmed(anchors), kind).groupBy("bucket").applyInArrow(meet, kind), "flags"), "flags")
     with_flags = texts.join(flagged, "chunk", "left")
 
     def entries(batches):
@@ -390,7 +390,7 @@ def remove_repeats(
             out.append(_frames(_ints(lows[own]), pack(np.array([n for n, _ in odd], np.int64)), _ints(np.concatenate([h for _, h in odd]) if odd else np.zeros(0, np.int64))))
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "packed": pa.array(out, pa.binary())})
 
-    resolved = staged(_back(with_flags.mapInArrow(entries, kind).groupBy("bucket").applyInArrow(resolve, kind), "holders"), "holders")
+    resolved = staged(_back(with_flags.mapInArrow(trimmed(entries), kind).groupBy("bucket").applyInArrow(resolve, kind), "holders"), "holders")
 
     def cut(batches):
         for batch in batches:
@@ -452,7 +452,7 @@ def remove_repeats(
             T.StructField("kept", T.BinaryType()),
         ]
     )
-    return with_flags.join(resolved, "chunk", "left").mapInArrow(cut, schema).withColumnRenamed("id", id_col)
+    return with_flags.join(resolved, "chunk", "left").mapInArrow(trimmed(cut), schema).withColumnRenamed("id", id_col)
 
 
 def repeat_report(documents: DataFrame) -> DataFrame:

@@ -12,8 +12,7 @@ and compounded forms match), their weights, and the logistic weights. The fit us
 first by a hash of their id; scoring covers every document.
 
 Defined cases: null and empty texts have no clauses and score what the bias gives; repeated rows score alike; rows whose
-label is null are not used; without rows of both labels the built-in lexicon and weights apply; extra columns are ignored
-except the one named in ``carry``.
+label is null are not used; without rows of both labels the built-in lexicon and weights apply; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_of_id, staged
+from ._common import crc_of_id, staged, trimmed, whole_rows
 
 SAMPLE_ROWS = 6_000
 HELD_OUT = (4, 2)
@@ -38,7 +37,7 @@ THRESHOLD = 0.3
 REACH = 3
 STEM_LENGTHS = range(4, 11)
 _TOKEN = re.compile(r"\w+|[.!?;\n]+")
-_WORD_CACHE = 1_000_000
+_WORD_CACHE = 200_000
 
 # Seed words of the grammar, in English, German, French and Spanish.
 INSULTS = "idiot moron stupid scum loser trash worthless disgusting pathetic clown dumm dumb imbecile crétin abruti idiota estúpido basura".split()
@@ -217,7 +216,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     default = Grammar({w: 1.0 for w in INSULTS})
     if not sizes.get(0) or not sizes.get(1):
         return default
-    counts = rows.mapInArrow(tally, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("n"))
+    counts = rows.mapInArrow(trimmed(tally), "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("n"))
     likely = counts.where((F.col("p") >= 4) & (F.col("p") * sizes[0] >= 15 * F.col("n") * sizes[1])).collect()
     learned = choose_stems(((r["stem"], r["p"], r["n"]) for r in likely), sizes[1], sizes[0])
     seeds = {w: 1.0 for w in INSULTS if not any(w.startswith(s.rstrip("$")) for s in learned)}
@@ -230,27 +229,29 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
             found = [own.features(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["label"], *[pa.array([f[k] for f in found], pa.float64()) for k in range(3)]], names=["label", "a", "b", "c"])
 
-    table = np.array([tuple(r) for r in rows.mapInArrow(measure, "label int, a double, b double, c double").collect()], float)
+    table = np.array([tuple(r) for r in rows.mapInArrow(trimmed(measure), "label int, a double, b double, c double").collect()], float)
     grammar.weights = fit_logistic(table[:, 1:], table[:, 0])
     return grammar
 
 
-def score(documents: DataFrame, grammar: Grammar, *, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
-    """Rows (id, score) and the carried column."""
-    shared = documents.sparkSession.sparkContext.broadcast((grammar.stems, grammar.weights))
-    kept = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")] + ([F.col(carry).alias("carry")] if carry else [])
-    source = documents.select(*kept)
-    names = [c for c in source.columns if c != "text"]
-    schema = T.StructType([*[source.schema[n] for n in names], T.StructField("score", T.DoubleType())])
+def score(documents: DataFrame, grammar: Grammar, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, score)."""
+    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    scored = _scored(source, grammar, "id", lambda batch: batch["text"])
+    return scored.select(F.col("id").alias(id_col), "score")
+
+
+def _scored(source: DataFrame, grammar: Grammar, keep: str, texts: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    shared = source.sparkSession.sparkContext.broadcast((grammar.stems, grammar.weights))
+    schema = T.StructType([source.schema[keep], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         own = Grammar(*shared.value)
         for batch in batches:
-            found = pa.array([own.score(t) for t in batch["text"].to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], found], names=[*names, "score"])
+            found = pa.array([own.score(t) for t in texts(batch).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch[keep], found], names=[keep, "score"])
 
-    out = source.mapInArrow(run, schema)
-    return out.select(F.col("id").alias(id_col), "score", *([F.col("carry").alias(carry)] if carry else []))
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def toxicity_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -263,6 +264,5 @@ def toxicity_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents scored below the threshold, with their columns unchanged."""
-    rows = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"))
-    scored = score(rows, fit(documents, labels), carry="whole")
+    scored = _scored(whole_rows(documents), fit(documents, labels), "whole", lambda batch: batch["whole"].field("text"))
     return scored.where(F.col("score") < THRESHOLD).select("whole.*")
