@@ -131,20 +131,25 @@ def delta(x: Column, as_percent: bool = False) -> Column:
 
 
 def strip_markdown(text: Column) -> Column:
-    """Plain text: front matter, imports, code, tags, links and marks go, in this order."""
+    """Plain text on one line: imports, tags, code and marks go, table rows become sentences, links keep their words."""
+    for pattern, by in ((r"(?m)^import\s+.*$", ""), (r"<[^>]+>", " "), (r"(?s)```.*?```", " "), (r"(?m)^\s*\|[\s:|-]+\|\s*$", "")):
+        text = F.regexp_replace(text, pattern, by)
+
+    def row(line: Column) -> Column:
+        cells = F.filter(F.transform(F.split(F.regexp_extract(line, r"^\s*\|(.+)\|\s*$", 1), r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+        return F.when(line.rlike(r"^\s*\|.+\|\s*$"), F.concat(F.array_join(cells, ", "), F.lit(". "))).otherwise(line)
+
+    text = F.array_join(F.transform(F.split(text, "\n"), row), "\n")
     for pattern, by in (
-        (r"(?s)^---\n.*?\n---\n", ""),
-        (r"(?m)^(?:import|export)\s.*$", ""),
-        (r"(?s)```.*?```", ""),
-        (r"`([^`]*)`", "$1"),
-        (r"<[^>]+>", ""),
-        (r"!\[[^\]]*\]\([^)]*\)", ""),
-        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
         (r"(?m)^#{1,6}\s+", ""),
-        (r"\*\*([^*]+)\*\*", "$1"),
-        (r"\*([^*]+)\*", "$1"),
-        (r"(?m)^[-*+]\s+", ""),
-        (r"\n{3,}", "\n\n"),
+        (r"(?m)^>\s?", ""),
+        (r"(?m)^-{3,}\s*$", ""),
+        (r"(?m)^(\s*)[-*]\s+", "$1"),
+        (r"(?m)^(\s*)\d+\.\s+", "$1"),
+        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+        (r"\*{1,2}([^*]*)\*{1,2}", "$1"),
+        (r"`([^`]*)`", "$1"),
+        (r"\s+", " "),
     ):
         text = F.regexp_replace(text, pattern, by)
     return F.trim(text)

@@ -276,16 +276,16 @@ def vocabulary_bleed(ctx: Context) -> DataFrame:
 
 @audit("merge-candidates", "Merge candidates")
 def merge_candidates(ctx: Context) -> DataFrame:
-    rows = ctx.sibling_pairs.join(F.broadcast(ctx.level_fences), "level").where(F.col("similarity") > F.col("fence")).where(~calls_in_pattern(ctx, "a", "b"))
+    rows = ctx.sibling_pairs.join(F.broadcast(ctx.level_fences), "level").where(F.col("similarity") > F.col("fence")).where(~pairs.calls_each_other("a", "b"))
+    # A function that calls a unit inside a pattern container is its caller too.
+    inside = ctx.nodes.join(ctx.nodes.where("kind = 'pattern'").select(F.col("key").alias("_pk")), F.col("parent_key") == F.col("_pk")).groupBy("_pk").agg(F.collect_set("name").alias("_names"))
+    for function, container in (("a", "b"), ("b", "a")):
+        called = F.coalesce((F.col(f"{function}.kind") == "function") & F.arrays_overlap(F.col(f"{function}.calls"), F.col("_names")), F.lit(False))
+        rows = rows.join(inside, F.col(f"{container}.key") == F.col("_pk"), "left").where(~called).drop("_pk", "_names")
     open_pair = ~suppressed(F.col("a.residuals"), F.col("a.hash"), "merge-candidates") & ~suppressed(F.col("b.residuals"), F.col("b.hash"), "merge-candidates")
     return _pair_finding("merge-candidates", rows.where(open_pair), "a", "b")
 
 
-def calls_in_pattern(ctx: Context, a: str, b: str) -> Column:
-    """Caller and callee; a pattern's own call list, if it has one, holds its children's names."""
-    return pairs.calls_each_other(a, b)
-
-
 def drift(ctx: Context) -> DataFrame:
     """Rows (key, children, drifted, drift_ratio, ...): how many of a container's children fit an uncle better."""
     nodes = ctx.nodes
@@ -340,13 +340,17 @@ def bloated_files(ctx: Context) -> DataFrame:
     return _bloated(ctx, "file", "bloated-files")
 
 
+# The order of the report.
+ORDER = """bloated-directories bloated-files outliers merge-candidates misplaced duplicates containments focal-drift incoherent
+incoherent-utils util-duplicates vocabulary-bleed weak-identity incomplete-docs""".split()
 ASCENDING, BY_DELTA, UNSORTED = ("outliers", "incoherent", "incoherent-utils"), ("misplaced",), ("weak-identity", "bloated-directories", "bloated-files", "incomplete-docs")
 
 
 def report(ctx: Context, names: list[str] | None = None) -> DataFrame:
     """All findings with the audit's place and each finding's rank within it."""
     out = None
-    for n, (name, a) in enumerate(REGISTRY.items()):
+    ordered = sorted(REGISTRY.items(), key=lambda x: ORDER.index(x[0]) if x[0] in ORDER else len(ORDER))
+    for n, (name, a) in enumerate(ordered):
         if name in ctx.disabled or (names is not None and name not in names):
             continue
         found = a.detect(ctx)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import text, vectors
+from canopy.plans.settle import settled
 
 LEAVES = ("function", "type")
 HELPER_CALLERS = 2
@@ -97,40 +98,52 @@ def in_file_patterns(nodes: DataFrame, depth: int = 0) -> DataFrame:
     return groups.withColumn("pattern_key", F.concat_ws(":", F.lit("pattern"), "parent_key", "tag"))
 
 
+def _pattern_rows(members: DataFrame, columns: list[str]) -> DataFrame:
+    """One container for each pattern_key of members (with tag and holder): its vectors are the members' centroids."""
+    facts = members.groupBy("pattern_key").agg(F.max("tag").alias("name"), F.max("holder").alias("parent_key"), F.min("ord").alias("ord"), F.max("path").alias("path"), F.min("depth").alias("depth"))
+    for c in ("identity", "leaf"):
+        means = members.where(~vectors.is_empty(F.col(c))).groupBy("pattern_key").agg(vectors.centroid(F.col(c)).alias(c))
+        facts = facts.join(means, "pattern_key", "left").withColumn(c, F.coalesce(c, vectors.empty()))
+    fixed = {"key": F.col("pattern_key"), "kind": F.lit("pattern"), "patterns": F.array(), "residuals": F.array(), "util": F.lit(False), "helper": F.lit(False), "exported": F.lit(False), "pure": F.lit(False)}
+    kinds = {f.name: f.dataType for f in members.schema.fields}
+    return facts.select(*[(fixed.get(c) if c in fixed else F.col(c) if c in facts.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns])
+
+
 def group_patterns(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     """nodes with a container for each in-file pattern group, level by level down the tags."""
     if levels is None:
         levels = nodes.agg(F.max(F.size("patterns"))).first()[0] or 0
-    current = nodes
+    current, columns = nodes, nodes.columns
     for depth in range(levels):
-        groups = in_file_patterns(current, depth)
+        groups = in_file_patterns(current, depth).select(F.col("parent_key").alias("_gp"), F.col("tag").alias("_gt"), "pattern_key")
+        if depth:  # only the members of a group go on to its next tag
+            groups = groups.where(F.col("_gp").startswith("pattern:"))
         tag = F.when(is_leaf(F.col("kind")) & (F.size("patterns") > depth), F.get("patterns", depth))
-        moved = current.withColumn("_tag", tag).join(
-            groups.select(F.col("parent_key").alias("_gp"), F.col("tag").alias("_gt"), "pattern_key"), (F.col("parent_key") == F.col("_gp")) & (F.col("_tag") == F.col("_gt")), "left"
-        )
-        members = moved.where("pattern_key is not null")
-        containers = members.groupBy("pattern_key").agg(
-            *[
-                (F.max(F.struct("ord", *[c for c in current.columns if c != "ord"]))[c]).alias(c)
-                for c in current.columns
-                if c not in ("key", "kind", "name", "ord", "parent_key", "identity", "leaf", "patterns", "util")
-            ],
-            F.max("_tag").alias("name"),
-            F.min("ord").alias("ord"),
-            F.max("parent_key").alias("parent_key"),
-            F.bool_and("util").alias("util"),
-        )
-        means = members.groupBy("pattern_key").agg(vectors.centroid(F.col("identity")).alias("identity"), vectors.centroid(F.col("leaf")).alias("leaf"))
-        containers = containers.join(means, "pattern_key").withColumn("kind", F.lit("pattern")).withColumnRenamed("pattern_key", "key")
-        containers = containers.withColumn("patterns", F.array().cast("array<string>"))
-        moved = moved.withColumn("parent_key", F.coalesce("pattern_key", "parent_key")).select(*current.columns)
-        current = moved.unionByName(containers.select(*current.columns))
+        moved = current.withColumn("_tag", tag).join(groups, (F.col("parent_key") == F.col("_gp")) & (F.col("_tag") == F.col("_gt")), "left")
+        members = moved.where("pattern_key is not null").withColumns({"tag": F.col("_tag"), "holder": F.col("parent_key")})
+        moved = moved.withColumn("parent_key", F.coalesce("pattern_key", "parent_key")).select(*columns)
+        current = settled(moved.unionByName(_pattern_rows(members, columns)))
     return current
 
 
-def cross_file_patterns(nodes: DataFrame) -> DataFrame:
-    """Rows (tag, files, directory_key): tags of two files or more, at the nearest directory common to them."""
-    tagged = nodes.where(is_leaf(F.col("kind")) & (F.size("patterns") > 0)).select(F.get("patterns", 0).alias("tag"), "path")
+def lift_patterns(nodes: DataFrame) -> DataFrame:
+    """nodes (grouped already) with a container, at the nearest common directory, for each tag of two files or more.
+
+    A file's part in it is its own pattern container, or its one unit of that tag.
+    """
+    files = nodes.where("kind = 'file'").select(F.col("key").alias("_file"), F.col("path").alias("_path"))
+    tag = F.when(F.col("kind") == "pattern", F.col("name")).when(is_leaf(F.col("kind")), F.get("patterns", 0))
+    parts = nodes.withColumn("tag", tag).where("tag is not null").join(files, F.col("parent_key") == F.col("_file"))
+    placed = cross_file_patterns(parts.select("tag", F.col("_path").alias("path")), nodes)
+    members = parts.join(placed.select("tag", F.col("directory_key").alias("holder")), "tag")
+    members = members.withColumn("pattern_key", F.concat_ws(":", F.lit("pattern"), "holder", "tag"))
+    above = members.select("key", F.col("pattern_key").alias("_above"))
+    moved = nodes.join(above, "key", "left").withColumn("parent_key", F.coalesce("_above", "parent_key")).select(*nodes.columns)
+    return moved.unionByName(_pattern_rows(members, nodes.columns))
+
+
+def cross_file_patterns(tagged: DataFrame, nodes: DataFrame) -> DataFrame:
+    """tagged (tag, path) -> (tag, files, directory_key): tags of two files or more, at the nearest directory common to them."""
     # One path a folder is enough for the common directory, so the array is bounded by folders, not by units.
     folders = tagged.groupBy("tag", text.parent_path(F.col("path")).alias("folder")).agg(F.min("path").alias("path"), F.count_distinct("path").alias("files"))
     groups = folders.groupBy("tag").agg(F.sum("files").alias("files"), F.sort_array(F.collect_list("path")).alias("paths")).where("files >= 2")
@@ -139,6 +152,14 @@ def cross_file_patterns(nodes: DataFrame) -> DataFrame:
     return placed.join(known, "directory_key", "left_semi")
 
 
+def count_children(cards: DataFrame) -> DataFrame:
+    """cards (key, kind) -> (key, children): direct children by the paths in the keys."""
+    rows = cards.withColumn("_p", text.key_path(F.col("key")))
+    units = rows.where(is_leaf(F.col("kind"))).groupBy(F.concat(F.lit("file:"), F.col("_p")).alias("key")).agg(F.count("*").alias("n"))
+    inner = rows.where(F.col("kind").isin("file", "directory")).groupBy(F.concat(F.lit("dir:"), text.parent_path(F.col("_p"))).alias("key")).agg(F.count("*").alias("n"))
+    return cards.select("key").join(units.unionByName(inner), "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("children"))
+
+
 def capability_root(nodes: DataFrame) -> DataFrame:
     """One row: the first util directory right under the root."""
     top = nodes.where("kind = 'directory' and util").join(root_key(nodes).select(F.col("key").alias("_r")), F.col("parent_key") == F.col("_r"))

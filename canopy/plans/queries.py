@@ -361,12 +361,21 @@ def in_file_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT tag, count(DISTINCT path) AS files, CASE WHEN count(DISTINCT d) = 1 THEN 'dir:' || any_value(d) ELSE 'dir:root' END AS directory_key FROM t GROUP BY tag HAVING count(DISTINCT path) >= 2"
 )
 def cross_file_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.cross_file_patterns(vector_tree(spark, sf_dir)).select("tag", F.col("files").cast("long").alias("files"), "directory_key")
+    nodes = vector_tree(spark, sf_dir)
+    tagged = nodes.where("size(patterns) > 0").select(F.get("patterns", 0).alias("tag"), "path")
+    return tree.cross_file_patterns(tagged, nodes).select("tag", F.col("files").cast("long").alias("files"), "directory_key")
+
+
+@query(
+    f"WITH {NODES_SQL} SELECT p.key, count(c.key) AS children FROM nodes p LEFT JOIN nodes c ON c.parent_key = p.key GROUP BY p.key"
+)
+def child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.count_children(vector_tree(spark, sf_dir).select("key", "kind"))
 
 
 @query()
 def pattern_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.group_patterns(vector_tree(spark, sf_dir)).where("kind = 'pattern'").select("key", "parent_key", "name", "util")
+    return tree.lift_patterns(tree.group_patterns(vector_tree(spark, sf_dir))).where("kind = 'pattern'").select("key", "parent_key", "name", "util")
 
 
 @query(

