@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ._common import discard, staged
 
 
+ROWS = 100_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -34,7 +37,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         found = _smallest(large)
         small = found.select(F.col("b").alias("a"), F.col("low").alias("b")).union(found.select("a", F.col("low").alias("b")))
-        after_edges = staged(small.where("a <> b").distinct(), "links")
+        # Links never grow in number: a partition of ROWS of them keeps the rounds' files few.
+        after_edges = staged(small.where("a <> b").distinct().coalesce(-(-before[0] // ROWS)), "links")
         after = _state(after_edges)
         discard(spark, edges)
         edges = after_edges
