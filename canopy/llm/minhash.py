@@ -2,16 +2,17 @@
 
 1. Each text becomes the set of its five-word shingles, hashed once to 64 bits; the SKETCH smallest values are kept.
 2. Equal sets form classes, of which one member (the smallest id) goes on: exact copies are never paired.
-3. Inverted lists of the KEYS smallest retained values bring candidates together. Values with a longer list than HOT
+3. Inverted lists of the smallest retained values (8 at a threshold of 85, 9 at 80) bring candidates together. Values with a longer list than HOT
    (a passage that many documents share) are replaced by runs of three consecutive retained values, of which each
    document gives the RUNS with the smallest hashes: similar sketches share such runs, a shared passage rarely makes one.
 4. In a list, overlaps are counted by inverted lists of the retained values, and the union sketch of two documents
-   estimates their similarity. Pairs well below the threshold (estimates from a part of the set, by about four and a half
-   standard deviations) are dropped; of the rest only links that join two parts are passed on, not all pairs.
+   estimates their similarity. Pairs well below the threshold are dropped (estimates from a part of the set where a pair
+   at the threshold shares so few values with a probability of MISS at most, by the binomial tail for the size of the
+   union sketch); of the rest only links that join two parts are passed on, not all pairs.
 5. Candidate clusters get the full sets of their members, and exact Jaccard similarity on these decides every link.
 
-Two documents at the threshold miss all KEYS lists, or are estimated too low, with a probability of about 1e-6; all that
-is linked is exact. Lists and clusters of any size are compared in blocks (see _blocks). A shingle is known by its 64-bit
+Two documents at the threshold miss all lists of single values, or are estimated too low, with a probability of at most
+MISS = 1e-6 each (see Limits); the lists of runs that replace hot values have no such bound. All that is linked is exact. Lists and clusters of any size are compared in blocks (see _blocks). A shingle is known by its 64-bit
 hash: within the few thousand shingles of two documents a collision has a probability of about 1e-12.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of one to four words is one
@@ -21,6 +22,8 @@ ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,10 +37,9 @@ from ._components import components, spanning_links
 SHINGLE = 5
 THRESHOLD = 85
 SKETCH = 64
-KEYS = 8
 RUNS = 16
 HOT = 3_000
-LOW_ESTIMATE = 0.65
+MISS = 1e-6
 CLUSTER_ROWS = 3_000
 CLUSTER_SHINGLES = 4_000_000
 BROADCAST_ROWS = 250_000
@@ -47,6 +49,31 @@ _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+class Limits:
+    """What follows from a threshold in hundredths."""
+
+    def __init__(self, threshold: int):
+        if not 50 <= threshold < 100:
+            raise ValueError(f"threshold must be 50 to 99 hundredths, not {threshold}")
+        self.threshold = threshold
+        share = threshold / 100
+        #: A set of n links with an unequal one only if n of n + 1 shingles reach the threshold.
+        self.smallest = -(-threshold // (100 - threshold))
+        #: One of the smallest values of the union that is shared is a key of both documents.
+        self.keys = math.ceil(math.log(MISS) / math.log(1 - share))
+        #: By the size of a union sketch, the shared values that a pair at the threshold has fewer of with a probability of MISS at most.
+        self.least = np.array([self._least(m, share) for m in range(2 * SKETCH + 1)])
+
+    @staticmethod
+    def _least(m: int, share: float) -> int:
+        tail = 0.0
+        for c in range(m + 1):
+            tail += math.comb(m, c) * share**c * (1 - share) ** (m - c)
+            if tail > MISS:
+                return c
+        return m
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > _CACHE:
@@ -120,40 +147,48 @@ class Overlaps:
         return int(np.argmax(np.bincount(np.repeat(np.arange(self.lengths.size), self.lengths), weights=self.counts[self.which], minlength=self.lengths.size)))
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> tuple[float, bool]:
-    """Similarity from the union sketch of two sketches, and whether it is exact (both are whole sets)."""
+def union_sketch(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> tuple[int, int, bool]:
+    """Shared values and size of the union sketch of two sketches, and whether it is exact (both are whole sets)."""
     cut_a, cut_b = a.size < n_a, b.size < n_b
     if cut_a or cut_b:
         limit = min(x[-1] for x, cut in ((a, cut_a), (b, cut_b)) if cut)
         a, b = a[: np.searchsorted(a, limit, "right")], b[: np.searchsorted(b, limit, "right")]
     shared = np.intersect1d(a, b, assume_unique=True).size
-    return shared / max(1, a.size + b.size - shared), not (cut_a or cut_b)
+    return shared, a.size + b.size - shared, not (cut_a or cut_b)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> tuple[float, bool]:
+    """Similarity from the union sketch of two sketches, and whether it is exact (both are whole sets)."""
+    shared, size, exact = union_sketch(a, b, n_a, n_b)
+    return shared / max(1, size), exact
 
 
-def likely_links(sketches: list[np.ndarray], sizes: np.ndarray) -> list[tuple[int, int]]:
+def likely_links(sketches: list[np.ndarray], sizes: np.ndarray, limits: Limits) -> list[tuple[int, int]]:
     overlaps = Overlaps(sketches)
 
     def linked(x: int) -> list[int]:
         shared = overlaps.with_member(x)
-        near = (100 * np.minimum(sizes, sizes[x]) >= THRESHOLD * np.maximum(sizes, sizes[x])) & (shared >= LOW_ESTIMATE * np.minimum(overlaps.lengths, overlaps.lengths[x]) * 0.9)
+        # The union sketch has at least as many values as the shorter of the two.
+        enough = shared >= np.maximum(1, limits.least[np.minimum(overlaps.lengths, overlaps.lengths[x])])
+        near = (100 * np.minimum(sizes, sizes[x]) >= limits.threshold * np.maximum(sizes, sizes[x])) & enough
         near[x] = False
         out = []
         for y in np.flatnonzero(near):
-            similar, exact = estimate(sketches[x], sketches[y], sizes[x], sizes[y])
-            if similar >= (THRESHOLD / 100 - 1e-9 if exact else LOW_ESTIMATE):
+            common, union, exact = union_sketch(sketches[x], sketches[y], sizes[x], sizes[y])
+            if 100 * common >= limits.threshold * union if exact else common >= limits.least[union]:
                 out.append(int(y))
         return out
 
     return spanning_links(len(sketches), linked, overlaps.central())
 
 
-def exact_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def exact_links(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
     overlaps = Overlaps(sets)
     sizes = overlaps.lengths
 
     def linked(x: int) -> np.ndarray:
         shared = overlaps.with_member(x)
-        near = 100 * shared >= THRESHOLD * (sizes + sizes[x] - shared)
+        near = 100 * shared >= threshold * (sizes + sizes[x] - shared)
         near[x] = False
         return np.flatnonzero(near)
 
@@ -164,14 +199,14 @@ def _pairs(ids: list[int], links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([ids[x] for x, _ in links], pa.int64()), "b": pa.array([ids[y] for _, y in links], pa.int64())})
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
+def _candidates(reps: DataFrame, keys: int) -> DataFrame:
     """Rows (key, id, listed): the lists that bring candidates together, with their lengths."""
 
-    def listed(keys: DataFrame) -> DataFrame:
-        counts = keys.groupBy("key").agg(F.count("*").alias("listed")).where("listed > 1")
-        return keys.join(counts, "key")
+    def listed(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("key").agg(F.count("*").alias("listed")).where("listed > 1")
+        return rows.join(counts, "key")
 
-    single = staged(listed(reps.select("id", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))), "lists")
+    single = staged(listed(reps.select("id", F.explode(F.slice("sketch", 1, keys)).alias("key"))), "lists")
     hot = single.where(F.col("listed") > HOT).select("id").distinct()
     runs = F.transform(
         F.sequence(F.lit(1), F.size("sketch") - 2),
@@ -181,22 +216,23 @@ def _candidates(reps: DataFrame) -> DataFrame:
     return single.where(F.col("listed") <= HOT).union(joint)
 
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_shingles, component_id, kept) for each row of documents."""
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """Rows (id, n_shingles, component_id, kept) for each row of documents; threshold is the least Jaccard similarity, in hundredths."""
+    limits = Limits(threshold)
     base = staged(sketch_table(documents, id_col, text_col), "sketches")
     classes = staged(base.where("n > 0 and id is not null").groupBy("whole").agg(F.min("id").alias("rep")), "classes")
-    # Sets of five shingles or fewer reach the threshold only when equal, and equal sets are one class.
-    reps = base.where(F.col("n") > 5).join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id", "whole"]).select("id", "n", "sketch")
+    # Smaller sets reach the threshold only when equal, and equal sets are one class.
+    reps = base.where(F.col("n") >= limits.smallest).join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id", "whole"]).select("id", "n", "sketch")
     reps = staged(reps, "reps")
 
-    lists = _candidates(reps)
+    lists = _candidates(reps, limits.keys)
     rows = in_blocks(lists, F.ceil(F.col("listed") / HOT), F.col("id")).select("key", "left", "right", "id")
     rows = rows.join(reps, "id")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, sizes = table["id"].to_pylist(), table["n"].to_numpy()
         sketches = [np.array(s, np.int64).view(np.uint64) for s in table["sketch"].to_pylist()]
-        return _pairs(ids, likely_links(sketches, sizes))
+        return _pairs(ids, likely_links(sketches, sizes, limits))
 
     likely = rows.groupBy("key", "left", "right").applyInArrow(compare, "a long, b long")
     clusters = staged(components(likely), "clusters")
@@ -217,7 +253,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     sets = in_blocks(texts.mapInArrow(trimmed(whole_sets), "id long, component long, blocks long, values binary"), F.col("blocks"), F.col("id"))
 
     def verify(table: pa.Table) -> pa.Table:
-        return _pairs(table["id"].to_pylist(), exact_links([np.frombuffer(v, np.uint64) for v in table["values"].to_pylist()]))
+        return _pairs(table["id"].to_pylist(), exact_links([np.frombuffer(v, np.uint64) for v in table["values"].to_pylist()], threshold))
 
     linked = components(sets.groupBy("component", "left", "right").applyInArrow(verify, "a long, b long"))
 
@@ -228,8 +264,8 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     return lowest.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def without_near_duplicates(documents: DataFrame) -> DataFrame:
+def without_near_duplicates(documents: DataFrame, *, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each group, the one with the smallest id, with its columns unchanged."""
-    found = near_duplicates(documents)
+    found = near_duplicates(documents, threshold=threshold)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
     return documents.join(gone, documents["doc_id"] == F.col("gone"), "left_anti")

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from canopy.llm import bpe, decontaminate, line_dedup, minhash, toxicity
 from canopy.llm._common import bounded_batches, shared_root, table
 
+#: Least Jaccard similarity of near copies on word shingles, in hundredths.
+NEAR = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -21,7 +24,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return minhash.without_near_duplicates(docs)
+    return minhash.without_near_duplicates(docs, threshold=NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

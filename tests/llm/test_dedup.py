@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from canopy.llm import _components, caps, minhash, suffix_dedup
 
 
@@ -91,6 +92,27 @@ def test_near_duplicates_of_null_ids_and_nothing(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_pipeline_stage_equals_brute_force_at_80(spark):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(500)]
+    texts = []
+    for _ in range(12):  # two words of a hundred changed: 86 of 106 shingles, 0.81
+        base = r.choices(words, k=100)
+        own = list(base)
+        own[30], own[60] = "new", "newer"
+        texts += [" ".join(base), " ".join(own)]
+    texts += [t for _ in range(12) for t in _copies(r, words, 8, 4)]
+    texts += ["a b c d e f g h", "a b c d e f g h i", "p q r s t u v", "p q r s t u v w"]  # 4 of 5 shingles, and 3 of 4
+    rows = list(enumerate(texts))
+    sets = _shingle_sets(rows)
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if b < a}
+    assert sum(0.8 <= x < 0.85 for x in share.values()) > 12
+    want = _roots(sets, [link for link in share if 100 * len(sets[link[0]] & sets[link[1]]) >= 80 * len(sets[link[0]] | sets[link[1]])])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {i for i in sets if want[i] == i}
+
+
 def test_estimate_is_exact_on_whole_sets():
     a, b = np.array([1, 2, 3, 4], np.uint64), np.array([2, 3, 4, 9], np.uint64)
     assert minhash.estimate(a, b, 4, 4) == (3 / 5, True)
