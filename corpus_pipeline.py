@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from canopy.llm import bpe, decontaminate, line_dedup, minhash, toxicity
 from canopy.llm._common import bounded_batches, shared_root, table
 
+#: Hosts of every size are judged by the ratio; one page alone repeats nothing.
+MIN_PAGES = 2
 #: Least Jaccard similarity of near copies on word shingles, in hundredths.
 NEAR = 80
 
@@ -19,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return line_dedup.drop_boilerplate(docs)
+    return line_dedup.drop_boilerplate(docs, min_pages=MIN_PAGES)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from canopy.llm import decontaminate, line_dedup, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
@@ -66,6 +67,14 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup_report(docs.limit(0)).count() == 0
 
 
+def test_pipeline_stage_judges_small_hosts(spark):
+    rows = [(k, "nineteen", f"own {k}\nfooter") for k in range(19)] + [(50 + k, "two", f"own {k}\nfooter") for k in range(2)]
+    rows += [(60, "one", "alone\nfooter"), (61, None, "a\nmenu"), (62, None, "b\nmenu")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate_lines(spark, docs, "").collect()}
+    assert out == {i: t if h == "one" else t.split("\n")[0] for i, h, t in rows}
+
+
 def test_line_dedup_by_shuffle_is_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "h", f"common\nline {k}") for k in range(40)], "doc_id long, source string, text string")
     first = sorted(map(tuple, line_dedup.drop_boilerplate(docs).collect()))
