@@ -7,8 +7,11 @@ of CLASS_SIZE that were found by halving their co-occurrence in documents; withi
 gives the word. All other words fall into RARE classes by their ending, where the corpus counts give the word with one
 added to each and one unit left for unknown words.
 
-The recurrence is a gated recurrent unit, trained by truncated backpropagation over windows of WINDOW tokens with Adam, on
-at most SAMPLE_DOCS whole training documents (the first by a hash of their id). Scoring runs many documents abreast and
+The recurrence is a gated recurrent unit, trained by truncated backpropagation over windows of WINDOW tokens with Adam. All
+training documents take part: co-occurrence for the word classes is summed over all of them, the biases of classes and
+words start from the corpus counts, and after a start on SAMPLE_DOCS whole documents (the first by a hash of their id)
+all documents, dealt into buckets of about BUCKET_TOKENS tokens, train the network, each bucket from the same start;
+the weights are averaged by the buckets' tokens. Scoring runs many documents abreast and
 carries each one's state from window to window, so a document's log-likelihood is that of its whole text.
 
 Defined cases: null and empty texts consist of the end alone; repeated rows are scored (and counted) each; a null id
@@ -20,6 +23,8 @@ from __future__ import annotations
 
 import io
 import zlib
+from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,10 @@ WINDOW = 32
 SAMPLE_DOCS = 4_000
 EPOCHS = 2
 ABREAST = 256
+BUCKET_TOKENS = 2_000_000
+RATE = 0.003
+LANES = 128
+PARTS = 16
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 
@@ -173,9 +182,11 @@ class Network:
             drive[t] = np.concatenate([both, d_fresh], 1)
         rows = drive.reshape(-1, 3 * n)
         g["bias"] = rows.sum(0)
-        embedded = p["embed"][inputs.ravel()]
-        g["inward"] = embedded.T @ rows
-        np.add.at(g["embed"], inputs.ravel(), rows @ p["inward"].T)
+        order = np.argsort(inputs.ravel(), kind="stable")
+        own, starts = np.unique(inputs.ravel()[order], return_index=True)
+        sums = np.add.reduceat(rows[order], starts)
+        g["inward"] = p["embed"][own].T @ sums
+        g["embed"][own] = sums @ p["inward"].T
         return g, out[-1]
 
     def dump(self) -> bytes:
@@ -192,23 +203,32 @@ class Network:
         return net
 
 
-def word_classes(texts: list[np.ndarray]) -> np.ndarray:
+def co_occurrence(texts: Iterable[np.ndarray], at_once: int = 1_000) -> np.ndarray:
+    """For each two frequent symbols, the texts that hold both."""
+    together, texts = np.zeros((FREQUENT, FREQUENT), np.int64), iter(texts)
+    while some := list(islice(texts, at_once)):
+        seen = np.zeros((FREQUENT, len(some)), np.float32)
+        for k, symbols in enumerate(some):
+            seen[symbols[symbols < FREQUENT], k] = 1
+        together += (seen @ seen.T).astype(np.int64)
+    return together
+
+
+def word_classes(together: np.ndarray) -> np.ndarray:
     """Classes of equal size: the frequent symbols are halved again and again along their main direction of co-occurrence."""
-    seen = np.zeros((FREQUENT, max(1, len(texts))), np.float32)
-    for k, symbols in enumerate(texts):
-        own = np.unique(symbols)
-        seen[own[own < FREQUENT], k] = 1
-    seen /= np.sqrt(seen.sum(1, keepdims=True) + 1)
+    root = np.sqrt(np.diag(together) + 1.0)
+    products = together / root[:, None] / root
     groups = [np.arange(FREQUENT)]
     while len(groups[0]) > CLASS_SIZE:
         halves = []
         for g in groups:
-            x = seen[g] - seen[g].mean(0)
-            v = x[int(np.argmax((x**2).sum(1)))].copy()
+            x = products[np.ix_(g, g)]
+            x = x - x.mean(0) - x.mean(1)[:, None] + x.mean()
+            v = x[int(np.argmax(np.diag(x)))]
             for _ in range(12):
-                v = x.T @ (x @ v)
+                v = x @ v
                 v /= np.linalg.norm(v) + 1e-12
-            order = g[np.argsort(x @ v, kind="stable")]
+            order = g[np.argsort(v, kind="stable")]
             halves += [order[: len(g) // 2], order[len(g) // 2 :]]
         groups = halves
     classes = np.zeros(FREQUENT, np.int64)
@@ -232,29 +252,43 @@ def abreast(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, in
     return lane, first, max(ends, default=0)
 
 
-def train(texts: list[np.ndarray], epochs: int = EPOCHS, lanes: int = 64, rate: float = 0.01) -> Network:
-    """texts are symbol sequences that close with the end (0)."""
-    net = Network(word_classes(texts))
+def counted_network(together: np.ndarray, counts: np.ndarray) -> Network:
+    """An untrained network with classes by co-occurrence and the biases that the symbols' counts give."""
+    net = Network(word_classes(together))
+    classes = np.bincount(net.class_of, weights=counts, minlength=Network.CLASSES) + 1.0
+    net.p["class_bias"] = np.log(classes / classes.sum()).astype(np.float32)
+    words = np.zeros((FREQUENT // CLASS_SIZE, CLASS_SIZE))
+    words[net.class_of[:FREQUENT], net.place[:FREQUENT]] = counts[:FREQUENT] + 1.0
+    net.p["word_bias"] = np.log(words / words.sum(1, keepdims=True)).astype(np.float32)
+    return net
+
+
+def train(texts: list[np.ndarray], epochs: int = EPOCHS, lanes: int = 64, rate: float = 0.01, net: Network | None = None) -> Network:
+    """texts are symbol sequences that close with the end (0); a given network is trained on."""
+    if net is None:
+        net = counted_network(co_occurrence(texts), np.bincount(np.concatenate([np.zeros(0, np.int64), *texts]), minlength=FREQUENT + RARE))
     if not texts:
         return net
     lengths = np.array([len(t) for t in texts])
     lane, first, steps = abreast(lengths, lanes)
+    used = np.bincount(lane, weights=lengths).astype(np.int64)
+    order = np.argsort(-used, kind="stable")  # the longest lanes first, so that the lanes still running are a prefix
+    lane, used = np.argsort(order, kind="stable")[lane], used[order]
     steps += -steps % WINDOW
     inputs = np.full((steps, lane.max() + 1), Network.START)
     targets, mask, fresh = np.zeros_like(inputs), np.zeros(inputs.shape, bool), np.zeros(inputs.shape, bool)
     for t, k, at in zip(texts, lane, first, strict=True):
         inputs[at + 1 : at + len(t), k] = t[:-1]
         targets[at : at + len(t), k], mask[at : at + len(t), k], fresh[at, k] = t, True, True
-    counts = np.bincount(net.class_of[targets[mask]], minlength=Network.CLASSES) + 1.0
-    net.p["class_bias"] = np.log(counts / counts.sum()).astype(np.float32)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     done, windows = 0, epochs * steps // WINDOW
     for _ in range(epochs):
         h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
         for at in range(0, steps, WINDOW):
             # A lane whose next document begins in this window starts the window with an empty state.
-            h = h * ~fresh[at : at + WINDOW].any(0)[:, None]
-            grads, h = net.gradients(inputs[at : at + WINDOW], targets[at : at + WINDOW], mask[at : at + WINDOW], h.astype(np.float32))
+            now = slice(at, at + WINDOW), slice(0, int((used > at).sum()))
+            h = h[now[1]] * ~fresh[now].any(0)[:, None]
+            grads, h = net.gradients(inputs[now], targets[now], mask[now], h.astype(np.float32))
             done += 1
             step = rate * (1 - done / (windows + 1)) + 1e-4
             norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
@@ -346,6 +380,73 @@ def _statistics(tokens: DataFrame):
     return top, sums
 
 
+def _symbols(texts: DataFrame, vocabulary) -> DataFrame:
+    """Rows (id, symbols binary): each text as packed symbols that close with the end."""
+
+    def run(batches):
+        own = Vocabulary(*vocabulary.value)
+        for batch in batches:
+            packed = [pack(np.array([*map(own.symbol, words_of(t)), 0], np.int64)) for t in utf8(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(packed, pa.binary())], names=["id", "symbols"])
+
+    return staged(texts.mapInArrow(trimmed(run), f"id {texts.schema['id'].dataType.simpleString()}, symbols binary"), "symbols")
+
+
+def _together(symbols: DataFrame) -> np.ndarray:
+    """co_occurrence of all texts: counts of each partition, summed in PARTS of the rows."""
+
+    def run(batches):
+        counts = co_occurrence(unpack(t) for b in batches for t in b["symbols"].to_pylist())
+        packed = [pack(rows.ravel()) for rows in np.split(counts, PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        counts = np.zeros(FREQUENT * FREQUENT // PARTS, np.int64)
+        for t in table["counts"].to_pylist():
+            counts += unpack(t)
+        return pa.table({"part": table["part"][:1], "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    parts = symbols.select("symbols").mapInArrow(trimmed(run), "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    together = np.zeros((PARTS, FREQUENT * FREQUENT // PARTS), np.int64)
+    for r in parts:
+        together[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    return together.reshape(FREQUENT, FREQUENT)
+
+
+def _averaged(symbols: DataFrame, start, buckets: int) -> Network:
+    """The network after one pass over all texts: each bucket trains from the same start, and weights are averaged by tokens."""
+    net = Network.load(start.value)
+    sizes = [v.size for v in net.p.values()]
+
+    def learn(table: pa.Table) -> pa.Table:
+        texts = [unpack(t).astype(np.int64) for t in sorted(table["symbols"].to_pylist())]
+        order = np.random.default_rng(len(texts)).permutation(len(texts))
+        own = train([texts[i] for i in order], 1, LANES, RATE, Network.load(start.value))
+        parts = np.array_split(np.concatenate([v.ravel() for v in own.p.values()]), PARTS)
+        n = sum(map(len, texts))
+        return pa.table(
+            {
+                "bucket": pa.array([table["bucket"][0].as_py()] * PARTS, pa.int64()),
+                "part": pa.array(range(PARTS), pa.int32()),
+                "tokens": pa.array([n] * PARTS, pa.int64()),
+                "weights": pa.array([x.tobytes() for x in parts], pa.binary()),
+            }
+        )
+
+    def mean(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["bucket"].to_pylist(), table["tokens"].to_pylist(), table["weights"].to_pylist(), strict=True))
+        summed = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for _, n, w in rows) / sum(n for _, n, _ in rows)
+        return pa.table({"part": table["part"][:1], "weights": pa.array([summed.astype(np.float32).tobytes()], pa.binary())})
+
+    dealt = symbols.select("symbols", F.pmod(F.xxhash64("id", "symbols"), F.lit(max(1, buckets))).alias("bucket"))
+    learned = staged(dealt.groupBy("bucket").applyInArrow(learn, "bucket long, part int, tokens long, weights binary"), "learned")
+    parts = {r["part"]: r["weights"] for r in learned.groupBy("part").applyInArrow(mean, "part int, weights binary").collect()}
+    if parts:
+        flat = np.frombuffer(b"".join(bytes(parts[k]) for k in range(PARTS)), np.float32)
+        net.p = {k: x.reshape(v.shape).copy() for (k, v), x in zip(net.p.items(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True)}
+    return net
+
+
 def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each document."""
     spark = documents.sparkSession
@@ -365,17 +466,24 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         rare_types[r["rare"]] -= 1
     vocabulary = spark.sparkContext.broadcast(([bytes(r["word"]) for r in top], n_train, total, distinct, rare_total, rare_types))
 
+    # Words of the rarer classes are symbols of their own, after the frequent ones.
+    own_counts = np.zeros(FREQUENT + RARE)
+    own_counts[: len(top) + 1], own_counts[FREQUENT:] = [n_train, *(r["total"] for r in top)], rare_total
+    symbols = _symbols(source.where("training").select("id", "text"), vocabulary)
+    network = spark.sparkContext.broadcast(counted_network(_together(symbols), own_counts).dump())
+
     picked = source.where("training").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    sample = staged(source.where("training").join(F.broadcast(picked), "id").select("id", "text"), "sample")
+    sample = staged(symbols.join(F.broadcast(picked), "id").select("id", "symbols"), "sample")
 
     def fit(batches):
-        own = Vocabulary(*vocabulary.value)
-        rows = [(i or 0, t or b"") for b in batches for i, t in zip(b["id"].to_pylist(), utf8(b["text"]), strict=True)]
-        texts = [np.array([*map(own.symbol, words_of(t)), 0], np.int64) for _, t in sorted(rows)]
-        yield pa.RecordBatch.from_arrays([pa.array([train(texts).dump()], pa.binary())], names=["net"])
+        rows = [(i or 0, t) for b in batches for i, t in zip(b["id"].to_pylist(), b["symbols"].to_pylist(), strict=True)]
+        net = train([unpack(t).astype(np.int64) for _, t in sorted(rows)], net=Network.load(network.value))
+        yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary())], names=["net"])
 
     fitted = sample.coalesce(1).mapInArrow(trimmed(fit), "net binary").first()
-    network = spark.sparkContext.broadcast(bytes(fitted["net"]) if fitted else train([]).dump())
+    start = spark.sparkContext.broadcast(bytes(fitted["net"]) if fitted else network.value)
+    learned = _averaged(symbols, start, -(-total // BUCKET_TOKENS))
+    network = spark.sparkContext.broadcast(learned.dump())
 
     def answer(lists: list[list[bytes]], counts: list[np.ndarray]) -> list[bytes]:
         own, known = Vocabulary(*vocabulary.value), {}

@@ -194,3 +194,36 @@ def test_surrogate_plan_is_native(spark):
     docs = spark.createDataFrame([(1, PRIVATE)], "doc_id long, text string")
     plan = surrogates.replace_entities(docs, "key")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_lm_learns_from_documents_outside_the_sample(spark):
+    r = np.random.default_rng(6)
+    texts = [" ".join(r.choice([f"a{j}" for j in range(20)], 40)) for _ in range(20)]
+    taught = " ".join(["odd", "even"] * 20)
+    rows = [*enumerate(texts), *((1000 + k, taught) for k in range(200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = [x["id"] for x in docs.selectExpr("doc_id as id", "xxhash64(doc_id) as h").orderBy("h", "id").collect() if zlib.crc32(str(x["id"]).encode()) % 7 != 2][0]
+    chosen = docs.where((F.col("doc_id") < 1000) | (F.col("doc_id") != first))
+    nets = []
+
+    def seen(net):
+        nets.append(net)
+        return net
+
+    averaged = lm._averaged
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm, "_averaged", lambda symbols, start, buckets: (nets.append(lm.Network.load(start.value)), seen(averaged(symbols, start, 3)))[1])
+        found = {x["doc_id"]: x["score"] for x in lm.score(chosen, sample_docs=1).collect()}
+    before, after = nets
+    assert all(np.isfinite(v).all() for v in after.p.values()) and any((before.p[k] != after.p[k]).any() for k in after.p)
+    # The start on one document knows next to nothing of the order of words; all documents teach it.
+    symbols = [np.array([1, 2] * 20 + [0])]
+    zero = [np.zeros(41)]
+    assert lm.document_scores(after, symbols, zero)[0] > lm.document_scores(before, symbols, zero)[0]
+    assert all(math.isfinite(x) for x in found.values())
+
+
+def test_lm_co_occurrence_counts_texts():
+    texts = [np.array([3, 5, 5, 0]), np.array([3, 0]), np.array([lm.FREQUENT + 1, 5, 0])]
+    together = lm.co_occurrence(texts, at_once=2)
+    assert (together[3, 3], together[3, 5], together[5, 5], together[0, 0], together[0, 5]) == (2, 1, 2, 3, 2)
