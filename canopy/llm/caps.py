@@ -2,9 +2,10 @@
 
 A random rotation and two books of random unit vectors on the halves of the space make a product code: a filter is a pair
 of code words, and its direction their concatenation. Each vector is decoded to the list of all filters whose direction it
-exceeds by the cap's height: with one half's scores sorted, the list is read off without trying every pair. Two vectors
-of cosine 0.95 share a filter with a probability of about 0.9995 (measured; more above the threshold) at FILTERS_PER_VECTOR filters; vectors
-that exceed few filters take their best LEAST ones.
+exceeds by the cap's height: with one half's scores sorted, the list is read off without trying every pair. Vectors that
+exceed few filters take their best ones, LEAST of them at books of up to LEAST_WORDS words and more as books grow
+(least_filters): pairs that share no filter are among these vectors, and a smaller cap misses more. The README has the
+measured share of pairs that meet, by size of the books.
 
 Vectors that share a filter meet in a group, in blocks where the group is large (see _blocks), and cosines in double
 precision decide. A pair that shares several filters is counted under the first of them only. A group gives each vector's
@@ -32,6 +33,7 @@ from ._components import Forest, components
 COSINE = 0.95
 FILTERS_PER_VECTOR = 32
 LEAST = 24
+LEAST_WORDS = 256
 GROUP_ROWS = 1_500
 SEED = 20_011
 
@@ -48,32 +50,32 @@ class ProductCode:
         for size in halves:
             book = random.standard_normal((words, size))
             self.books.append(book / np.linalg.norm(book, axis=1, keepdims=True) / math.sqrt(len(halves)))
-        self.words = words
+        self.words, self.least = words, least_filters(words)
         tail = min(0.5, per_vector / words ** len(halves))
         self.height = _normal_quantile(tail) / math.sqrt(dim)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """For each row, the filters that it exceeds, and at least its best LEAST."""
+        """For each row, the filters that it exceeds, and at least its best `least`."""
         turned = unit @ self.rotation
         first = turned[:, : self.cut] @ self.books[0].T
         if len(self.books) == 1:
             scores = [(np.arange(self.words), row) for row in first]
-            return [np.sort(ids[np.argsort(-s)[: max(LEAST, int((s > self.height).sum()))]]) for ids, s in scores]
+            return [np.sort(ids[np.argsort(-s)[: max(self.least, int((s > self.height).sum()))]]) for ids, s in scores]
         second = turned[:, self.cut :] @ self.books[1].T
         order = np.argsort(-second, axis=1)
         out = []
         for a, b, by in zip(first, second, order, strict=True):
             falling = b[by]
             n = np.searchsorted(-falling, a - self.height, "left")  # words of the second book with b >= height - a
-            if n.sum() >= LEAST:
+            if n.sum() >= self.least:
                 left = np.repeat(np.arange(self.words), n)
                 ends = np.cumsum(n)
                 right = by[np.arange(ends[-1]) - np.repeat(ends - n, n)]
             else:
-                few = min(LEAST, self.words)
+                few = min(self.least, self.words)
                 best_a, best_b = np.argsort(-a)[:few], by[:few]
                 sums = (a[best_a][:, None] + b[best_b][None, :]).ravel()
-                top = np.argsort(-sums)[:LEAST]
+                top = np.argsort(-sums)[: self.least]
                 left, right = best_a[top // few], best_b[top % few]
             out.append(np.sort(left * self.words + right))
         return out
@@ -88,6 +90,11 @@ def _normal_quantile(tail: float) -> float:
     return low
 
 
+def least_filters(words: int) -> int:
+    """Filters that a vector takes at least: in step with the root of the book's growth, so that recall does not fall."""
+    return math.ceil(LEAST * math.sqrt(max(1.0, words / LEAST_WORDS)))
+
+
 def code_words(vectors: int) -> int:
     """Words of a book: filters grow with the vectors, so that a filter's group does not."""
     return int(min(2048, max(16, 2 ** round(math.log2(max(1.0, math.sqrt(vectors / 3)))))))

@@ -150,6 +150,22 @@ def test_caps_recall_on_pairs_at_the_threshold():
     assert np.mean(shared) > 0.995
 
 
+@pytest.mark.parametrize("words", [1024, 2048])
+def test_caps_recall_does_not_fall_with_larger_books(words):
+    r = np.random.default_rng(1)
+    code = caps.ProductCode(64, words, caps.FILTERS_PER_VECTOR)
+    missed = 0
+    for _ in range(8):
+        a = r.standard_normal((500, 64))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = r.standard_normal((500, 64))
+        b -= (a * b).sum(1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        b = 0.9505 * a + np.sqrt(1 - 0.9505**2) * b
+        missed += sum(np.intersect1d(x, y).size == 0 for x, y in zip(code.decode(a), code.decode(b), strict=True))
+    assert missed <= 1
+
+
 def _brute_repeats(rows, length=50):
     out, seen = {}, {}
     for i in sorted({i for i, _ in rows if i is not None}):
