@@ -1,5 +1,6 @@
 """Near and exact duplicates: against brute force, with the defined edge cases and forced hot groups."""
 
+import math
 import random
 import re
 
@@ -113,6 +114,13 @@ def test_pipeline_stage_equals_brute_force_at_80(spark):
     assert kept == {i for i in sets if want[i] == i}
 
 
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_estimate_drops_one_in_a_million_at_most(threshold):
+    limits, share = minhash.Limits(threshold), threshold / 100
+    for m in range(62, 71):
+        assert sum(math.comb(m, c) * share**c * (1 - share) ** (m - c) for c in range(limits.least[m])) <= 1e-6
+
+
 def test_estimate_is_exact_on_whole_sets():
     a, b = np.array([1, 2, 3, 4], np.uint64), np.array([2, 3, 4, 9], np.uint64)
     assert minhash.estimate(a, b, 4, 4) == (3 / 5, True)
