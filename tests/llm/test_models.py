@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -182,12 +183,73 @@ def test_surrogates(spark):
 
 
 def test_surrogates_stay_distinct_when_draws_clash(spark):
-    units = spark.createDataFrame([("ssn", f"1{k:02d}") for k in range(100)], "kind string, key string")
-    with pytest.raises(ValueError, match="distinct"):
-        surrogates.assign(units, "key", rounds=3)
-    units = units.where("key < '140'")
-    drawn = [x["drawn"] for x in surrogates.assign(units, "key", rounds=60).collect()]
-    assert len(drawn) == len(set(drawn)) == 40 and not set(drawn) & {f"1{k:02d}" for k in range(40)}
+    keys = [f"1{k:02d}" for k in range(100)]  # every number of the format is a real one
+    units = spark.createDataFrame([("ssn", k, "") for k in keys], "kind string, key string, gender string")
+    for rounds in (2, 10):
+        drawn = {x["key"]: x["drawn"] for x in surrogates.assign(units, "key", rounds=rounds).collect()}
+        assert sorted(drawn) == keys and len(set(drawn.values())) == 100 and not set(drawn.values()) & set(keys)
+
+
+def test_short_addresses_stay_distinct(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, f"mail {a}@{b}.co") for k, (a, b) in enumerate((a, b) for a in letters for b in letters)]
+    found = [x["text"] for x in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()]
+    assert len(set(found)) == 676 and not set(found) & {t for _, t in rows}
+    assert all(re.fullmatch(r"mail [a-z]+@[a-z]\.co", t) for t in found)
+
+
+def _iban_ok(account):
+    turned = account[4:] + account[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+def test_one_surrogate_for_one_person_phone_and_address(spark):
+    rows = [
+        (1, "Mr John Smith came. Dr John Smith spoke, and John Smith's friend; JOHN left, Smithson stayed."), (2, "Prof. John Smith"), (3, "call +1 (212) 555-0187 or (212) 555-0187"),
+        (4, "from fe80::1a2 to FE80:0:0:0:0:0:0:01a2, at 12:30:45, a::b"), (5, "pay DE89 3704 0044 0532 0130 00, or DE89370400440532013000, not DE88370400440532013000"), (6, "John Smith without a form of address"),
+    ]
+    out = {x["doc_id"]: (x["text"], x["n_entities"]) for x in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    name = re.fullmatch(r"Mr (\w+) (\w+) came\. Dr (\w+) (\w+) spoke, and (\w+) (\w+)'s friend; (\w+) left, Smithson stayed\.", out[1][0])
+    assert name[1] == name[3] == name[5] == name[7].title() != "John" and name[2] == name[4] == name[6] != "Smith" and out[1][1] == 5 and name[1].endswith("n")
+    assert out[2][0] == f"Prof. {name[1]} {name[2]}" and out[6] == (rows[5][1], 0)
+    phone = re.fullmatch(r"call \+1 (\(\d{3}\) \d{3}-\d{4}) or (\(\d{3}\) \d{3}-\d{4})", out[3][0])
+    assert phone[1] == phone[2] != "(212) 555-0187"
+    address = re.fullmatch(r"from (\S+) to (\S+), at 12:30:45, a::b", out[4][0])
+    assert address[1] == address[2] and address[1].count(":") == 7
+    account = re.fullmatch(r"pay (DE\d\d(?: \d{4}){4} \d\d), or (DE\d{20}), not DE88370400440532013000", out[5][0])
+    assert account[1].replace(" ", "") == account[2] != "DE89370400440532013000" and _iban_ok(account[2])
+
+
+def test_surrogates_of_planted_entities(spark, monkeypatch):
+    """Against templates whose entities are known: all of them go, nothing else changes, and entities map one to one."""
+    monkeypatch.setattr(surrogates, "HOT", 5)
+    r = random.Random(4)
+    digits = lambda n: "".join(r.choices("0123456789", k=n))
+
+    def card():
+        body = "4" + digits(14)
+        return body + next(d for d in "0123456789" if _luhn(body + d))
+
+    make = {
+        "email": (lambda: f"{r.choice('abc')}{digits(2)}@{r.choice('xyz')}.org", r"[a-z]+\d*@[a-z]+\.org", lambda s: True), "ip": (lambda: f"10.{r.randint(0, 9)}.7.{r.randint(0, 9)}", r"\d+(?:\.\d+){3}", lambda s: True),
+        "card": (card, r"4\d{15}", _luhn), "ssn": (lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", r"\d{3}-\d{2}-\d{4}", lambda s: True), "secret": (lambda: "a1" + "".join(r.choices("0123456789abcdef", k=38)), "[0-9a-f]{40}", lambda s: True),
+        "phone": (lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", r"\(\d{3}\) \d{3}-\d{4}", lambda s: True), "name": (lambda: f"Frau {r.choice(['Ada', 'Eva'])} {r.choice(['Holm', 'Lund', 'Berg'])}", r"Frau \w+la \w+r", lambda s: True),
+    }
+    pool = {k: [f() for _ in range(6)] for k, (f, _, _) in make.items()}
+    rows, shapes = [], {}
+    for k in range(80):
+        kinds = r.choices(list(make), k=r.randint(0, 6))
+        own = [r.choice(pool[x]) for x in kinds]
+        rows.append((k, "start " + " und ".join(own) + " end"))
+        shapes[k] = (kinds, own, "start " + " und ".join(f"({make[x][1]})" for x in kinds) + " end")
+    new = {}
+    for x in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect():
+        kinds, own, shape = shapes[x["doc_id"]]
+        match = re.fullmatch(shape, x["text"])
+        assert match and x["n_entities"] == len(own), (x, shape)
+        for kind, real, drawn in zip(kinds, own, match.groups(), strict=True):
+            assert new.setdefault(real, drawn) == drawn and make[kind][2](drawn), (kind, real, drawn)
+    assert len(set(new.values())) == len(new) and not set(new.values()) & set(new)
 
 
 def test_surrogate_plan_is_native(spark):
