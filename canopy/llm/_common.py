@@ -15,10 +15,12 @@ _OWN_ROOT: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a private one only where that is unset (local tests)."""
+    """Folder named by spark.checkpoint.dir; a private one only where that is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="canopy-")
@@ -41,6 +43,10 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: A key is hot in more rows than HOT_ROWS that are also more than one in HOT_SHARE of all: at most HOT_SHARE keys are, so a table of them may be broadcast.
+HOT_ROWS, HOT_SHARE = 20_000, 10_000
+
+
 def crc_of_id(column: str) -> Column:
     """crc32 of the id written as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))

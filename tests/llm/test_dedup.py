@@ -127,23 +127,55 @@ def test_estimate_is_exact_on_whole_sets():
     assert minhash.estimate(a, b, 9, 4) == (3 / 4, False)
 
 
-@pytest.mark.parametrize("group_rows", [1_500, 7])
-def test_caps_equal_brute_force(spark, monkeypatch, group_rows):
-    monkeypatch.setattr(caps, "GROUP_ROWS", group_rows)
+@pytest.mark.parametrize("small", [False, True])
+def test_caps_equal_brute_force(spark, monkeypatch, small):
+    if small:  # lists, tiles and parts of a few rows
+        for name in ("LIST_ROWS", "BLOCK_ROWS", "TILE", "HOT_ROWS", "PACK_ROWS"):
+            monkeypatch.setattr(caps, name, {"TILE": 16, "HOT_ROWS": 2, "PACK_ROWS": 50}.get(name, 7))
     r = np.random.default_rng(4)
     base = r.standard_normal((60, 16))
     rows = [b + r.standard_normal(16) * s for b in base for s in (0, 0.05, 0.15)] + [base[0] + r.standard_normal(16) * 0.1 for _ in range(25)]
     vectors = [(k, [float(x) for x in v]) for k, v in enumerate(rows)]
     vectors += [(900, vectors[3][1]), (901, [2 * x for x in vectors[3][1]]), (902, None), (903, []), (904, [0.0] * 16), (905, [float("nan")] * 16), (906, [None] * 16), (907, [1.0, 2.0]), (908, [2.0, 4.0]), (909, [float("inf")] * 16)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "unit": F.lit(2), "weight": F.lit(3), "filters": F.lit(4), "label": F.lit(0)})
+    vectors += [(910, [3.0]), (911, [-3.0]), (912, [5.0]), (913, [1e-300, 2e-300]), (914, [1e200, 2e200]), (915, [1.0, None])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "raw": F.lit(2), "weight": F.lit(3), "class": F.lit(4), "label": F.lit(0)})
     found = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in caps.near_duplicates(df).collect()}
-    good = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    good = {i: np.array(v) / max(map(abs, v)) for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    good = {i: v / np.linalg.norm(v) for i, v in good.items()}
     links = [(a, b) for a in good for b in good if a != b and good[a].size == good[b].size and good[a] @ good[b] >= 0.95]
     want = _roots([i for i, _ in vectors], links)
     assert found == {i: (sum(a == i for a, _ in links), want[i], want[i] == i) for i, _ in vectors}
     assert caps.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.1, 1.0, 0.0]), (None, [1.0, 0.0, 0.0]), (4, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = sorted((x["vec_id"] or 0, x["n_links"], x["component_id"], x["kept"]) for x in caps.near_duplicates(df).collect())
+    assert found[1:] == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+    assert found[0] == (0, 0, None, True)
+
+
+def test_coarse_cosines_are_never_short_by_more_than_the_margin():
+    r = np.random.default_rng(5)
+    for dim in (2, 16, 64, 700):
+        a = caps.units(r.standard_normal((400, dim)) ** 3)
+        b = caps.units(a + r.standard_normal((400, dim)) * 0.3 / np.sqrt(dim))
+        (p, s), (q, t) = caps.coarse(a), caps.coarse(b)
+        rough = (p.astype(np.float32) * s[:, None] * (q.astype(np.float32) * t[:, None])).sum(1)
+        assert ((a * b).sum(1) - rough).max() <= caps.margin(dim, max(s.max(), t.max()))
+
+
+def test_connecting_pairs_connect_what_is_connected(monkeypatch):
+    monkeypatch.setattr(caps, "TILE", 16)
+    r = np.random.default_rng(6)
+    for n in (1, 2, 5, 40, 90):
+        for sides in (None, r.integers(0, 2, n)):
+            x = caps.units(r.standard_normal((n, 3)))
+            near = {(i, j) for i in range(n) for j in range(n) if i != j and x[i] @ x[j] >= 0.97 and (sides is None or sides[i] != sides[j])}
+            assert _roots(range(n), caps.connecting(x, sides, 0.97)) == _roots(range(n), near)
+
+
 def test_caps_recall_on_pairs_at_the_threshold():
     """Pairs at a cosine of just 0.95 share a filter."""
     r = np.random.default_rng(8)
