@@ -131,6 +131,46 @@ def test_chain_on_held_out_pages():
     assert wrong / total < 0.01
 
 
+# Layouts that the training pages do not have: (page, with A for each article block and X for what surrounds it).
+LAYOUTS = [
+    "<body><div id=wrap><div class=kopf><a href=/>X</a></div><div class=artikel><h1>A</h1><p>A</p><p>A</p><p>A</p></div><div class=rechts><h4>X</h4><ul><li><a href=/1>X</a><li><a href=/2>X</a></ul></div><div class=fuss>&copy; X</div></div></body>",
+    "<body><center><table width=800><tr><td colspan=2><font size=5>X</font></td></tr><tr><td width=150><a href=a>X</a><br><a href=b>X</a><br><a href=c>X</a></td><td><p>A<p>A<p>A</td></tr><tr><td colspan=2>&copy; X</td></tr></table></center></body>",
+    "<body><section id=top-bar><a href=/>X</a> <a href=/in>X</a></section><main><section><h2>A</h2><p>A</p></section><section><h2>A</h2><p>A</p><p>A</p></section></main><section class=footer-wrap><p>&copy; X</p></section></body>",
+    "<article><header><h1>A</h1></header><p>A</p><figure><img src=i><figcaption>A</figcaption></figure><p>A</p></article>",
+    "<html><body><div><p>A</p><p>A</p></div></body></html>",
+    "<article><p>A</p></article>",
+    "<body><ul class=crumbs><li><a href=1>X</a><li><a href=2>X</a><li><a href=3>X</a></ul><div class=c1><div class=c2><div class=c3><h1>A</h1><p>A</p><ul><li>A</li><li>A</li></ul><p>A</p></div></div></div><div class=cookie-banner>X</div></body>",
+    "<body><div role=navigation><a href=1>X</a><a href=2>X</a><a href=3>X</a></div><div itemprop=articleBody><p>A</p><blockquote>A</blockquote><p>A</p></div><div id=comments><div class=comment><p>X</p></div><div class=comment><p>X</p></div></div></body>",
+    "<body><form action=/s><input name=q><button>X</button></form><h1>A</h1><p>A</p><p>A</p><p>A</p><div class=related-posts><a href=1>X</a><a href=2>X</a></div><footer><p>X</p><p><a href=i>X</a></p></footer></body>",
+    "<body><div class=grid><div class=col><nav><a href=1>X</a><a href=2>X</a></nav></div><div class=col><h1>A</h1><p>A</p><p>A</p><div class=ad-slot>X</div><p>A</p></div><div class=col><aside><h3>X</h3><a href=3>X</a></aside></div></div></body>",
+]
+
+
+def test_chain_on_layouts_it_was_not_trained_on():
+    r = random.Random(12)
+    vocabulary = "Haus Weg river stone light lumière jardin casa noche under über between walks sings grows old new three".split()
+
+    def fill(mark, before):
+        words = [r.choice(vocabulary) for _ in range(r.randint(12, 50) if mark == "A" else r.randint(1, 5))]
+        if mark == "A" and before.endswith(("<h1>", "<h2>", "<figcaption>")):
+            words = words[:6]
+            return f"own{r.randrange(10**9)} " + " ".join(words)
+        return f"own{r.randrange(10**9)} " + " ".join(words).capitalize() + ("." if mark == "A" else "")
+
+    chain, right, wrong, missed = extract.trained_chain(), 0, 0, 0
+    for layout in LAYOUTS:
+        for _ in range(6):
+            page, want, at = "", [], 0
+            for m in re.finditer(r"(?<=[> ])[AX](?=<)", layout):
+                text = fill(m[0], layout[: m.start()])
+                page += layout[at : m.start()] + text
+                at = m.end()
+                want += [text] if m[0] == "A" else []
+            got = extract.main_text(page + layout[at:], chain).split("\n")
+            right, wrong, missed = right + len(set(got) & set(want)), wrong + len(set(got) - set(want)), missed + len(set(want) - set(got))
+    assert right / (right + wrong) >= 0.95 and right / (right + missed) >= 0.95, (right, wrong, missed)
+
+
 def test_viterbi_equals_enumeration():
     r = np.random.default_rng(0)
     chain = extract.Chain(r.standard_normal((len(extract.FEATURES), 2)), r.standard_normal((2, 2)))
