@@ -22,13 +22,17 @@ with a null id; entities that fail validation stay; long texts are read whole. O
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import HOT_ROWS, HOT_SHARE, staged
 
 ROUNDS = 24
-HOT = 20_000
+HOT = HOT_ROWS
 
 # Forms of address, by the gender they tell, and the syllables that invented names are made of.
 MALE = "Mr Herr Señor Monsieur господин".split()
@@ -41,21 +45,38 @@ _TITLE = "|".join(sorted([*MALE, *FEMALE, *NEUTRAL], key=len, reverse=True))  #
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _WORD = r"\p{Lu}(?:['’]\p{Lu})?[\p{L}-]+"
-_EMAIL = r"(?<![\w.+-])[\w.+-]++@[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}\.[A-Za-z]{2,}"
-_IP = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)"
-_IP6 = rf"(?<![\w:.])(?=[A-Fa-f:]{{0,38}}\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::(?:{_HEX}:){{0,6}}{_HEX}|(?:{_HEX}:){{2,7}}:)(?![\w:])"
-_IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-_CARD = r"(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\w)"
-_PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"
-_SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-_SECRET = r"(?<!\w)(?=[0-9a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,64}(?!\w)"
-_NAME = rf"(?<!\p{{L}})(?:{_TITLE})\.?(?: {_WORD}){{1,3}}"
-PATTERN = "(?U)" + "|".join([_EMAIL, _IP6, _IP, _IBAN, _CARD, _PHONE, _SSN, _SECRET, _NAME])
+# All that is found starts where no word goes on, so the whole pattern asks that first.
+_EMAIL = r"(?<![.+-])[\w.+-]++@[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}\.[A-Za-z]{2,}"
+_IP = rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)"
+_IP6 = rf"(?<![:.])(?=[A-Fa-f:]{{0,38}}\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::(?:{_HEX}:){{0,6}}{_HEX}|(?:{_HEX}:){{2,7}}:)(?![\w:])"
+_IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+_CARD = r"(?<!\.)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\w)"
+_PHONE = r"(?<!\+)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<!\+)\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)|(?<![+.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"
+_SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])"
+_SECRET = r"(?=[0-9a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,64}(?!\w)"
+_NAME = rf"(?:{_TITLE})\.?(?: {_WORD}){{1,3}}"
+_NUMBERS = "|".join([_IP6, _IP, _IBAN, _CARD, _PHONE, _SSN, _SECRET])
+
+
+def _any_of(*kinds: str) -> str:
+    return rf"(?U)(?<!\w)(?:{'|'.join(kinds)})"
+
+
+PATTERN = _any_of(_EMAIL, _NUMBERS, _NAME)
 _BARE = rf"(?U)(?<!\p{{L}}){_WORD}"
-_HINT = rf"[0-9@]|(?:{_TITLE})\b"
 NAMES = ("given", "family")
 
 
+def _found(text: Column) -> Column:
+    """All that the pattern finds, null if it can find nothing; kinds that a text has no sign of are not looked for."""
+    signs = [(_EMAIL, text.contains("@")), (_NUMBERS, text.rlike("[0-9]")), (_NAME, reduce(or_, [text.contains(t) for t in [*MALE, *FEMALE, *NEUTRAL]]))]
+    out = F.when(text.isNull(), None)
+    for n in (3, 2, 1):
+        for some in combinations(signs, n):
+            out = out.when(reduce(and_, [sign for _, sign in some]), F.regexp_extract_all(text, F.lit(_any_of(*[kind for kind, _ in some])), F.lit(0)))
+    return out
+
+
 def _kind(surface: Column) -> Column:
     digits = _digits(surface)
     return (
@@ -248,7 +269,7 @@ def _spread(surfaces: DataFrame, surrogates: DataFrame) -> DataFrame:
     """surfaces joined with surrogates on entity, without gathering the rows of an entity that very many documents hold."""
     counts = staged(surfaces.groupBy("entity").agg(F.count("*").alias("held")), "held")
     total = counts.agg(F.sum("held")).first()[0] or 0
-    often = F.broadcast(counts.where(F.col("held") > max(HOT, total // 10_000)).select("entity"))  # 10,000 rows at most
+    often = F.broadcast(counts.where(F.col("held") > max(HOT, total // HOT_SHARE)).select("entity"))  # 10,000 rows at most
     hot = surfaces.join(often, "entity", "left_semi").join(F.broadcast(surrogates.join(often, "entity", "left_semi")), "entity")
     cold = surfaces.join(often, "entity", "left_anti").join(surrogates.join(often, "entity", "left_anti"), "entity")
     return hot.unionByName(cold)
@@ -257,8 +278,7 @@ def _spread(surfaces: DataFrame, surrogates: DataFrame) -> DataFrame:
 def replace_entities(documents: DataFrame, secret: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents with text_col rewritten, and n_entities: how many entities were replaced."""
     text = F.col(f"`{text_col}`").cast("string")
-    found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), found.alias("found"))
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), _found(text).alias("found"))
     # Numbers of rows are settled by staging: a lost executor does not deal them anew.
     base = staged(whole.withColumn("number", F.monotonically_increasing_id()), "found")
     base = base.withColumn("text", F.col(f"row.`{text_col}`").cast("string"))
@@ -289,7 +309,8 @@ def replace_entities(documents: DataFrame, secret: str, *, id_col: str = "doc_id
         return F.map_from_entries(F.array_distinct(F.transform(own, lambda w: F.struct(w["key"].alias("key"), w["drawn"].alias("drawn")))))
 
     maps = staged(maps.select("number", "swap", *[F.when(F.size("words") > 0, lookup(k)).alias(k) for k in NAMES]), "maps")
-    both = base.join(maps, "number", "left")
+    marked = F.coalesce(F.size("found") > 0, F.lit(False))
+    both = base.where(marked).join(maps, "number", "left")  # texts without finds are not shuffled
 
     def bare(piece: Column) -> Column:
         """A stretch between entities, as (text, number of replaced words)."""
@@ -307,7 +328,7 @@ def replace_entities(documents: DataFrame, secret: str, *, id_col: str = "doc_id
     joined = F.concat(F.array_join(F.zip_with(F.slice("pieces", 1, F.size("found")), swapped, lambda a, b: F.concat(a["text"], b)), ""), F.element_at("pieces", -1)["text"])
     count = F.size(F.filter("found", lambda e: F.try_element_at("swap", e).isNotNull())) + F.aggregate("pieces", F.lit(0), lambda n, p: n + p["n"])
     new, n = F.when(F.col("swap").isNull(), F.col("text")).otherwise(joined), F.when(F.col("swap").isNull(), 0).otherwise(count).cast("long")
-    both = both.select("row", new.alias("new"), n.alias("n"))
+    both = both.select("row", new.alias("new"), n.alias("n")).union(base.where(~marked).select("row", F.col("text").alias("new"), F.lit(0).cast("long").alias("n")))
     columns = [F.col("new").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in documents.columns if c != "n_entities"]
     return both.select(*columns, F.col("n").alias("n_entities"))
 
