@@ -7,12 +7,13 @@ of CLASS_SIZE that were found by halving their co-occurrence in documents; withi
 gives the word. All other words fall into RARE classes by their ending, where the corpus counts give the word with one
 added to each and one unit left for unknown words.
 
-The recurrence is a gated recurrent unit, trained by truncated backpropagation over windows of WINDOW tokens with Adam. All
-training documents take part: co-occurrence for the word classes is summed over all of them, the biases of classes and
-words start from the corpus counts, and after a start on SAMPLE_DOCS whole documents (the first by a hash of their id)
-all documents, dealt into buckets of about BUCKET_TOKENS tokens, train the network, each bucket from the same start;
-the weights are averaged by the buckets' tokens. Scoring runs many documents abreast and
-carries each one's state from window to window, so a document's log-likelihood is that of its whole text.
+The recurrence is a gated recurrent unit, trained by truncated backpropagation over windows of WINDOW tokens with Adam; its
+state is dropped where a document begins. All training documents take part, each once: co-occurrence for the word classes is
+summed over all of them, the biases of classes and words start from the corpus counts, and the network learns in ROUNDS that
+each take a share of the documents by a hash. A round's documents are dealt into buckets of about BUCKET_TOKENS tokens that
+train side by side from the same start; the weights are averaged by the buckets' tokens and start the next round. Scoring
+runs many documents abreast and carries each one's state from window to window, so a document's log-likelihood is that of
+its whole text.
 
 Defined cases: null and empty texts consist of the end alone; repeated rows are scored (and counted) each; a null id
 counts as empty text in the split into parts; with no training documents the counts are zero and the untrained network
@@ -41,12 +42,13 @@ RARE = 64
 HIDDEN = 16
 EMBED = 16
 WINDOW = 32
-SAMPLE_DOCS = 4_000
 EPOCHS = 2
 ABREAST = 256
 BUCKET_TOKENS = 2_000_000
-RATE = 0.003
-LANES = 128
+#: Rounds of training: thousandths of the documents that are done after each, the rate that it starts with, lanes abreast.
+ROUNDS = [(100, 0.015, 48), (300, 0.01, 64), (600, 0.006, 96), (1000, 0.004, 96)]
+#: Lanes are fewer where a bucket's texts would fill fewer windows than these.
+LEAST_WINDOWS = 128
 PARTS = 16
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
@@ -111,12 +113,17 @@ class Network:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def states(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """inputs (steps, abreast) -> states after each step; keep collects what backpropagation needs."""
+    def states(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None, begins: np.ndarray | None = None) -> np.ndarray:
+        """inputs (steps, abreast) -> states after each step; keep collects what backpropagation needs.
+
+        Where begins is true a document begins, and the state of the one before is dropped.
+        """
         p, n = self.p, HIDDEN
         drive = (p["embed"] @ p["inward"] + p["bias"])[inputs]
         out = np.empty((*inputs.shape, n), np.float32)
         for t in range(len(inputs)):
+            if begins is not None and begins[t].any():
+                h = h * ~begins[t][:, None]
             gates = _sigmoid(drive[t, :, : 2 * n] + h @ p["gates"])
             update, reset = gates[:, :n], gates[:, n:]
             fresh = np.tanh(drive[t, :, 2 * n :] + (reset * h) @ p["fresh"])
@@ -147,10 +154,12 @@ class Network:
             out[own] += inner[np.arange(own.size), self.place[targets[own]]] - top - np.log(np.exp(inner - top[:, None]).sum(1))
         return out.astype(np.float64) / np.log(10) + rare_log10
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    def gradients(
+        self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray, begins: np.ndarray | None = None
+    ) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the mean cross-entropy over one window, and the state to carry on."""
         p, n, keep = self.p, HIDDEN, []
-        out = self.states(inputs, h, keep)
+        out = self.states(inputs, h, keep, begins)
         flat, goal, weight = out.reshape(-1, n), targets.ravel(), mask.ravel().astype(np.float32) / max(1, mask.sum())
         classes = self.class_of[goal]
         g = {k: np.zeros_like(v) for k, v in p.items()}
@@ -179,6 +188,8 @@ class Network:
             g["gates"] += before.T @ both
             g["fresh"] += (reset * before).T @ d_fresh
             back = d * (1 - update) + inward * reset + both @ p["gates"].T
+            if begins is not None and begins[t].any():
+                back = back * ~begins[t][:, None]
             drive[t] = np.concatenate([both, d_fresh], 1)
         rows = drive.reshape(-1, 3 * n)
         g["bias"] = rows.sum(0)
@@ -285,10 +296,8 @@ def train(texts: list[np.ndarray], epochs: int = EPOCHS, lanes: int = 64, rate:
     for _ in range(epochs):
         h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
         for at in range(0, steps, WINDOW):
-            # A lane whose next document begins in this window starts the window with an empty state.
             now = slice(at, at + WINDOW), slice(0, int((used > at).sum()))
-            h = h[now[1]] * ~fresh[now].any(0)[:, None]
-            grads, h = net.gradients(inputs[now], targets[now], mask[now], h.astype(np.float32))
+            grads, h = net.gradients(inputs[now], targets[now], mask[now], h[now[1]], fresh[now])
             done += 1
             step = rate * (1 - done / (windows + 1)) + 1e-4
             norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
@@ -413,17 +422,17 @@ def _together(symbols: DataFrame) -> np.ndarray:
     return together.reshape(FREQUENT, FREQUENT)
 
 
-def _averaged(symbols: DataFrame, start, buckets: int) -> Network:
-    """The network after one pass over all texts: each bucket trains from the same start, and weights are averaged by tokens."""
+def _averaged(symbols: DataFrame, start, buckets: int, rate: float, lanes: int) -> Network:
+    """The network after one pass over the texts: each bucket trains from the same start, and weights are averaged by tokens."""
     net = Network.load(start.value)
     sizes = [v.size for v in net.p.values()]
 
     def learn(table: pa.Table) -> pa.Table:
         texts = [unpack(t).astype(np.int64) for t in sorted(table["symbols"].to_pylist())]
         order = np.random.default_rng(len(texts)).permutation(len(texts))
-        own = train([texts[i] for i in order], 1, LANES, RATE, Network.load(start.value))
-        parts = np.array_split(np.concatenate([v.ravel() for v in own.p.values()]), PARTS)
         n = sum(map(len, texts))
+        own = train([texts[i] for i in order], 1, max(2, min(lanes, n // (WINDOW * LEAST_WINDOWS))), rate, Network.load(start.value))
+        parts = np.array_split(np.concatenate([v.ravel() for v in own.p.values()]), PARTS)
         return pa.table(
             {
                 "bucket": pa.array([table["bucket"][0].as_py()] * PARTS, pa.int64()),
@@ -447,7 +456,7 @@ def _averaged(symbols: DataFrame, start, buckets: int) -> Network:
     return net
 
 
-def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each document."""
     spark = documents.sparkSession
     parts, left_out = HELD_OUT
@@ -471,19 +480,11 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     own_counts[: len(top) + 1], own_counts[FREQUENT:] = [n_train, *(r["total"] for r in top)], rare_total
     symbols = _symbols(source.where("training").select("id", "text"), vocabulary)
     network = spark.sparkContext.broadcast(counted_network(_together(symbols), own_counts).dump())
-
-    picked = source.where("training").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    sample = staged(symbols.join(F.broadcast(picked), "id").select("id", "symbols"), "sample")
-
-    def fit(batches):
-        rows = [(i or 0, t) for b in batches for i, t in zip(b["id"].to_pylist(), b["symbols"].to_pylist(), strict=True)]
-        net = train([unpack(t).astype(np.int64) for _, t in sorted(rows)], net=Network.load(network.value))
-        yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary())], names=["net"])
-
-    fitted = sample.coalesce(1).mapInArrow(trimmed(fit), "net binary").first()
-    start = spark.sparkContext.broadcast(bytes(fitted["net"]) if fitted else network.value)
-    learned = _averaged(symbols, start, -(-total // BUCKET_TOKENS))
-    network = spark.sparkContext.broadcast(learned.dump())
+    turn, done = F.pmod(F.xxhash64("symbols", "id"), F.lit(ROUNDS[-1][0])), 0
+    for upto, rate, lanes in ROUNDS:
+        buckets = -(-total * (upto - done) // (ROUNDS[-1][0] * BUCKET_TOKENS))
+        learned = _averaged(symbols.where((turn >= done) & (turn < upto)), network, buckets, rate, lanes)
+        network, done = spark.sparkContext.broadcast(learned.dump()), upto
 
     def answer(lists: list[list[bytes]], counts: list[np.ndarray]) -> list[bytes]:
         own, known = Vocabulary(*vocabulary.value), {}

@@ -13,6 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from canopy.llm import _chunks, bpe, extract, lm, surrogates
+from tests.conftest import DATA
 
 
 def test_packing_round_trips():
@@ -298,31 +299,45 @@ def test_surrogate_plan_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_lm_learns_from_documents_outside_the_sample(spark):
+def test_lm_rounds_train_on_every_document_once(spark, monkeypatch):
     r = np.random.default_rng(6)
-    texts = [" ".join(r.choice([f"a{j}" for j in range(20)], 40)) for _ in range(20)]
-    taught = " ".join(["odd", "even"] * 20)
-    rows = [*enumerate(texts), *((1000 + k, taught) for k in range(200))]
+    rows = [(k, " ".join(r.choice([f"a{j}" for j in range(20)], 40))) for k in range(60)] + [(1000 + k, " ".join(["odd", "even"] * 20)) for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    first = [x["id"] for x in docs.selectExpr("doc_id as id", "xxhash64(doc_id) as h").orderBy("h", "id").collect() if zlib.crc32(str(x["id"]).encode()) % 7 != 2][0]
-    chosen = docs.where((F.col("doc_id") < 1000) | (F.col("doc_id") != first))
-    nets = []
-
-    def seen(net):
-        nets.append(net)
-        return net
-
-    averaged = lm._averaged
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(lm, "_averaged", lambda symbols, start, buckets: (nets.append(lm.Network.load(start.value)), seen(averaged(symbols, start, 3)))[1])
-        found = {x["doc_id"]: x["score"] for x in lm.score(chosen, sample_docs=1).collect()}
-    before, after = nets
-    assert all(np.isfinite(v).all() for v in after.p.values()) and any((before.p[k] != after.p[k]).any() for k in after.p)
-    # The start on one document knows next to nothing of the order of words; all documents teach it.
-    symbols = [np.array([1, 2] * 20 + [0])]
-    zero = [np.zeros(41)]
-    assert lm.document_scores(after, symbols, zero)[0] > lm.document_scores(before, symbols, zero)[0]
-    assert all(math.isfinite(x) for x in found.values())
+    taught, nets, averaged = [], [], lm._averaged
+
+    def watched(symbols, start, buckets, rate, lanes):
+        taught.extend(x["id"] for x in symbols.select("id").collect())
+        nets.append(averaged(symbols, start, 3, rate, lanes))
+        return nets[-1]
+
+    monkeypatch.setattr(lm, "_averaged", watched)
+    found = {x["doc_id"]: x["score"] for x in lm.score(docs).collect()}
+    assert sorted(taught) == [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(nets) == len(lm.ROUNDS) and all(np.isfinite(v).all() for net in nets for v in net.p.values()) and all(math.isfinite(x) for x in found.values())
+    symbols, zero = [np.array([1, 2] * 20 + [0])], [np.zeros(41)]
+    assert lm.document_scores(nets[-1], symbols, zero)[0] > lm.document_scores(nets[0], symbols, zero)[0]
+
+
+def test_training_state_ends_with_its_document():
+    """A window in which documents begin gives the gradients of the documents apart."""
+    net = lm.Network(np.repeat(np.arange(lm.FREQUENT // lm.CLASS_SIZE), lm.CLASS_SIZE))
+    r = np.random.default_rng(1)
+    inputs, targets, mask = r.integers(0, lm.FREQUENT, (9, 1)), r.integers(0, lm.FREQUENT, (9, 1)), np.ones((9, 1), bool)
+    begins = np.zeros((9, 1), bool)
+    begins[[0, 4]] = True
+    whole, last = net.gradients(inputs, targets, mask, np.ones((1, lm.HIDDEN), np.float32), begins)
+    zero = np.zeros((1, lm.HIDDEN), np.float32)
+    one, _ = net.gradients(inputs[:4], targets[:4], mask[:4], zero)
+    two, end = net.gradients(inputs[4:], targets[4:], mask[4:], zero)
+    assert np.allclose(last, end)
+    for k, g in whole.items():
+        assert np.allclose(9 * g, 4 * one[k] + 5 * two[k], atol=1e-5), k
+
+
+def test_lm_beats_counts_on_held_out_documents(spark):
+    """By a quarter of a decade a token, on the corpus."""
+    found = lm.score(spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/documents.parquet")).where("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
+    assert (found["s"] - found["b"]) / found["n"] > 0.25, found
 
 
 def test_lm_co_occurrence_counts_texts():
