@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, caps, decontaminate, extract, line_dedup, lm, minhash, suffix_dedup, surrogates, toxicity
+from . import bpe, caps, decontaminate, extract, line_dedup, lm, minhash, oracles, suffix_dedup, surrogates, toxicity
 from ._common import table
 
 
@@ -67,5 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_cap_near_dedup": oracles.EMBEDDINGS,
+        "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+        "op4_suffix_dedup": oracles.REPEATS,
+        "op5_benchmark_decontamination": oracles.CONTAMINATION,
         "op9_line_dedup": line_dedup.ORACLE_SQL,
     }
