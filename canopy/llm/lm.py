@@ -43,10 +43,10 @@ HIDDEN = 16
 EMBED = 16
 WINDOW = 32
 EPOCHS = 2
-ABREAST = 256
+ABREAST = 128
 BUCKET_TOKENS = 2_000_000
 #: Rounds of training: thousandths of the documents that are done after each, the rate that it starts with, lanes abreast.
-ROUNDS = [(100, 0.015, 48), (300, 0.01, 64), (600, 0.006, 96), (1000, 0.004, 96)]
+ROUNDS = [(100, 0.015, 48), (300, 0.01, 96), (600, 0.008, 192), (1000, 0.006, 256)]
 #: Lanes are fewer where a bucket's texts would fill fewer windows than these.
 LEAST_WINDOWS = 128
 PARTS = 16
@@ -78,9 +78,16 @@ class Vocabulary:
         return np.log10((counts + 1.0) / (self.total + self.distinct + 1.0))
 
 
+def _powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """e to the rows of x, which is overwritten, and the rows' sums. Scores of a bounded state never come near the bound of 60."""
+    np.exp(np.minimum(x, 60, out=x), out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    return x / x.sum(-1, keepdims=True)
+    x, total = _powers(x)
+    x /= total[:, None]
+    return x
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -146,12 +153,10 @@ class Network:
         p, rows = self.p, np.arange(len(targets))
         classes = self.class_of[targets]
         logits = states @ p["to_class"] + p["class_bias"]
-        top = logits.max(1)
-        out = logits[rows, classes] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        out = logits[rows, classes] - np.log(_powers(logits)[1])
         for c, own in self.by_class(classes):
             inner = states[own] @ p["to_word"][c] + p["word_bias"][c]
-            top = inner.max(1)
-            out[own] += inner[np.arange(own.size), self.place[targets[own]]] - top - np.log(np.exp(inner - top[:, None]).sum(1))
+            out[own] += inner[np.arange(own.size), self.place[targets[own]]] - np.log(_powers(inner)[1])
         return out.astype(np.float64) / np.log(10) + rare_log10
 
     def gradients(
@@ -389,16 +394,31 @@ def _statistics(tokens: DataFrame):
     return top, sums
 
 
-def _symbols(texts: DataFrame, vocabulary) -> DataFrame:
-    """Rows (id, symbols binary): each text as packed symbols that close with the end."""
+def _tokens_of(batch: pa.RecordBatch, i: int) -> tuple[pa.StructArray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """A chunk's rows, their texts as token numbers, and each token's count in training and symbol."""
+    rows, lens = batch["rows"][i].values, np.array(batch["lens"][i].values, np.int64)
+    codes, places = unpack(batch["codes"][i].as_py()), token_places(batch["buckets"][i].as_py())
+    size = sum(p.size for p in places.values())
+    counts, symbols = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for part in batch["answers"][i].as_py() or ():
+        cut = 4 + int.from_bytes(part["packed"][:4], "little")
+        counts[places[part["bucket"]]], symbols[places[part["bucket"]]] = unpack(part["packed"][4:cut]), unpack(part["packed"][cut:])
+    return rows, np.split(codes, np.cumsum(lens)[:-1]), counts, symbols
+
+
+def _symbols(chunks: DataFrame, id_type: str) -> DataFrame:
+    """Rows (id, symbols binary) of the training documents: each text as packed symbols that close with the end."""
 
     def run(batches):
-        own = Vocabulary(*vocabulary.value)
+        end = np.zeros(1, np.int64)
         for batch in batches:
-            packed = [pack(np.array([*map(own.symbol, words_of(t)), 0], np.int64)) for t in utf8(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(packed, pa.binary())], names=["id", "symbols"])
+            for i in range(batch.num_rows):
+                rows, docs, _, symbols = _tokens_of(batch, i)
+                own = np.flatnonzero(rows.field("training").to_numpy(zero_copy_only=False))
+                packed = [pack(np.concatenate([symbols[docs[k]], end])) for k in own.tolist()]
+                yield pa.RecordBatch.from_arrays([rows.field("id").take(pa.array(own)), pa.array(packed, pa.binary())], names=["id", "symbols"])
 
-    return staged(texts.mapInArrow(trimmed(run), f"id {texts.schema['id'].dataType.simpleString()}, symbols binary"), "symbols")
+    return staged(chunks.mapInArrow(trimmed(run), f"id {id_type}, symbols binary"), "symbols")
 
 
 def _together(symbols: DataFrame) -> np.ndarray:
@@ -464,6 +484,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"), (~held).alias("training"))
     chunks = chunked(source, ["id", "held_out", "training"], "text", words_of, binary=True, counted="training")
 
+    id_type = source.schema["id"].dataType.simpleString()
     n_train = source.where("training").count()
     top, sums = _statistics(chunks.tokens)
     rare_total, rare_types = np.zeros(RARE), np.zeros(RARE)
@@ -478,13 +499,6 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # Words of the rarer classes are symbols of their own, after the frequent ones.
     own_counts = np.zeros(FREQUENT + RARE)
     own_counts[: len(top) + 1], own_counts[FREQUENT:] = [n_train, *(r["total"] for r in top)], rare_total
-    symbols = _symbols(source.where("training").select("id", "text"), vocabulary)
-    network = spark.sparkContext.broadcast(counted_network(_together(symbols), own_counts).dump())
-    turn, done = F.pmod(F.xxhash64("symbols", "id"), F.lit(ROUNDS[-1][0])), 0
-    for upto, rate, lanes in ROUNDS:
-        buckets = -(-total * (upto - done) // (ROUNDS[-1][0] * BUCKET_TOKENS))
-        learned = _averaged(symbols.where((turn >= done) & (turn < upto)), network, buckets, rate, lanes)
-        network, done = spark.sparkContext.broadcast(learned.dump()), upto
 
     def answer(lists: list[list[bytes]], counts: list[np.ndarray]) -> list[bytes]:
         own, known = Vocabulary(*vocabulary.value), {}
@@ -499,33 +513,35 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             out.append(len(a).to_bytes(4, "little") + a + b)
         return out
 
-    schema = f"id {source.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    known = staged(answered(chunks, answer), "known")
+    symbols = _symbols(known, id_type)
+    network = spark.sparkContext.broadcast(counted_network(_together(symbols), own_counts).dump())
+    turn, done = F.pmod(F.xxhash64("symbols", "id"), F.lit(ROUNDS[-1][0])), 0
+    for upto, rate, lanes in ROUNDS:
+        buckets = -(-total * (upto - done) // (ROUNDS[-1][0] * BUCKET_TOKENS))
+        learned = _averaged(symbols.where((turn >= done) & (turn < upto)), network, buckets, rate, lanes)
+        network, done = spark.sparkContext.broadcast(learned.dump()), upto
+
+    schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def assemble(batches):
         own, net = Vocabulary(*vocabulary.value), Network.load(network.value)
         end_base = float(own.base(np.array([own.end_count]))[0])
         for batch in batches:
             for i in range(batch.num_rows):
-                rows, lens = batch["rows"][i].values, np.array(batch["lens"][i].values, np.int64)
-                codes, places = unpack(batch["codes"][i].as_py()), token_places(batch["buckets"][i].as_py())
-                size = sum(p.size for p in places.values())
-                counts, symbols = np.zeros(size, np.int64), np.zeros(size, np.int64)
-                for part in batch["answers"][i].as_py() or ():
-                    cut = 4 + int.from_bytes(part["packed"][:4], "little")
-                    counts[places[part["bucket"]]], symbols[places[part["bucket"]]] = unpack(part["packed"][4:cut]), unpack(part["packed"][cut:])
-                base, known, rare = own.base(counts), counts > 0, symbols >= FREQUENT
-                inner = np.zeros(size)
+                rows, docs, counts, symbols = _tokens_of(batch, i)
+                base, seen, rare = own.base(counts), counts > 0, symbols >= FREQUENT
+                inner = np.zeros(counts.size)
                 inner[rare] = np.log10((counts[rare] + 1.0) / own.rare_room[symbols[rare] - FREQUENT])
-                docs = np.split(codes, np.cumsum(lens)[:-1])
                 end, zero = np.zeros(1, np.int64), np.zeros(1)
                 scores = document_scores(net, [np.concatenate([symbols[d], end]) for d in docs], [np.concatenate([inner[d], zero]) for d in docs])
                 bases = [float(base[d].sum()) + end_base for d in docs]
-                n_known = [int(known[d].sum()) + (own.end_count > 0) for d in docs]
+                n_known = [int(seen[d].sum()) + (own.end_count > 0) for d in docs]
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.field("id"),
                         rows.field("held_out"),
-                        pa.array(lens + 1, pa.int64()),
+                        pa.array([len(d) + 1 for d in docs], pa.int64()),
                         pa.array(n_known, pa.int64()),
                         pa.array([own.total] * len(docs), pa.int64()),
                         pa.array(bases, pa.float64()),
@@ -534,4 +550,4 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                     names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return answered(chunks, answer).mapInArrow(trimmed(assemble), schema).withColumnRenamed("id", id_col)
+    return known.mapInArrow(trimmed(assemble), schema).withColumnRenamed("id", id_col)

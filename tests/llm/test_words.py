@@ -60,14 +60,14 @@ def test_line_dedup(spark):
     rows += [(200, "big", None), (201, None, "menu"), (202, "big", ""), (203, "big", "x" * 100_000), (0, "big", "menu\nbody 0\n\nmenu")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({"host": F.lit(1), "digest": F.lit(2), "lines": F.lit("z"), "kept": F.lit(3), "common": F.lit(4), "n_lines": F.lit(0)})
     out = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(docs, ratio=0.3).collect()}
-    assert out[3] == "body 3\n" and out[100] == "menu\nown" and out[200] is None and out[201] == "menu" and out[202] == "" and len(out[203]) == 100_000
+    assert out[3] == "body 3\n" and out[100] == "" and out[200] is None and out[201] == "menu" and out[202] == "" and len(out[203]) == 100_000
     assert line_dedup.drop_boilerplate(docs).columns == docs.columns
     counted = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_boilerplate(docs.drop("n_lines"), ratio=0.3, counts=True).collect()}
     assert counted[3] == (4, 2) and counted[200] == (0, 0)
     assert line_dedup.line_dedup_report(docs.limit(0)).count() == 0
 
 
-def test_pipeline_stage_judges_small_hosts(spark):
+def test_small_hosts_are_judged(spark):
     rows = [(k, "nineteen", f"own {k}\nfooter") for k in range(19)] + [(50 + k, "two", f"own {k}\nfooter") for k in range(2)]
     rows += [(60, "one", "alone\nfooter"), (61, None, "a\nmenu"), (62, None, "b\nmenu")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
@@ -82,16 +82,69 @@ def test_line_dedup_by_shuffle_is_the_same(spark, monkeypatch):
     assert sorted(map(tuple, line_dedup.drop_boilerplate(docs).collect())) == first and first[0][2] == "line 0"
 
 
+def _labels(g, text):
+    return {toxicity.LABELS[k] for k in g.features(text)[:-1].nonzero()[0]}
+
+
 def test_grammar_scores_clauses():
     g = toxicity.Grammar({"idiot": 1.0, "foul": 1.0})
-    plain, aimed, denied, told = (g.features(t)[1] for t in ("what an idiot that was", "you are an idiot", "you are not an idiot", "he said you are an idiot"))
-    assert aimed > plain > denied > 0 and aimed > told
-    assert g.features(None) == g.features("") == (0.0, 0.0, 0.0)
-    assert g.features("idiotic and foulest")[2] == pytest.approx(2 / 3)
+    for text, label in [
+        ("what an idiot that was", ("insult", "")), ("you are an idiot", ("insult", "t")), ("idiot, you", ("insult", "t")), ("an idiot is not what i see in them", ("insult", "")),
+        ("you are not an idiot", ("insult", "nt")), ("someone said an idiot came", ("insult", "r")), ("she wrote that you not an utter idiot", ("strong insult", "nrt")), ("what a total idiot", ("strong insult", "")),
+        ("i will kill you", ("threat", "t")), ("kill the light", ("violence", "")), ("we will never hurt you", ("threat", "nt")), ("not. idiot", ("insult", "")),
+    ]:
+        assert _labels(g, text) == {label}, text
+    plain, aimed, denied, told = (g.score(t + " and so on it went on for a while") for t in ("what an idiot that was", "you are an idiot", "you are not an idiot", "he said you are an idiot"))
+    assert aimed > plain > denied and aimed > told
+    assert not g.features(None).any() and not g.features("").any()
+    assert g.features("idiotic and foulest")[-1] == pytest.approx(2 / 3)
     assert g.features("idiot. idiot")[0] > g.features("idiot. calm")[0]
     assert 0 < g.score("") < g.score("you idiot") < 1
 
 
+def _composed(text):
+    """The labels of a clause by the rules as told, without automata."""
+    words, out = text.split(), []
+    near = lambda names, span: any(w in names for w in span)
+    for i, w in enumerate(words):
+        if w not in ("idiot", "kill"):
+            continue
+        before, behind = words[max(0, i - toxicity.REACH) : i], words[i + 1 : i + 1 + toxicity.REACH]
+        kind = ("strong insult" if near(["total"], before) else "insult") if w == "idiot" else "threat" if near(["will"], before) else "violence"
+        out.append((kind, "n" * near(["not"], before) + "r" * near(["said"], words[:i]) + "t" * near(["you"], before + behind)))
+    return out
+
+
+def test_composition_equals_its_rules():
+    r, g = random.Random(3), toxicity.Grammar({"idiot": 1.0})
+    for _ in range(400):
+        text = " ".join(r.choices("idiot kill total will not said you calm plain".split(), k=r.randint(1, 14)))
+        assert [toxicity.LABELS[k] for k, _ in g.clause([g.symbol(w) for w in text.split()])] == _composed(text), text
+
+
+def test_toxicity_learns_what_each_transducer_tells(spark, monkeypatch):
+    """Rows in which only aimed, asserted insults are toxic: learned arc weights tell them from denied and reported ones, and without the transducers nothing does."""
+    r = random.Random(8)
+    texts, labels = [], []
+    shapes = [("you are a idiot", 1), ("you total idiot", 1), ("you are not a idiot", 0), ("they said you are a idiot", 0), ("a idiot grows here", 0), ("calm words only", 0)]
+    for k in range(900):
+        shape, label = shapes[k % len(shapes)]
+        body = [" ".join(r.choices(WORDS, k=12)) for _ in range(3)]
+        body[r.randrange(3)] = shape
+        texts.append((k, ". ".join(body)))
+        labels.append((k, label))
+    docs, table = _documents(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def right():
+        found = {x["doc_id"]: x["predicted"] for x in toxicity.toxicity_report(docs, table).where("held_out").collect()}
+        return sum(found[k] == y for k, y in labels if k in found) / len(found)
+
+    assert right() > 0.97
+    nothing = toxicity.Transducer(lambda state, symbol: (state, symbol))
+    monkeypatch.setattr(toxicity, "after", lambda *_: nothing)
+    assert right() < 0.8
+
+
 def test_toxicity_learns_stems_and_holds_out(spark):
     r = random.Random(2)
     texts, labels = [], []
