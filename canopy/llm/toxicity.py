@@ -1,15 +1,18 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon transducer rewrites each word as a symbol: an insult or a threat with a weight, a target (you, they, names of
-groups), a negation, a verb of reported speech, or anything else. Four small transducers read the symbols of a clause and
-remember a little: how long ago a negation, a target, a reporting verb was seen. Their composition walks a clause once
-and gives each matched insult or threat a weight: raised if a target is near, lowered if it is negated or reported.
-A clause is worth the sum of its matches, and a document is scored by the number, strength and density of its matched
-clauses, through a logistic function.
+A chain of transducers, composed, rewrites the words of a clause. The lexicon turns a word into a symbol (an insult or an act
+of violence with a strength, a target, a negation, a verb of reported speech, an intensifier, a word of intent, or another).
+The insult transducer raises intensified insults, the threat transducer turns violence after a word of intent into a threat,
+and those of negation and reported speech mark the insults and threats in their reach. The target transducer marks those
+with a target before them, and, run over the clause backwards, those with one after them. What comes out is a label for each
+match, and each label (the final arcs of the composition) has a weight; a document is scored by the strengths of its matched
+clauses by label, and their density, through a logistic function. Clauses without a match are not walked.
 
 Learned from labelled rows of the training part: which word beginnings mark insults (a word beginning, so that inflected
-and compounded forms match), their weights, and the logistic weights. The fit uses at most SAMPLE_ROWS labelled rows, the
-first by a hash of their id; scoring covers every document.
+and compounded forms match; also those that tell only where a row has them in FORMS forms or more), their strengths, the
+weight of each label and the bias. Weights are drawn towards those of the
+built-in grammar (FACTORS), so a label that the rows do not show keeps its own. The fit uses at most SAMPLE_ROWS labelled
+rows, the first by a hash of their id; scoring covers every document.
 
 Defined cases: null and empty texts have no clauses and score what the bias gives; repeated rows score alike; rows whose
 label is null are not used; without rows of both labels the built-in lexicon and weights apply; extra columns are ignored.
@@ -22,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,9 @@ from ._common import crc_of_id, staged, trimmed, whole_rows
 SAMPLE_ROWS = 6_000
 HELD_OUT = (4, 2)
 THRESHOLD = 0.3
-REACH = 3
+REACH = 4
 STEM_LENGTHS = range(4, 11)
+FORMS = 3
 _TOKEN = re.compile(r"\w+|[.!?;\n]+")
 _WORD_CACHE = 200_000
 
@@ -45,54 +50,91 @@ THREATS = "kill hurt destroy töten umbringen tuer matar".split()
 TARGETS = "you your yourself he she they them him her these those people du dich euch ihr sie vous toi tu ils elles tú usted ustedes ellos".split()
 NEGATIONS = "not no never without nicht kein keine nie pas jamais ne nunca jamás".split()
 REPORTS = "said says say called calls wrote quoted reported claimed sagte nannte schrieb dit écrit dijo llamó escribió".split()
+INTENTS = "will gonna shall must should werde soll vais va voy debe".split()
+INTENSIFIERS = "total complete utter such absolute totaler echter complet vrai total completo puro".split()
+
+Symbol = tuple[str, str]  # name and marks
 
 
 class Transducer:
-    """Reads symbols; step gives the next state and an output."""
+    """Reads symbols; step gives the next state and the symbol that it rewrites to."""
 
-    def __init__(self, start: int, step: Callable[[int, str], tuple[int, int]]):
+    def __init__(self, step: Callable[[int, Symbol], tuple[int, Symbol]], start: int = 0):
         self.start, self.step = start, step
 
 
-def nearby(symbol: str, reach: int = REACH) -> Transducer:
-    """Outputs 1 within reach words after the symbol."""
-    return Transducer(0, lambda left, seen: (reach, 0) if seen == symbol else (max(0, left - 1), int(left > 0)))
+def after(name: str, rewrite: Callable[[Symbol], Symbol], reach: int | None = REACH) -> Transducer:
+    """Rewrites what comes within reach words after a symbol of the name, or anywhere after it."""
+
+    def step(left: int, symbol: Symbol) -> tuple[int, Symbol]:
+        if symbol[0] == name:
+            return (1 if reach is None else reach), symbol
+        return (left if reach is None else max(0, left - 1)), rewrite(symbol) if left else symbol
+
+    return Transducer(step)
+
 
+def renamed(old: str, new: str) -> Callable[[Symbol], Symbol]:
+    return lambda symbol: (new, symbol[1]) if symbol[0] == old else symbol
 
-def anywhere_before(symbol: str) -> Transducer:
-    return Transducer(0, lambda state, seen: (1, 0) if seen == symbol else (state, state))
+
+def marked(mark: str) -> Callable[[Symbol], Symbol]:
+    """Marks matches, each mark once."""
+    return lambda symbol: (symbol[0], symbol[1] + mark) if symbol[0] in FACTORS and mark not in symbol[1] else symbol
 
 
 class Composition:
-    """The product of transducers, its arcs made when first walked."""
+    """Transducers in a chain, each reading what the one before it writes; an arc is worked out when it is first walked."""
 
     def __init__(self, *parts: Transducer):
         self.parts, self.start = parts, tuple(p.start for p in parts)
-        self.arcs: dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        self.arcs: dict[tuple[tuple[int, ...], Symbol], tuple[tuple[int, ...], Symbol]] = {}
 
-    def step(self, state: tuple[int, ...], symbol: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    def step(self, state: tuple[int, ...], symbol: Symbol) -> tuple[tuple[int, ...], Symbol]:
         if (arc := self.arcs.get((state, symbol))) is None:
-            moved = [p.step(s, symbol) for p, s in zip(self.parts, state, strict=True)]
-            arc = self.arcs[state, symbol] = (tuple(m[0] for m in moved), tuple(m[1] for m in moved))
+            states, out = [], symbol
+            for part, own in zip(self.parts, state, strict=True):
+                own, out = part.step(own, out)
+                states.append(own)
+            arc = self.arcs[state, symbol] = (tuple(states), out)
         return arc
 
+    def walk(self, symbols: Iterable[Symbol]) -> list[Symbol]:
+        state, out = self.start, []
+        for symbol in symbols:
+            state, written = self.step(state, symbol)
+            out.append(written)
+        return out
+
 
-#: Factors on the weight of a match.
-TARGETED, NEGATED, REPORTED = 1.5, 0.3, 0.5
+#: Weights of the built-in grammar: of a match by its kind, and the factor of each mark (negated, reported, targeted).
+FACTORS = {"insult": 1.6, "strong insult": 2.2, "violence": 0.4, "threat": 2.6}
+MARKS = {"n": 0.25, "r": 0.4, "t": 1.5}
+LABELS = [(kind, "".join(m)) for kind in FACTORS for n in range(len(MARKS) + 1) for m in combinations(MARKS, n)]
+_LABEL_AT = {label: k for k, label in enumerate(LABELS)}
+#: Bias, labels in order, density of matches.
+BUILT_IN = (-2.5, *[FACTORS[kind] * math.prod(MARKS[m] for m in marks) for kind, marks in LABELS], 6.0)
 
 
 @dataclass
 class Grammar:
     stems: dict[str, float]
-    weights: tuple[float, ...] = (-2.5, 1.6, 0.4, 6.0)
+    weights: tuple[float, ...] = BUILT_IN
     words: dict[str, tuple[str, float]] = field(init=False, repr=False)
 
     def __post_init__(self):
-        fixed = {w: ("target", 0.0) for w in TARGETS} | {w: ("negation", 0.0) for w in NEGATIONS} | {w: ("report", 0.0) for w in REPORTS}
-        self.words = fixed | {w: ("threat", 0.8) for w in THREATS}
+        lists = {"target": TARGETS, "negation": NEGATIONS, "report": REPORTS, "intent": INTENTS, "intensifier": INTENSIFIERS}
+        self.words = {w: (name, 0.0) for name, words in lists.items() for w in words} | {w: ("violence", 1.0) for w in THREATS}
         self.fixed = dict(self.words)
         self.longest = max(map(len, self.stems), default=0)
-        self.machine = Composition(nearby("negation"), nearby("target"), anywhere_before("report"))
+        self.forwards = Composition(
+            after("intensifier", renamed("insult", "strong insult")),
+            after("intent", renamed("violence", "threat")),
+            after("negation", marked("n")),
+            after("report", marked("r"), None),
+            after("target", marked("t")),
+        )
+        self.backwards = Composition(after("target", marked("t")))
 
     def symbol(self, word: str) -> tuple[str, float]:
         """The lexicon transducer, which remembers the words it has read."""
@@ -101,90 +143,101 @@ class Grammar:
                 self.words = dict(self.fixed)
             known = ("other", 0.0)
             for n in range(min(len(word), self.longest), 2, -1):
-                if (weight := self.stems.get(word[:n])) is not None:
-                    known = ("insult", weight)
+                if (strength := self.stems.get(word[:n])) is not None:
+                    known = ("insult", strength)
                     break
             else:
-                if (weight := self.stems.get(word + "$")) is not None:
-                    known = ("insult", weight)
+                if (strength := self.stems.get(word + "$")) is not None:
+                    known = ("insult", strength)
             self.words[word] = known
         return known
 
-    def clause(self, symbols: list[tuple[str, float]]) -> tuple[int, float]:
-        """Number and weight of the matches in one clause."""
-        state, found, total, before = self.machine.start, 0, 0.0, 0.0
-        since = REACH + 1
-        for name, weight in symbols:
-            state, (negated, targeted, reported) = self.machine.step(state, name)
-            since += 1
-            if name in ("insult", "threat"):
-                if name == "threat" and not targeted:
-                    weight *= 0.25
-                before = weight * (NEGATED if negated else 1) * (REPORTED if reported else 1) * (TARGETED if targeted else 1)
-                found, total, since = found + 1, total + before, 0 if not targeted else REACH + 1
-            elif name == "target" and since <= REACH:  # a target that follows
-                total, since = total + before * (TARGETED - 1), REACH + 1
-        return found, total
-
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """log(1 + weight of all clauses), weight of the strongest clause, and matches a word."""
+    def clause(self, symbols: list[tuple[str, float]]) -> list[tuple[int, float]]:
+        """Label number and strength of each match of a clause."""
+        out = self.backwards.walk(reversed(self.forwards.walk((name, "") for name, _ in symbols)))
+        return [(_LABEL_AT[label[0], "".join(m for m in MARKS if m in label[1])], strength) for label, (_, strength) in zip(reversed(out), symbols, strict=True) if strength]
+
+    def features(self, text: str | None) -> np.ndarray:
+        """For each label log(1 + strength of its matches), and matches a word."""
+        sums = np.zeros(len(LABELS) + 1)
         tokens = _TOKEN.findall(text.lower()) if text else []
         symbol, known = self.symbol, self.words
-        marks = [known.get(t) or symbol(t) for t in tokens]
-        matches = [i for i, m in enumerate(marks) if m[1]]
-        if not matches:
-            return 0.0, 0.0, 0.0
-        total, best, count, done = 0.0, 0.0, 0, -1
-        for i in matches:
+        read = [known.get(t) or symbol(t) for t in tokens]
+        count, done = 0, -1
+        for i in [i for i, m in enumerate(read) if m[1]]:
             if i <= done:
                 continue
-            begin = i
+            begin = done = i
             while begin and tokens[begin - 1][0] not in ".!?;\n":
                 begin -= 1
-            done = i
             while done < len(tokens) and tokens[done][0] not in ".!?;\n":
                 done += 1
-            found, weight = self.clause(marks[begin:done])
-            total, best, count = total + weight, max(best, weight), count + found
-        return math.log1p(total), best, count / len(tokens)
+            for label, strength in self.clause(read[begin:done]):
+                sums[label] += strength
+                count += 1
+        sums = np.log1p(sums)
+        sums[-1] = count / max(1, len(tokens))
+        return sums
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text), strict=True)))))))
+        reached = self.weights[0] + float(np.dot(self.weights[1:], self.features(text)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, reached))))
 
 
 def _beginnings(text: str | None) -> set[str]:
+    """The beginnings of a text's words, its whole words as `word$`, and as `beginning*` those that FORMS different words go on from."""
     words = set(_TOKEN.findall(text.lower())) if text else set()
-    return {w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n} | {w + "$" for w in words if len(w) >= 3}
+    forms = Counter(w[:n] for w in words for n in STEM_LENGTHS if len(w) > n)
+    return {w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n} | {w + "$" for w in words if len(w) >= 3} | {s + "*" for s, n in forms.items() if n >= FORMS}
 
 
-def choose_stems(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Word beginnings that mark toxic rows: by falling G statistic, without any that a chosen one begins or continues."""
+def _odds(p: int, n: int, toxic: int, clean: int) -> float:
+    return math.log((p + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
+
+
+def choose_stems(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """Word beginnings that mark toxic rows, with their strengths: those that inflect first, by falling G statistic, none that a chosen one begins or continues.
+
+    A beginning qualifies if rows that have it are toxic far more often than others, or rows that have it in several forms
+    (an insult that inflects may occur in a clean row by chance, but once). Its strength is the log odds that one word tells.
+    """
     ranked = []
-    for stem, p, n in counts:
-        odds = math.log((p + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
-        if p >= 4 and odds >= 3:
-            expected = (p + n) * toxic / (toxic + clean)
-            ranked.append((2 * p * math.log(p / expected), len(stem), stem, odds))
+    for entry, (p, n) in counts.items():
+        several = entry.endswith("*")
+        if p >= (2 if several else 4) and _odds(p, n, toxic, clean) >= 3:
+            g = 2 * p * math.log(p * (toxic + clean) / ((p + n) * toxic))
+            stem = entry.rstrip("*")
+            strength = min(_odds(*counts.get(stem, (p, n)), toxic, clean), 6.0) / 4
+            if g >= (8 if several else 20) and strength >= 0.25:
+                ranked.append((not several, -g, -len(stem) if several else len(stem), stem, strength))
     chosen: dict[str, float] = {}
-    for g, _, stem, odds in sorted(ranked, key=lambda x: (-x[0], x[1], x[2])):
+    for _, _, _, stem, strength in sorted(ranked):
         whole = stem.rstrip("$")
-        if g < 20:
-            break
         if not any(whole.startswith(c.rstrip("$")) or c.startswith(whole) for c in chosen):
-            chosen[stem] = min(odds, 6.0) / 4
+            chosen[stem] = strength
     return chosen
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> tuple[float, ...]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...], ridge: float = 0.3, rounds: int = 50) -> tuple[float, ...]:
+    """Bias and weights by Newton steps; weights are drawn towards the prior, the bias hardly."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(x.shape[1])
+    w0 = np.array(prior)
+    w = w0.copy()
+    pull = np.full(len(w0), ridge)
+    pull[0] = 1e-6
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(np.logaddexp(0, z).sum() - y @ z + (pull * (v - w0) ** 2).sum() / 2)
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        penalty = ridge * np.eye(x.shape[1])
-        penalty[0, 0] = 1e-6
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-7:
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(pull), x.T @ (y - p) - pull * (w - w0))
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return tuple(float(v) for v in w)
 
@@ -216,9 +269,13 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     default = Grammar({w: 1.0 for w in INSULTS})
     if not sizes.get(0) or not sizes.get(1):
         return default
-    counts = rows.mapInArrow(trimmed(tally), "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("n"))
-    likely = counts.where((F.col("p") >= 4) & (F.col("p") * sizes[0] >= 15 * F.col("n") * sizes[1])).collect()
-    learned = choose_stems(((r["stem"], r["p"], r["n"]) for r in likely), sizes[1], sizes[0])
+    counts = staged(rows.mapInArrow(trimmed(tally), "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("n")), "stems")
+    far = F.col("p") * sizes[0] >= 15 * F.col("n") * sizes[1]
+    likely = counts.where(far & (F.col("p") >= F.when(F.col("stem").endswith("*"), 2).otherwise(4)))
+    found = {r["stem"]: (r["p"], r["n"]) for r in likely.collect()}
+    plain = [s[:-1] for s in found if s.endswith("*")]
+    found |= {r["stem"]: (r["p"], r["n"]) for r in counts.where(F.col("stem").isin(plain)).collect()} if plain else {}
+    learned = choose_stems(found, sizes[1], sizes[0])
     seeds = {w: 1.0 for w in INSULTS if not any(w.startswith(s.rstrip("$")) for s in learned)}
     grammar = Grammar(learned | seeds)
     shared = documents.sparkSession.sparkContext.broadcast(grammar.stems)
@@ -227,10 +284,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         own = Grammar(shared.value)
         for batch in batches:
             found = [own.features(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["label"], *[pa.array([f[k] for f in found], pa.float64()) for k in range(3)]], names=["label", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(found, pa.list_(pa.float64()))], names=["label", "x"])
 
-    table = np.array([tuple(r) for r in rows.mapInArrow(trimmed(measure), "label int, a double, b double, c double").collect()], float)
-    grammar.weights = fit_logistic(table[:, 1:], table[:, 0])
+    measured = sorted((r["label"], tuple(r["x"])) for r in rows.mapInArrow(trimmed(measure), "label int, x array<double>").collect())
+    grammar.weights = fit_logistic(np.array([x for _, x in measured]), np.array([y for y, _ in measured], float), BUILT_IN)
     return grammar
 
 

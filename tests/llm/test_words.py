@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from canopy.llm import decontaminate, line_dedup, toxicity
+from tests.conftest import DATA
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
 
@@ -169,6 +170,14 @@ def test_toxicity_learns_stems_and_holds_out(spark):
     assert kept.columns == docs.columns and 702 not in {x["doc_id"] for x in kept.collect()}
 
 
+def test_toxicity_on_held_out_rows_of_the_corpus(spark):
+    sf = DATA.replace("sf0.001", "sf0.01")
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    found = toxicity.toxicity_report(documents, labels).where("held_out").join(labels, "doc_id").where("toxic is not null").select("toxic", "predicted").collect()
+    both, toxic, called = (sum(f(x) for x in found) for f in (lambda x: x["toxic"] * x["predicted"], lambda x: x["toxic"], lambda x: x["predicted"]))
+    assert toxic > 10 and both / toxic >= 0.9 and both / called >= 0.95
+
+
 def test_toxicity_without_labels(spark):
     docs = _documents(spark, [(1, "you idiot"), (2, "fine")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
