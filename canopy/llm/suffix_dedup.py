@@ -3,19 +3,21 @@
 A byte string of LENGTH bytes is known by an anchor: the smallest hash among its GRAM-byte strings. Equal strings have
 equal anchors, and neighbouring strings mostly share one, so a document falls into runs of strings with one anchor.
 
-0. Texts that a smaller document has whole are known by a digest, wholly removed, and left out of what follows.
-1. The anchors of each chunk of documents meet in buckets; those that occur in two documents or more go on.
+1. The anchors of each chunk of documents meet in buckets; those that occur in two documents or more go on. This is a filter
+   only: it says which strings may repeat.
 2. The runs with such an anchor meet in buckets, once for each distinct run of a chunk, with the smallest id that holds it.
-   A run that a smaller document holds too is settled. For the others, the strings inside all runs of one anchor are
-   compared as suffixes by bucket-pointer refinement: suffixes are sorted into buckets of 8 bytes, and the buckets are
-   refined by sorting on the bucket numbers of later offsets, twice the depth each time, until buckets agree on LENGTH
-   bytes; each round reuses the numbers of the last. The smallest id of a bucket is the first document of that string.
+   Bucket-pointer refinement settles which strings are equal, first whole runs and then the strings inside them. Initial
+   buckets are of 8 bytes, and they are refined by sorting on the bucket numbers of later offsets, twice the depth each
+   time; each round reuses the numbers of the last. Whole runs are refined from every eighth byte (equal_runs), which merges
+   the equal ones; where an anchor has different runs, the strings inside these are refined from every byte, until buckets
+   agree on LENGTH bytes (refined). The smallest id of a bucket is the first document of that string.
 3. The answers return to the chunks, where every byte under a string of a smaller document is removed.
 
-No bucket holds more than the distinct runs of its anchors: repeats inside a chunk are merged before they move. Anchors
-that occur more than HOT times (a passage in a large part of all documents, with as many different surroundings) are not
-compared as runs: their strings are dealt singly by a hash of the string. Chunks of text are staged, bucketed by chunk,
-so that texts are never shuffled and a lost executor's part is computed again alike.
+No bucket holds more than the distinct runs of its anchors: equal runs inside a chunk are merged, by the same refinement,
+before they move. Anchors that occur more than HOT times (a passage in a large part of all documents, with as many
+different surroundings) are not compared as runs: their strings are dealt singly by a hash of the string, and refined in
+the bucket where they meet. Chunks of text are staged, bucketed by chunk, so that texts are never shuffled and a lost
+executor's part is computed again alike.
 
 Defined cases: null and empty texts have no bytes; texts shorter than LENGTH lose nothing; among rows of one id nothing is
 removed for the other's sake; rows with a null id neither lose anything nor count as first; extra columns are ignored.
@@ -24,7 +26,6 @@ removed for the other's sake; rows with a null id neither lose anything nor coun
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
 from itertools import count
 
 import numpy as np
@@ -43,7 +44,7 @@ LENGTH = 50
 GRAM = 24
 CHUNK_BYTES = 8 << 20
 HOT = 20_000
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 22
 PART_BYTES = 1 << 20
 
 _U = np.uint64
@@ -116,19 +117,47 @@ class Runs:
         self.text, self.first, self.many, self.anchor = join(text, np.int64), join(first, np.int64), join(many, np.int64), join(anchor, np.uint64)
 
 
+def _number(keys: np.ndarray) -> np.ndarray:
+    """Bucket numbers: equal keys, equal numbers, in the order of the keys."""
+    return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
+
+
+def equal_runs(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bucket numbers of the runs of data: equal numbers, equal runs. Sizes are 8 at least.
+
+    A run is a row of blocks of 8 bytes (the last may overlap the one before). Each round numbers pairs of neighbouring
+    buckets, so that a number stands for twice as many bytes, until a run has one number.
+    """
+    blocks = -(-sizes // 8)
+    ends = np.cumsum(blocks)
+    offset = np.minimum(8 * (np.arange(ends[-1] if ends.size else 0) - np.repeat(ends - blocks, blocks)), np.repeat(sizes - 8, blocks))
+    at = np.repeat(begins, blocks) + offset
+    held = np.zeros(at.size, np.uint64)
+    for k in range(8):
+        held |= data[at + k].astype(np.uint64) << _U(8 * k)
+    held = _number(held) + _U(1)  # 0 stands for no neighbour
+    while blocks.size and blocks.max() > 1:
+        firsts = np.cumsum(blocks) - blocks
+        pairs = (blocks + 1) // 2
+        ends = np.cumsum(pairs)
+        place = np.arange(ends[-1]) - np.repeat(ends - pairs, pairs)
+        left = np.repeat(firsts, pairs) + 2 * place
+        paired = 2 * place + 1 < np.repeat(blocks, pairs)
+        right = np.where(paired, held[np.minimum(left + 1, held.size - 1)], _U(0))
+        held, blocks = _number((held[left] << _U(32)) | right) + _U(1), pairs
+    return _number((held << _U(32)) | sizes.astype(np.uint64)).astype(np.int64)
+
+
 def refined(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Bucket numbers of the strings of the length at starts: equal numbers, equal strings.
 
     data must reach 8 bytes beyond the last string.
     """
 
-    def number(keys: np.ndarray) -> np.ndarray:
-        return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
-
     def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return number((a << _U(32)) | b)
+        return _number((a << _U(32)) | b)
 
-    base = number(_eights(data))
+    base = _number(_eights(data))
     if length <= 8:
         raise ValueError("length must exceed 8")
     depth, all_places, at_starts = 8, base, base[starts]
@@ -180,7 +209,7 @@ def _unframed(whole: bytes) -> list[bytes]:
 
 
 def _text_chunks(documents: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """Staged rows (chunk, ids, texts, digests), bucketed by chunk."""
+    """Staged rows (chunk, ids, texts), bucketed by chunk."""
     spark = documents.sparkSession
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
@@ -189,9 +218,8 @@ def _text_chunks(documents: DataFrame, id_col: str, text_col: str, chunk_bytes:
         ids, texts, size = [], [], 0
 
         def flush():
-            digests = [xxhash.xxh3_128_digest(t) if t else None for t in texts]
-            arrays = [pa.array([next(serial)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary())), pa.array([digests], pa.list_(pa.binary()))]
-            return pa.RecordBatch.from_arrays(arrays, names=["chunk", "ids", "texts", "digests"])
+            arrays = [pa.array([next(serial)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays(arrays, names=["chunk", "ids", "texts"])
 
         for batch in batches:
             held = batch["id"].to_pylist()
@@ -206,7 +234,7 @@ def _text_chunks(documents: DataFrame, id_col: str, text_col: str, chunk_bytes:
             yield flush()
 
     name = f"canopy_texts_{uuid.uuid4().hex}"
-    writer = source.mapInArrow(trimmed(run), "chunk long, ids array<long>, texts array<binary>, digests array<binary>").write.format("parquet")
+    writer = source.mapInArrow(trimmed(run), "chunk long, ids array<long>, texts array<binary>").write.format("parquet")
     writer = writer.option("path", f"{shared_root(spark)}/{name}").option("compression", "zstd")
     writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(name)
     table = spark.table(name)
@@ -215,14 +243,6 @@ def _text_chunks(documents: DataFrame, id_col: str, text_col: str, chunk_bytes:
     return found
 
 
-def _without_copies(texts: DataFrame) -> DataFrame:
-    """texts with copies: the places of texts that a document with a smaller id has whole."""
-    each = texts.select("chunk", F.posexplode(F.arrays_zip("ids", "digests")).alias("place", "x")).select("chunk", "place", "x.ids", "x.digests").where("ids is not null and digests is not null")
-    first = each.groupBy("digests").agg(F.min("ids").alias("low"))
-    later = each.join(first, "digests").where("low < ids").groupBy("chunk").agg(F.collect_list("place").alias("copies"))
-    return texts.select("chunk", "ids", "texts").join(staged(later, "copies"), "chunk", "left")
-
-
 def _back(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "packed")).alias(name))
 
@@ -262,7 +282,7 @@ def _flags(runs: Runs, buckets: int, answers: list[dict]) -> np.ndarray:
 class Entries:
     """The distinct runs of a chunk that go on, and the uses of each: text, first string, number of strings, entry.
 
-    A bucket's entries are numbered in the order of their first use.
+    Entries are numbered, and those of a bucket listed, in the order of their first use; `begin` is that use.
     """
 
     def __init__(self, runs: Runs, flags: np.ndarray, texts: list[bytes], ids: list[int | None], buckets: int, length: int):
@@ -273,22 +293,71 @@ class Entries:
         self.text = np.concatenate([runs.text[whole], np.repeat(runs.text[singly], n)])
         self.first = np.concatenate([runs.first[whole], np.repeat(runs.first[singly], n) + inner])
         self.many = np.concatenate([runs.many[whole], np.ones(inner.size, np.int64)])
-        numbers: defaultdict = defaultdict(count().__next__)
-        stops = self.first + self.many + (length - 1)
-        slices = (texts[t][a:b] for t, a, b in zip(self.text.tolist(), self.first.tolist(), stops.tolist(), strict=True))
-        self.entry = np.fromiter(map(numbers.__getitem__, slices), np.int64, self.text.size)
-        self.strings = list(numbers)
-        self.low = np.full(len(self.strings), np.iinfo(np.int64).max)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        at = (np.cumsum(sizes) - sizes)[self.text] + self.first
+        alike = equal_runs(np.frombuffer(b"".join(texts), np.uint8), at, self.many + (length - 1))
+        _, begin, which = np.unique(alike, return_index=True, return_inverse=True)
+        order = np.argsort(begin)
+        rank = np.empty(order.size, np.int64)
+        rank[order] = np.arange(order.size)
+        self.begin, self.entry = begin[order], rank[which]
         own = np.array([i if i is not None else 0 for i in ids], np.int64)
         self.own = own[self.text]
+        self.low = np.full(self.begin.size, np.iinfo(np.int64).max)
         np.minimum.at(self.low, self.entry, self.own)
-        _, begin = np.unique(self.entry, return_index=True)
-        tag = np.concatenate([runs.anchor[whole], np.zeros(inner.size, np.uint64)])[begin]
-        for k in np.flatnonzero(begin >= whole.size).tolist():
-            tag[k] = xxhash.xxh3_64_intdigest(self.strings[k])
+        self.texts, self.length = texts, length
+        tag = np.concatenate([runs.anchor[whole], np.zeros(inner.size, np.uint64)])[self.begin]
+        for k in np.flatnonzero(self.begin >= whole.size).tolist():
+            tag[k] = xxhash.xxh3_64_intdigest(self.string(k))
         self.tag = (tag & _U(0x7FFFFFFF)).astype(np.int64)
         self.buckets = _parted((tag % _U(buckets)).astype(np.int64))
 
+    def string(self, entry: int) -> bytes:
+        use = self.begin[entry]
+        return self.texts[self.text[use]][self.first[use] : self.first[use] + self.many[use] + self.length - 1]
+
+
+class Meeting:
+    """Runs that meet in a bucket, by refinement: for each the smallest id that holds it, and for runs with strings that
+    smaller ids hold, the smallest id of each string."""
+
+    def __init__(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, ids: np.ndarray, tags: np.ndarray, length: int):
+        self.low = ids.copy()
+        self.inner: dict[int, np.ndarray] = {}
+        order = np.argsort(tags, kind="stable")  # equal strings have one tag
+        edges = np.flatnonzero(np.diff(tags[order], prepend=-1, append=-1))
+        if not order.size:
+            return
+        bytes_before = np.concatenate([[0], np.cumsum(sizes[order])])[edges]
+        done = 0
+        while done < edges.size - 1:
+            upto = max(done + 1, int(np.searchsorted(bytes_before, bytes_before[done] + SLICE_BYTES, "right")) - 1)
+            self._settle(order[edges[done] : edges[upto]], data, begins, sizes, ids, tags, length)
+            done = upto
+
+    def _settle(self, own: np.ndarray, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, ids: np.ndarray, tags: np.ndarray, length: int) -> None:
+        if own.size < 2:
+            return
+        alike = equal_runs(data, begins[own], sizes[own])
+        _, some, which = np.unique(alike, return_index=True, return_inverse=True)
+        low = np.full(some.size, np.iinfo(np.int64).max)
+        np.minimum.at(low, which, ids[own])
+        self.low[own] = low[which]
+        # Different runs of one tag may share strings.
+        _, back, n = np.unique(tags[own[some]], return_inverse=True, return_counts=True)
+        several = np.flatnonzero(n[back] > 1)
+        if not several.size:
+            return
+        held = [data[begins[k] : begins[k] + sizes[k]].tobytes() for k in own[some[several]].tolist()]
+        found = {}
+        for k, holders in zip(several.tolist(), first_holders(held, low[several], length), strict=True):
+            if (holders < low[k]).any():
+                found[k] = holders
+        if found:
+            for i, k in zip(own.tolist(), which.tolist(), strict=True):
+                if k in found:
+                    self.inner[i] = found[k]
+
 
 def remove_repeats(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT
@@ -296,13 +365,10 @@ def remove_repeats(
     """Rows (id, n_bytes, spans array<struct<start, stop>>, kept binary): the removed spans, and what is left."""
     spark = documents.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = _without_copies(_text_chunks(documents, id_col, text_col, chunk_bytes))
+    texts = _text_chunks(documents, id_col, text_col, chunk_bytes)
 
-    def read(batch: pa.RecordBatch, i: int) -> tuple[list[bytes], list[int | None], list[int | None], set[int]]:
-        """A chunk's texts, ids, the ids of those that are not copies of earlier texts, and the places of the copies."""
-        ids, held = batch["ids"][i].as_py(), [t or b"" for t in batch["texts"][i].as_py()]
-        copies = set(batch["copies"][i].as_py() or ())
-        return held, ids, [None if k in copies else x for k, x in enumerate(ids)], copies
+    def read(batch: pa.RecordBatch, i: int) -> tuple[list[bytes], list[int | None]]:
+        return [t or b"" for t in batch["texts"][i].as_py()], batch["ids"][i].as_py()
 
     def rows_of(batch: pa.RecordBatch, i: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
         arrays = [pa.array([batch["chunk"][i].as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())]
@@ -311,7 +377,7 @@ def remove_repeats(
     def anchors(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                held, _, ids, _ = read(batch, i)
+                held, ids = read(batch, i)
                 found = _anchor_lists(Runs(held, ids, length), ids, buckets)
                 yield rows_of(batch, i, [(b, _frames(_ints(np.diff(a.astype(np.int64), prepend=0)), pack(n), pack(s.astype(np.int32)))) for b, a, n, s, _ in found])
 
@@ -333,61 +399,28 @@ def remove_repeats(
     def entries(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                held, _, ids, _ = read(batch, i)
+                held, ids = read(batch, i)
                 runs = Runs(held, ids, length)
                 found = Entries(runs, _flags(runs, buckets, batch["flags"][i].as_py() or []), held, ids, buckets, length)
                 rows = []
                 for b, at in found.buckets:
-                    strings = [found.strings[k] for k in at]
+                    strings = [found.string(k) for k in at.tolist()]
                     blob = zstandard.ZstdCompressor(level=1).compress(b"".join(strings))
                     rows.append((b, _frames(pack(np.fromiter(map(len, strings), np.int64, len(strings))), blob, _ints(found.low[at]), pack(found.tag[at]))))
                 yield rows_of(batch, i, rows)
 
     def resolve(table: pa.Table) -> pa.Table:
-        number: dict[bytes, int] = {}
-        low: list[int] = []
-        tags: list[int] = []
-        uses: list[np.ndarray] = []
-        for packed in table["packed"].to_pylist():
-            sizes, blob, ids, tag = _unframed(packed)
-            ends = np.cumsum(unpack(sizes), dtype=np.int64).tolist()
-            joined = zstandard.ZstdDecompressor().decompress(blob)
-            own = []
-            for a, b, i, t in zip([0, *ends[:-1]], ends, _from_ints(ids).tolist(), unpack(tag).tolist(), strict=True):
-                k = number.setdefault(joined[a:b], len(low))
-                if k == len(low):
-                    low.append(i)
-                    tags.append(t)
-                elif i < low[k]:
-                    low[k] = i
-                own.append(k)
-            uses.append(np.array(own, np.int64))
-        strings, lows = list(number), np.array(low, np.int64)
-        inner: dict[int, np.ndarray] = {}
-        order = np.argsort(np.array(tags), kind="stable")
-        tag_of = np.array(tags)[order]
-        edges = np.flatnonzero(np.diff(tag_of, prepend=-1, append=-1))
-        group: list[int] = []
-        size = 0
-
-        def settle() -> None:
-            for k, holders in zip(group, first_holders([strings[g] for g in group], lows[group], length), strict=True):
-                if (holders < lows[k]).any():
-                    inner[k] = holders
-
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if b - a > 1:
-                group += order[a:b].tolist()
-                size += sum(len(strings[k]) for k in order[a:b].tolist())
-            if size >= SLICE_BYTES:
-                settle()
-                group, size = [], 0
-        if group:
-            settle()
-        out = []
-        for own in uses:
-            odd = [(n, inner[k]) for n, k in enumerate(own.tolist()) if k in inner]
-            out.append(_frames(_ints(lows[own]), pack(np.array([n for n, _ in odd], np.int64)), _ints(np.concatenate([h for _, h in odd]) if odd else np.zeros(0, np.int64))))
+        parts = [_unframed(packed) for packed in table["packed"].to_pylist()]
+        sizes = [unpack(p[0]).astype(np.int64) for p in parts]
+        data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(p[1]) for p in parts), np.uint8)
+        every = np.concatenate(sizes)
+        met = Meeting(data, np.cumsum(every) - every, every, np.concatenate([_from_ints(p[2]) for p in parts]), np.concatenate([unpack(p[3]) for p in parts]).astype(np.int64), length)
+        out, done = [], 0
+        for own in sizes:
+            odd = [(n, met.inner[done + n]) for n in range(own.size) if done + n in met.inner] if met.inner else []
+            holders = np.concatenate([h for _, h in odd]) if odd else np.zeros(0, np.int64)
+            out.append(_frames(_ints(met.low[done : done + own.size]), pack(np.array([n for n, _ in odd], np.int64)), _ints(holders)))
+            done += own.size
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "packed": pa.array(out, pa.binary())})
 
     resolved = staged(_back(with_flags.mapInArrow(trimmed(entries), kind).groupBy("bucket").applyInArrow(resolve, kind), "holders"), "holders")
@@ -395,10 +428,10 @@ def remove_repeats(
     def cut(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                held, every, ids, copies = read(batch, i)
+                held, ids = read(batch, i)
                 runs = Runs(held, ids, length)
                 found = Entries(runs, _flags(runs, buckets, batch["flags"][i].as_py() or []), held, ids, buckets, length)
-                low = np.full(len(found.strings), np.iinfo(np.int64).max)
+                low = np.full(found.begin.size, np.iinfo(np.int64).max)
                 inner: dict[int, np.ndarray] = {}
                 answers = {a["bucket"]: a["packed"] for a in batch["holders"][i].as_py() or ()}
                 for b, at in found.buckets:
@@ -406,7 +439,7 @@ def remove_repeats(
                     low[at] = _from_ints(lows)
                     flat, done = _from_ints(flat), 0
                     for n in unpack(odd).tolist():
-                        many = len(found.strings[at[n]]) - length + 1
+                        many = int(found.many[found.begin[at[n]]])
                         inner[int(at[n])] = flat[done : done + many]
                         done += many
                 sizes = np.fromiter(map(len, held), np.int64, len(held))
@@ -420,10 +453,6 @@ def remove_repeats(
                     places = at[k] + np.flatnonzero(inner[int(found.entry[k])] < found.own[k])
                     np.add.at(marks, places, 1)
                     np.add.at(marks, places + length, -1)
-                for k in copies:
-                    if sizes[k] >= length:
-                        marks[begins[k]] += 1
-                        marks[begins[k] + sizes[k]] -= 1
                 removed = np.cumsum(marks[:-1]) > 0
                 edges = np.flatnonzero(np.diff(removed.astype(np.int8), prepend=0, append=0))
                 bounds = np.searchsorted(edges, np.append(begins, removed.size))
@@ -436,7 +465,7 @@ def remove_repeats(
                         kept.append(b"".join(held[k][x:y] for x, y in zip(stops[::2], stops[1::2], strict=True)))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(every[a : a + 500], pa.int64()),
+                            pa.array(ids[a : a + 500], pa.int64()),
                             pa.array(sizes[a : a + 500], pa.int64()),
                             pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
                             pa.array(kept, pa.binary()),

@@ -248,6 +248,17 @@ def test_repeats_equal_brute_force(spark, hot):
     assert suffix_dedup.repeat_report(docs.limit(0)).count() == 0
 
 
+def test_equal_runs_are_told_by_refinement():
+    r = random.Random(7)
+    runs = ["".join(r.choices("ab", k=n)) for n in r.choices(range(8, 90), k=300)] + ["a" * n for n in range(8, 70)] + ["ab" * 40 + t for t in ("c", "d", "")]
+    runs += r.choices(runs, k=400)
+    data = np.frombuffer("".join(runs).encode(), np.uint8)
+    sizes = np.array([len(x) for x in runs])
+    numbers = suffix_dedup.equal_runs(data, np.cumsum(sizes) - sizes, sizes)
+    assert len(set(zip(numbers.tolist(), runs, strict=True))) == len(set(runs)) == len(set(numbers.tolist()))
+    assert suffix_dedup.equal_runs(data, np.zeros(0, int), np.zeros(0, int)).size == 0
+
+
 def test_bucket_refinement_tells_strings_apart():
     r = random.Random(2)
     text = "".join(r.choices("ab", k=600)) + "ab" * 60
