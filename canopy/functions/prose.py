@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -11,61 +13,62 @@ Token = tuple[str, str]  # text, kind
 WORDS = {
     "string": "text", "number": "a number", "boolean": "a boolean", "void": "nothing", "undefined": "undefined", "null": "null", "never": "never", "any": "any value", "unknown": "an unknown value",
 }
-_KEPT = frozenset("[]<>")
-
-
-def _typed(tokens: list[Token]) -> list[Token]:
-    return [t for t in tokens if t[1] != "punctuation" or t[0] in _KEPT]
-
-
-def describe(tokens: list[Token], terms: dict[str, str], used: set[str]) -> str:
-    tokens = [t for t in tokens if t[1] not in ("space", "lineBreak")]
-    texts = [t[0] for t in tokens]
-    if not tokens:
-        return "unknown"
-    if texts[-2:] == ["[", "]"]:
-        return "array of " + describe(tokens[:-2], terms, used)
-    if tokens[0] == ("Promise", "localName") and texts[1:2] == ["<"]:
-        return "promise of " + describe(tokens[2:-1], terms, used)
-    if len(tokens) == 1 and tokens[0][1] == "keyword":
-        return WORDS.get(texts[0], texts[0])
-    if len(tokens) == 1 and tokens[0][1] == "aliasName" and texts[0] in terms:
-        used.add(texts[0])
-        return f"[{texts[0]}]"
-    return "".join(texts)
-
-
-def _named(tokens: list[Token], kind: str, stops: str) -> list[tuple[str, list[Token]]]:
-    out, at = [], 0
-    while at < len(tokens):
-        if tokens[at][1] == kind:
-            end = at + 1
-            while end < len(tokens) and not (tokens[end][0] and tokens[end][0] in stops and len(tokens[end][0]) == 1):
-                end += 1
-            out.append((tokens[at][0], _typed(tokens[at + 1 : end])))
-            at = end
-        at += 1
-    return out
+
+# A signature is read as a string of one sign a token, in which names and types are found by patterns.
+_KINDS = {"keyword": "k", "localName": "l", "aliasName": "a", "parameterName": "p", "propertyName": "f", "space": " ", "lineBreak": " ", "punctuation": "."}
+_OWN_SIGN = frozenset(",);[]<>")
+_SILENT = re.compile(r"[ .,);]")
+_PARTS = {"function": re.compile(r"p([^,)]*)"), "type": re.compile(r"f([^;]*)")}
+
+
+class Signature:
+    """Tokens as signs and texts; slices of it speak types."""
+
+    def __init__(self, tokens: list[Token], terms: dict[str, str]):
+        self.texts, self.terms = [text for text, _ in tokens], terms
+        self.signs = "".join(text if text in _OWN_SIGN and text else _KINDS.get(kind, "x") for text, kind in tokens)
+        self.used: set[str] = set()
+
+    def spoken(self, start: int, stop: int) -> str:
+        """The type between two tokens: what wraps it, outermost first, and its own words."""
+        heard = [k for k in range(start, stop) if not _SILENT.match(self.signs[k])]
+        wrapped = ""
+        while heard:
+            signs = "".join(self.signs[k] for k in heard)
+            if signs.endswith("[]"):
+                wrapped, heard = wrapped + "array of ", heard[:-2]
+            elif signs.startswith("l<") and self.texts[heard[0]] == "Promise":
+                wrapped, heard = wrapped + "promise of ", heard[2:-1]
+            else:
+                return wrapped + self._plain(signs, "".join(self.texts[k] for k in heard))
+        return wrapped + "unknown"
+
+    def _plain(self, signs: str, text: str) -> str:
+        if signs == "a" and text in self.terms:
+            self.used.add(text)
+            return f"[{text}]"
+        return WORDS.get(text, text) if signs == "k" else text
+
+    def parts(self, what: str) -> str:
+        """All names of a signature's parts, each with its type."""
+        return ", ".join(f"{self.texts[m.start()]} ({self.spoken(*m.span(1))})" for m in _PARTS[what].finditer(self.signs))
 
 
 def prose(tokens: list[Token], terms: dict[str, str] | None = None) -> str:
     """The sentence for a function's or a type's tokens, and definitions of the terms that it names."""
-    terms, used = terms or {}, set()
-    first = next((t for t, kind in tokens if kind == "keyword"), None)
-    phrase = lambda parts: ", ".join(f"{name} ({describe(kind, terms, used)})" for name, kind in parts)
-    if first == "function":
-        closing = max((k for k, t in enumerate(tokens) if t[0] == ")"), default=None)
-        returned = [] if closing is None else _typed(tokens[closing + 1 :])
-        params = _named(tokens, "parameterName", ",)")
-        told = describe(returned, terms, used)
-        out = f"takes {phrase(params)}. Returns {told}." if params else f"returns {told}."
-    elif first == "type":
-        fields = _named(tokens, "propertyName", ";")
-        out = f"has fields: {phrase(fields)}." if fields else ""
-    else:
+    read = Signature(tokens, terms or {})
+    what = read.texts[read.signs.index("k")] if "k" in read.signs else None
+    if what not in _PARTS:
         return ""
-    notes = "\n".join(f"[{t}]: {terms[t]}" for t in sorted(used))
-    return f"{out}\n\n{notes}" if notes else out
+    told = read.parts(what)
+    if what == "type":
+        sentence = f"has fields: {told}." if told else ""
+    else:
+        closing = read.signs.rfind(")")
+        result = read.spoken(closing + 1, len(tokens)) if closing >= 0 else "unknown"
+        sentence = f"takes {told}. Returns {result}." if told else f"returns {result}."
+    notes = [f"[{t}]: {read.terms[t]}" for t in sorted(read.used)]
+    return "\n\n".join([sentence, "\n".join(notes)]) if notes else sentence
 
 
 def prose_udf(terms: dict[str, str] | None = None):

@@ -130,29 +130,38 @@ def delta(x: Column, as_percent: bool = False) -> Column:
     return F.concat(sign, shown)
 
 
+#: A line of a page: what it is by its form, and what it says.
+_LINE_MARKS = r"^(?:#{1,6}\s+)?(?:>\s?)?\s*(?:[-*]\s+)?\s*(?:\d+\.\s+)?"
+_INLINE = r"\[([^\]]*)\]\([^)]*\)|\*{1,2}([^*]*)\*{1,2}|`([^`]*)`"
+_NESTED = 3
+
+
+def _without_fences(text: Column) -> Column:
+    """The stretches outside code fences; a fence that nothing closes is text."""
+    parts = F.split(text, "```", -1)
+    closed = F.size(parts) - 1 + F.size(parts) % 2  # the stretches that are not after an open fence
+    outside = F.filter(F.slice(parts, 1, closed), lambda part, i: i % 2 == 0)
+    rest = F.when(closed < F.size(parts), F.concat(F.lit("```"), F.element_at(parts, -1))).otherwise("")
+    return F.concat(F.array_join(outside, " "), rest)
+
+
+def _said(line: Column) -> Column:
+    """A line's words: nothing for imports, rules and the line below a table's head, cells of a table as a sentence."""
+    cells = F.filter(F.transform(F.split(line, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+    return (
+        F.when(line.rlike(r"^import\s|^-{3,}\s*$|^\s*\|[\s:|-]+\|\s*$"), "")
+        .when(line.rlike(r"^\s*\|.+\|\s*$"), F.concat(F.array_join(cells, ", "), F.lit(". ")))
+        .otherwise(F.regexp_replace(line, _LINE_MARKS, ""))
+    )
+
+
 def strip_markdown(text: Column) -> Column:
     """Plain text on one line: imports, tags, code and marks go, table rows become sentences, links keep their words."""
-    for pattern, by in ((r"(?m)^import\s+.*$", ""), (r"<[^>]+>", " "), (r"(?s)```.*?```", " "), (r"(?m)^\s*\|[\s:|-]+\|\s*$", "")):
-        text = F.regexp_replace(text, pattern, by)
-
-    def row(line: Column) -> Column:
-        cells = F.filter(F.transform(F.split(F.regexp_extract(line, r"^\s*\|(.+)\|\s*$", 1), r"\|"), lambda c: F.trim(c)), lambda c: c != "")
-        return F.when(line.rlike(r"^\s*\|.+\|\s*$"), F.concat(F.array_join(cells, ", "), F.lit(". "))).otherwise(line)
-
-    text = F.array_join(F.transform(F.split(text, "\n"), row), "\n")
-    for pattern, by in (
-        (r"(?m)^#{1,6}\s+", ""),
-        (r"(?m)^>\s?", ""),
-        (r"(?m)^-{3,}\s*$", ""),
-        (r"(?m)^(\s*)[-*]\s+", "$1"),
-        (r"(?m)^(\s*)\d+\.\s+", "$1"),
-        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\*{1,2}([^*]*)\*{1,2}", "$1"),
-        (r"`([^`]*)`", "$1"),
-        (r"\s+", " "),
-    ):
-        text = F.regexp_replace(text, pattern, by)
-    return F.trim(text)
+    lines = F.split(_without_fences(F.regexp_replace(text, r"<[^>]+>", " ")), "\n")
+    text = F.array_join(F.transform(lines, _said), "\n")
+    for _ in range(_NESTED):  # marks inside marks
+        text = F.regexp_replace(text, _INLINE, "$1$2$3")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def slug(text: Column) -> Column:

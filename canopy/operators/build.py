@@ -107,7 +107,7 @@ def generate(
         before = cached["functions"].select(*pick).unionByName(cached["types"].select(*pick))
     unit_rows = settled(embed_units(unit_facets(units, files, root, words), embed, before))
     old = lambda t: cached[t].select("cache_key", "facet_hash", "identity", "leaf") if t in cached else None
-    file_rows = settled(embed_containers(container_facets(files.drop("units"), "file", root, words), embed, old("files")))
+    file_rows = settled(embed_containers(container_facets(files.drop("units", "corrupt"), "file", root, words), embed, old("files")))
     dir_rows = settled(embed_containers(container_facets(directories, "dir", root, words), embed, old("directories")))
     held = unit_rows.select(F.col("path").alias("file"), F.get(F.coalesce("patterns", F.array().cast("array<string>")), 0).alias("pattern"), "bound", "leaf")
     listed = file_rows.withColumns({"file": F.col("path"), "directory": text.parent_path(F.col("path")), "ord": F.xxhash64("path")})

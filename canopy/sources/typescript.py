@@ -2,7 +2,8 @@
 
 The doc tags are a prefix and a word: with the prefix "unit", @unitPure, @unitUtil, @unitHelper, @unitResidual,
 @unitCauses, @unitPatterns, @unitCompanion and @unitBound. A manifest (a Markdown file a directory) holds a directory's
-description and its directives. Files that cannot be read are dropped and counted by the caller.
+description and its directives. Files that cannot be read are dropped and counted by the caller; files whose strings,
+comments, templates or brackets do not close are read as far as they go and marked `corrupt`.
 """
 
 from __future__ import annotations
@@ -79,12 +80,88 @@ def parse_doc(block: str | None, prefix: str = PREFIX) -> Doc:
     return doc
 
 
-_BLANK = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.S)
+_REGEX_BODY = r"/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*"
+_PIECE = re.compile(
+    r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|(?P<open_comment>\Z)))"
+    r"|(?P<string>'(?:\\.|[^'\\\n])*(?:'|(?P<open_single>(?=\n)|\Z))|\"(?:\\.|[^\"\\\n])*(?:\"|(?P<open_double>(?=\n)|\Z)))"
+    r"|(?P<tick>`)|(?P<slash>/)|(?P<open>[({\[])|(?P<shut>[)}\]])|(?P<word>[\w$]+)|(?P<sign>[^\s\w$])",
+    re.S,
+)
+_REGEX = re.compile(_REGEX_BODY)
+_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.S)
+# After these words, and after the brackets of these statements, a slash begins a regular expression.
+_BEFORE_VALUE = frozenset("return typeof case in of instanceof new delete void throw do else yield await default extends".split())
+_CONDITIONS = frozenset("if while for with".split())
+
+
+def scanned(code: str) -> tuple[str, bool]:
+    """code with comments, strings, regular expressions and the text of templates turned to spaces, at the same places; and
+    whether it is whole: all of these closed, and brackets paired.
+
+    What stands in the ${} of a template is code, with its own strings and templates. A slash begins a regular expression
+    where a value may begin, by the token before it.
+    """
+    out = list(code)
+    whole = True
+    brackets: list[tuple[str, bool]] = []  # each open one, and whether a slash after its end begins a regular expression
+    value_next, word = True, ""
+    at = 0
+
+    def hide(start: int, stop: int) -> None:
+        out[start:stop] = re.sub(r"[^\n]", " ", code[start:stop])
+
+    def template(start: int) -> int:
+        """Hide a template's text from start; it ends at a tick or goes on after the ${} that opens here."""
+        nonlocal whole
+        stop = _TEMPLATE.match(code, start).end()
+        if code.startswith("${", stop):
+            hide(start, stop + 2)
+            brackets.append(("${", False))
+            return stop + 2
+        whole = whole and stop < len(code)
+        hide(start, stop + 1)
+        return stop + 1
+
+    while (m := _PIECE.search(code, at)) is not None:
+        kind, at = m.lastgroup, m.end()
+        if m["comment"]:
+            whole = whole and m["open_comment"] is None
+            hide(*m.span())
+            continue
+        if m["string"]:
+            whole = whole and m["open_single"] is None and m["open_double"] is None
+            hide(*m.span())
+            value_next = False
+        elif kind == "tick":
+            hide(*m.span())
+            at = template(m.end())
+            value_next = brackets[-1:] == [("${", False)] and code[at - 1] == "{"
+        elif kind == "slash":
+            found = _REGEX.match(code, m.start()) if value_next else None
+            if found:
+                hide(*found.span())
+                at = found.end()
+            value_next = not found
+        elif kind == "open":
+            brackets.append((m[0], m[0] == "{" or m[0] == "(" and word in _CONDITIONS))
+            value_next = True
+        elif kind == "shut":
+            before, value_next = brackets.pop() if brackets else ("", False)
+            whole = whole and before + m[0] in ("()", "[]", "{}", "${}")
+            if before == "${":
+                at = template(m.start())  # the brace is hidden with the text that follows
+                value_next = code[at - 1 : at] == "{"
+        elif kind == "word":
+            value_next = m[0] in _BEFORE_VALUE
+        else:
+            value_next = not (m[0] in "+-" and code[m.start() - 1 : m.start()] == m[0])  # after ++ or -- comes no value
+        word = m[0] if kind == "word" else ""
+    return "".join(out), whole and not brackets
 
 
 def blanked(code: str) -> str:
-    """code with comments and strings turned to spaces, at the same places."""
-    return _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+    """code without comments, strings, regular expressions and the text of templates, at the same places."""
+    return scanned(code)[0]
 
 
 def _close(code: str, at: int) -> int:
@@ -141,7 +218,7 @@ _NOT_CALLS = frozenset("if for while switch catch function return typeof super i
 
 def extract(path: str, code: str, prefix: str = PREFIX) -> dict:
     """A file's functions, types, imports, doc and flags."""
-    blank = blanked(code)
+    blank, whole = scanned(code)
     docs = [(m.start(), m.end(), m[0]) for m in re.finditer(r"/\*\*.*?\*/", code, re.S)]
     imports = list(dict.fromkeys(m[1] for m in _IMPORT.finditer(code) if blank[m.start() : m.start(1) - 1].strip()))
     internal = [i for i in imports if i.startswith((".", "/"))]
@@ -153,8 +230,10 @@ def extract(path: str, code: str, prefix: str = PREFIX) -> dict:
     file_doc = parse_doc(first_doc, prefix)
     folded = path.replace("\\", "/")
     util_file = file_doc.util or "/utils/" in folded or "/helpers/" in folded or ".utils." in folded
+    depth = counted = 0
     for m in _DECLARATION.finditer(blank):
-        depth = blank.count("{", 0, m.start()) - blank.count("}", 0, m.start())
+        depth += blank.count("{", counted, m.start()) - blank.count("}", counted, m.start())
+        counted = m.start()
         if depth != 0:
             continue
         before = [d for d in docs if d[1] <= m.start() and not blank[d[1] : m.start()].strip()]
@@ -208,7 +287,7 @@ def extract(path: str, code: str, prefix: str = PREFIX) -> dict:
         bound = "inward"
     return {
         "path": path, "name": folded.rsplit("/", 1)[-1], "description": file_doc.description, "imports_internal": internal, "imports_external": [i for i in imports if i not in internal],
-        "companion": file_doc.companion, "bound": bound, "helper": file_doc.helper, "residuals": file_doc.residuals, "units": [*functions.values(), *types.values()],
+        "companion": file_doc.companion, "bound": bound, "helper": file_doc.helper, "residuals": file_doc.residuals, "units": [*functions.values(), *types.values()], "corrupt": not whole,
     }
 
 
@@ -238,7 +317,7 @@ UNIT = (
     "companion:string,documented_params:int,has_return_doc:boolean,bound:string,param_names:array<string>,param_types:array<string>,returns_type:string,calls:array<string>,"
     "fields:array<struct<name:string,type:string>>,start_line:int,end_line:int>"
 )
-FILE = f"path string, name string, description string, imports_internal array<string>, imports_external array<string>, companion string, bound string, helper boolean, residuals {_RESIDUALS}, units array<{UNIT}>"
+FILE = f"path string, name string, description string, imports_internal array<string>, imports_external array<string>, companion string, bound string, helper boolean, residuals {_RESIDUALS}, units array<{UNIT}>, corrupt boolean"
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,51 @@ def test_extract():
     assert make["start_line"] < make["end_line"]
 
 
+HARD = r"""
+const re = /["'`{]/g, other = a / b / c, third = [/\/[/}]+/i, x++ / 2];
+const css = `a { ${list.map((x) => `<li title="}">${x ? `{` : "}"}</li>`).join("")} b } ${ {k: "}"}.k }`;
+/** Splits a line. */
+export function split(line: string): string[] {
+  if (/^\s*{/.test(line)) return line.split(/[,;{]/);
+  const ratio = (line.length + 1) / 2 / total(line);
+  return [`${pad(line)} { ${'}'}`, "//", '/*'];
+}
+// don't stop here: {
+export type Pair = { left: string; right: Array<{ a: number }> };
+/* { ` " */
+function total(s: string): number { return s.length /* } */; }
+export const late = "unit's";
+function last(): void { return; }
+"""
+
+
+def test_extract_survives_regular_expressions_and_templates():
+    found = typescript.extract("src/hard.ts", HARD)
+    units = {u["name"]: u for u in found["units"]}
+    assert sorted(units) == ["Pair", "last", "split", "total"] and not found["corrupt"]
+    assert units["split"]["calls"] == ["total", "pad"] and units["split"]["description"] == "Splits a line." and units["split"]["returns_type"] == "string[]"
+    assert [f["name"] for f in units["Pair"]["fields"]] == ["left", "right"] and units["total"]["start_line"] == 13
+    for name in units:
+        line = next(k for k, x in enumerate(HARD.split("\n"), 1) if re.search(rf"(?:function|type) {name}\b", x))
+        assert units[name]["start_line"] == line
+
+
+@pytest.mark.parametrize("code", ["const a = 'open\nfunction f() {}", "const a = `open ${b", "function f() { {", "/* open", "x = [1, 2)", 'const s = "a', "}"])
+def test_files_that_do_not_close_are_marked(code):
+    assert typescript.extract("a.ts", code)["corrupt"] is True
+
+
+@pytest.mark.parametrize("code", ["", "a = b / c; d = e / f", "a = (b) / c / d", "if (x) /re{/.test(y)", "return /}/", "x = y++ / 2; z = '/'", "a = `\\` ${'`'} $ {`", "f(`${`${`x`}`}`)", "a < b; /* { */ // }", "const r = /[/'\"`]/;"])
+def test_files_that_close_are_not(code):
+    assert typescript.extract("a.ts", code)["corrupt"] is False
+
+
+def test_corrupt_files_are_counted(spark):
+    rows = [("a.ts", "function f() {}"), ("b.ts", "function g() {} const s = 'open"), ("c.ts", None)]
+    found = typescript.parse_files(spark.createDataFrame(rows, "path string, code string"))
+    assert {r["path"]: (r["corrupt"], len(r["units"])) for r in found.collect()} == {"a.ts": (False, 1), "b.ts": (True, 1)}
+
+
 def test_barrel_and_util_paths():
     assert typescript.extract("/p/index.ts", 'export * from "./a";\n')["bound"] == "inward"
     assert typescript.extract("/p/other.ts", "")["bound"] is None
