@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from canopy.plans import queries
+from canopy.plans import coverage, queries
 
 from .conftest import DATA
 
@@ -38,6 +38,10 @@ def test_other_queries_run(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_coverage_is_registered():
+    assert {"vector_blends", "unit_scan", "snapshot_history"} <= set(coverage.query.__globals__["QUERIES"]) & set(entry.queries())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
