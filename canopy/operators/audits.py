@@ -49,12 +49,12 @@ class Context:
         self.nodes, self.k, self.disabled = pairs.with_hash(nodes), k, disabled
 
     @cached_property
-    def sibling_pairs(self) -> DataFrame:
-        return pairs.sibling_pairs(self.nodes)
+    def sibling_stats(self) -> DataFrame:
+        return pairs.sibling_stats(self.nodes)
 
     @cached_property
     def level_fences(self) -> DataFrame:
-        return pairs.fences_by_level(self.sibling_pairs, self.k)
+        return pairs.fences_by_level(self.sibling_stats, self.k)
 
     @cached_property
     def fences(self) -> dict[str, float]:
@@ -114,7 +114,8 @@ def _label_fits(ctx: Context, util: bool) -> DataFrame:
 
 def _incoherent(ctx: Context, util: bool, name: str) -> DataFrame:
     rows = _label_fits(ctx, util)
-    low = rows.agg(F.least(stats.z_fences(F.col("label_fit"), ctx.k)[0], F.percentile("label_fit", F.lit(0.5))).alias("_fence"))
+    middle = stats.Ordered(rows, "label_fit").quantile(0.5)
+    low = rows.agg(F.least(stats.z_fences(F.col("label_fit"), ctx.k)[0], F.lit(middle).cast("double")).alias("_fence"))
     flagged = rows.crossJoin(F.broadcast(low)).where((F.col("label_fit") < F.col("_fence")) & ~suppressed(F.col("residuals"), F.col("hash"), name))
     return finding(name, flagged, value=F.col("label_fit"), fence=F.col("_fence"))
 
@@ -276,7 +277,7 @@ def vocabulary_bleed(ctx: Context) -> DataFrame:
 
 @audit("merge-candidates", "Merge candidates")
 def merge_candidates(ctx: Context) -> DataFrame:
-    rows = ctx.sibling_pairs.join(F.broadcast(ctx.level_fences), "level").where(F.col("similarity") > F.col("fence")).where(~pairs.calls_each_other("a", "b"))
+    rows = pairs.sibling_pairs(ctx.nodes, ctx.fences).where(~pairs.calls_each_other("a", "b"))
     # A function that calls a unit inside a pattern container is its caller too.
     inside = ctx.nodes.join(ctx.nodes.where("kind = 'pattern'").select(F.col("key").alias("_pk")), F.col("parent_key") == F.col("_pk")).groupBy("_pk").agg(F.collect_set("name").alias("_names"))
     for function, container in (("a", "b"), ("b", "a")):

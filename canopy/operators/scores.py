@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import vectors as V
 
+from .blocks import Group, over_groups
 from .tree import eligible_children, is_leaf
 
 
@@ -43,21 +45,36 @@ def _deltas(nodes: DataFrame) -> DataFrame:
     return joined.select("key", "name", "ord", "kind", "bound", "parent_key", V.unit(V.subtract(F.col("identity"), F.col("_pi"))).alias("delta"))
 
 
-def sibling_distances(nodes: DataFrame) -> DataFrame:
-    """Rows of every two siblings, the earlier first, with the distance of their deltas."""
+def uniqueness(nodes: DataFrame) -> DataFrame:
+    """Rows (key, uniqueness): mean distance to the siblings; 2 where there is none to compare.
+
+    With unit vectors the mean cosine to the others is (u . sum of all - u . u) / (n - 1): no pairs are formed.
+    """
     d = _deltas(nodes)
-    a = d.select("parent_key", F.col("key").alias("a"), F.col("name").alias("a_name"), F.col("ord").alias("a_ord"), F.col("bound").alias("a_bound"), F.col("delta").alias("_da"))
-    b = d.select("parent_key", F.col("key").alias("b"), F.col("name").alias("b_name"), F.col("ord").alias("b_ord"), F.col("bound").alias("b_bound"), F.col("delta").alias("_db"))
-    pairs = a.join(b, "parent_key").where("a_ord < b_ord")
-    return pairs.withColumn("distance", 1 - V.unit_cosine(F.col("_da"), F.col("_db"))).drop("_da", "_db")
+    sums = d.groupBy("parent_key").agg(F.count("*").alias("_n"), V.centroid(F.col("delta")).alias("_mean")).where("_n > 1")
+    u = F.col("delta")
+    near = (V.dot(u, F.col("_mean")) * F.col("_n") - V.dot(u, u)) / (F.col("_n") - 1)
+    means = d.join(sums, "parent_key").select("key", (1 - near).alias("uniqueness"))
+    return nodes.select("key").join(means, "key", "left").select("key", F.coalesce("uniqueness", F.lit(V.NO_SIBLINGS)).alias("uniqueness"))
 
 
-def uniqueness(nodes: DataFrame) -> DataFrame:
-    """Rows (key, uniqueness): mean distance to the siblings; 2 where there is none to compare."""
-    pairs = sibling_distances(nodes)
-    each = pairs.select(F.col("a").alias("key"), "distance").union(pairs.select(F.col("b").alias("key"), "distance"))
-    means = each.groupBy("key").agg(F.avg("distance").alias("uniqueness"))
-    return nodes.select("key").join(means, "key", "left").select("key", F.coalesce("uniqueness", F.lit(V.NO_SIBLINGS)).alias("uniqueness"))
+def _distances(group: Group) -> list[dict]:
+    """One row: how many distances a group's rows have here, their sum and sum of squares, and the least with its two rows."""
+    n, total, squares, least = 0, 0.0, 0.0, None
+    for rows, product, wanted in group.tiles():
+        if not wanted.any():
+            continue
+        distance = 1 - product
+        held = distance[wanted]
+        n, total, squares = n + held.size, total + float(held.sum()), squares + float(held @ held)
+        i, j = np.unravel_index(int(np.argmin(np.where(wanted, np.round(distance, 12), np.inf))), distance.shape)
+        found = (round(float(distance[i, j]), 12), int(rows[i]), int(rows[0] + j))
+        least = found if least is None else min(least, found)
+    if not n:
+        return []
+    name, order = group.table["name"], group.table["ord"]
+    worst = {"distance": least[0], "a_ord": order[least[1]].as_py(), "b_ord": order[least[2]].as_py(), "a_name": name[least[1]].as_py(), "b_name": name[least[2]].as_py()}
+    return [{"key": group.table["parent_key"][0].as_py(), "n": n, "total": total, "squares": squares, "worst": worst}]
 
 
 def children_uniqueness(nodes: DataFrame) -> DataFrame:
@@ -65,15 +82,16 @@ def children_uniqueness(nodes: DataFrame) -> DataFrame:
 
     Outward children count only where there are no others.
     """
-    pairs = sibling_distances(nodes)
-    outward = lambda c: F.col(c).eqNullSafe(F.lit("outward"))
-    children = eligible_children(nodes)
-    only_outward = children.groupBy("parent_key").agg(F.bool_and(F.col("bound").eqNullSafe(F.lit("outward"))).alias("_only"))
-    held = pairs.join(only_outward, "parent_key").where(F.col("_only") | (~outward("a_bound") & ~outward("b_bound")))
-    worst = F.min(F.struct("distance", "a_ord", "b_ord", "a_name", "b_name"))
-    return held.groupBy(F.col("parent_key").alias("key")).agg(V.evenness(F.col("distance")).alias("children_uniqueness"), worst.alias("_w")).select(
-        "key", "children_uniqueness", F.col("_w.a_name").alias("worst_a"), F.col("_w.b_name").alias("worst_b")
-    )
+    outward = F.col("bound").eqNullSafe(F.lit("outward"))
+    only_outward = eligible_children(nodes).groupBy("parent_key").agg(F.bool_and(outward).alias("_only"))
+    held = _deltas(nodes).join(only_outward, "parent_key").where(F.col("_only") | ~outward)
+    schema = "key string, n long, total double, squares double, worst struct<distance:double,a_ord:long,b_ord:long,a_name:string,b_name:string>"
+    parts = over_groups(held.select("parent_key", "key", "name", "ord", F.col("delta").alias("vector")), "parent_key", _distances, schema)
+    sums = parts.groupBy("key").agg(F.sum("n").alias("_n"), F.sum("total").alias("_t"), F.sum("squares").alias("_q"), F.min("worst").alias("_w"))
+    mu = F.col("_t") / F.col("_n")
+    spread = F.when(F.col("_n") > 1, F.sqrt(F.greatest((F.col("_q") - F.col("_t") * mu) / (F.col("_n") - 1), F.lit(0.0)))).otherwise(0.0)
+    even = F.when(mu == 0, F.lit(0.0)).otherwise(1 / (1 + spread / mu))
+    return sums.select("key", even.alias("children_uniqueness"), F.col("_w.a_name").alias("worst_a"), F.col("_w.b_name").alias("worst_b"))
 
 
 def best_uncle(nodes: DataFrame) -> DataFrame:

@@ -123,11 +123,11 @@ def vector_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT c_custkey, coalesce(avg(o_totalprice), 0) = 0 AS nothing, round(coalesce(avg(o_totalprice), 0), 1) AS mean_price FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("SELECT c_custkey, coalesce(avg(o_orderkey), 0) = 0 AS nothing, round(coalesce(avg(o_orderkey), 0), 4) AS mean_key FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def mean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    each = met.groupBy("c_custkey").agg(V.mean(F.col("o_totalprice")).alias("m"))
-    return each.select("c_custkey", (F.col("m") == 0).alias("nothing"), F.round("m", 1).alias("mean_price"))
+    each = met.groupBy("c_custkey").agg(V.mean(F.col("o_orderkey")).alias("m"))
+    return each.select("c_custkey", (F.col("m") == 0).alias("nothing"), F.round("m", 4).alias("mean_key"))
 
 
 def _centers(of: str, by: str, vector: str, n: int, name: str) -> str:

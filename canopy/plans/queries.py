@@ -56,9 +56,8 @@ fences AS (SELECT level, CASE WHEN count(*) < 2 THEN 'infinity'::DOUBLE ELSE avg
 
 @query(_SIBLINGS + "SELECT level, count(*) AS n_pairs, round(avg(similarity), 6) AS mean_similarity, round(any_value(fence), 6) AS fence FROM pairs JOIN fences USING (level) GROUP BY level")
 def sibling_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = _context(spark, sf_dir)
-    sums = ctx.sibling_pairs.groupBy("level").agg(F.count("*").alias("n_pairs"), r6(F.avg("similarity")).alias("mean_similarity"), stats.z_fences(F.col("similarity"), K)[1].alias("f"))
-    return sums.select("level", "n_pairs", "mean_similarity", r6("f").alias("fence"))
+    sums = _context(spark, sf_dir).sibling_stats
+    return sums.select("level", "n_pairs", r6("mean").alias("mean_similarity")).join(F.broadcast(pairs.fences_by_level(sums, K).select("level", r6("fence").alias("fence"))), "level")
 
 
 @query(_SIBLINGS + "SELECT level, ka AS key, kb AS pair_key, parent_key, round(similarity, 6) AS value FROM pairs JOIN fences USING (level) WHERE similarity > fence AND NOT shut AND NOT calls")
