@@ -4,15 +4,16 @@
 2. Equal sets form classes, of which one member (the smallest id) goes on: exact copies are never paired.
 3. Inverted lists of the smallest retained values (8 at a threshold of 85, 9 at 80) bring candidates together. Values with a longer list than HOT
    (a passage that many documents share) are replaced by runs of three consecutive retained values, of which each
-   document gives the RUNS with the smallest hashes: similar sketches share such runs, a shared passage rarely makes one.
+   document gives those with the smallest hashes (24 at 85, 34 at 80): similar sketches share such runs, a shared passage
+   rarely makes one.
 4. In a list, overlaps are counted by inverted lists of the retained values, and the union sketch of two documents
    estimates their similarity. Pairs well below the threshold are dropped (estimates from a part of the set where a pair
    at the threshold shares so few values with a probability of MISS at most, by the binomial tail for the size of the
    union sketch); of the rest only links that join two parts are passed on, not all pairs.
 5. Candidate clusters get the full sets of their members, and exact Jaccard similarity on these decides every link.
 
-Two documents at the threshold miss all lists of single values, or are estimated too low, with a probability of at most
-MISS = 1e-6 each (see Limits); the lists of runs that replace hot values have no such bound. All that is linked is exact. Lists and clusters of any size are compared in blocks (see _blocks). A shingle is known by its 64-bit
+Two documents at the threshold miss all lists of single values, miss all lists of runs, or are estimated too low, with a
+probability of at most MISS = 1e-6 each (see Limits; for runs as if they were independent). All that is linked is exact. Lists and clusters of any size are compared in blocks (see _blocks). A shingle is known by its 64-bit
 hash: within the few thousand shingles of two documents a collision has a probability of about 1e-12.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of one to four words is one
@@ -37,7 +38,6 @@ from ._components import components, spanning_links
 SHINGLE = 5
 THRESHOLD = 85
 SKETCH = 64
-RUNS = 16
 HOT = 3_000
 MISS = 1e-6
 CLUSTER_ROWS = 3_000
@@ -61,6 +61,9 @@ class Limits:
         self.smallest = -(-threshold // (100 - threshold))
         #: One of the smallest values of the union that is shared is a key of both documents.
         self.keys = math.ceil(math.log(MISS) / math.log(1 - share))
+        #: A run is shared if three values next to each other are; as many runs as single values by the same rule.
+        both = share**3
+        self.runs = math.ceil(math.log(MISS) / math.log(1 - both / (2 - both)))
         #: By the size of a union sketch, the shared values that a pair at the threshold has fewer of with a probability of MISS at most.
         self.least = np.array([self._least(m, share) for m in range(2 * SKETCH + 1)])
 
@@ -199,7 +202,7 @@ def _pairs(ids: list[int], links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([ids[x] for x, _ in links], pa.int64()), "b": pa.array([ids[y] for _, y in links], pa.int64())})
 
 
-def _candidates(reps: DataFrame, keys: int) -> DataFrame:
+def _candidates(reps: DataFrame, keys: int, runs_kept: int) -> DataFrame:
     """Rows (key, id, listed): the lists that bring candidates together, with their lengths."""
 
     def listed(rows: DataFrame) -> DataFrame:
@@ -212,7 +215,7 @@ def _candidates(reps: DataFrame, keys: int) -> DataFrame:
         F.sequence(F.lit(1), F.size("sketch") - 2),
         lambda i: F.xxhash64(F.element_at("sketch", i), F.element_at("sketch", i + 1), F.element_at("sketch", i + 2)),
     )
-    joint = listed(reps.join(hot, "id").select("id", F.explode(F.slice(F.array_sort(F.array_distinct(runs)), 1, RUNS)).alias("key")))
+    joint = listed(reps.join(hot, "id").select("id", F.explode(F.slice(F.array_sort(F.array_distinct(runs)), 1, runs_kept)).alias("key")))
     return single.where(F.col("listed") <= HOT).union(joint)
 
 
@@ -225,7 +228,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     reps = base.where(F.col("n") >= limits.smallest).join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id", "whole"]).select("id", "n", "sketch")
     reps = staged(reps, "reps")
 
-    lists = _candidates(reps, limits.keys)
+    lists = _candidates(reps, limits.keys, limits.runs)
     rows = in_blocks(lists, F.ceil(F.col("listed") / HOT), F.col("id")).select("key", "left", "right", "id")
     rows = rows.join(reps, "id")
 

@@ -121,6 +121,21 @@ def test_estimate_drops_one_in_a_million_at_most(threshold):
         assert sum(math.comb(m, c) * share**c * (1 - share) ** (m - c) for c in range(limits.least[m])) <= 1e-6
 
 
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_pairs_at_the_threshold_meet_in_single_values_and_in_runs(threshold):
+    limits, r = minhash.Limits(threshold), np.random.default_rng(threshold)
+    missed_keys = missed_runs = 0
+    for _ in range(3000):
+        common = 400 * threshold // 100
+        values = r.integers(0, 2**63, 400, np.int64)
+        own = (400 - common) // 2
+        a, b = (np.sort(np.concatenate([values[:common], x]))[: minhash.SKETCH] for x in (values[common : common + own], values[common + own :]))
+        missed_keys += not set(a[: limits.keys].tolist()) & set(b[: limits.keys].tolist())
+        runs = [sorted({hash(tuple(x[i : i + 3].tolist())) for i in range(x.size - 2)})[: limits.runs] for x in (a, b)]
+        missed_runs += not set(runs[0]) & set(runs[1])
+    assert missed_keys == 0 and missed_runs <= 1
+
+
 def test_estimate_is_exact_on_whole_sets():
     a, b = np.array([1, 2, 3, 4], np.uint64), np.array([2, 3, 4, 9], np.uint64)
     assert minhash.estimate(a, b, 4, 4) == (3 / 5, True)
