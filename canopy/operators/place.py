@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import stats
 from canopy.functions import vectors as V
+from canopy.plans.settle import settled
 
 from . import cluster
 from .tree import capability_root, is_leaf, root_key
@@ -74,7 +75,7 @@ def choices(nodes: DataFrame, queries: DataFrame) -> DataFrame:
 def chain_search(nodes: DataFrame, queries: DataFrame, start: DataFrame, top: int = TOP_PATHS) -> DataFrame:
     """Rows (qid, rank, parent_key, parent_name, confidence, depth, trail) of the best paths below the start (one row, key)."""
     names = nodes.select(F.col("key").alias("_k"), F.col("name").alias("parent_name"))
-    options = choices(nodes, queries).persist()
+    options = settled(choices(nodes, queries))
     trail = "array<struct<node:string,choice:string,probability:double>>"
     front = queries.select("qid").crossJoin(start.select(F.col("key").alias("parent_key"))).join(names, F.col("parent_key") == F.col("_k")).drop("_k")
     front = front.select("qid", "parent_key", "parent_name", F.lit(0.0).alias("log_prob"), F.lit(0).alias("depth"), F.array().cast(trail).alias("trail"), F.array().cast("array<int>").alias("order"))
@@ -89,8 +90,8 @@ def chain_search(nodes: DataFrame, queries: DataFrame, start: DataFrame, top: in
         ended = met.where("child_name is null").select(*front.columns).unionByName(onward.where("child is null").select(*front.columns))
         done = ended if done is None else done.unionByName(ended)
         front = onward.where("child is not null").select("qid", F.col("child").alias("parent_key"), F.col("child_name").alias("parent_name"), "log_prob", (F.col("depth") + 1).alias("depth"), "trail", "order")
-        front = front.persist()  # else each level would work out all levels above it again
-    done = done.persist()
+        front = settled(front)  # else each level would work out all levels above it again
+    done = settled(done)
     mean = F.col("log_prob") / F.greatest("depth", F.lit(1))
     scored = done.withColumn("_m", mean)
     best = scored.groupBy("qid").agg(F.max("_m").alias("_best"))

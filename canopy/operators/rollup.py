@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import vectors as V
+from canopy.plans.settle import settled
+
+#: Rounds after which the plan so far is worked out and kept, as each round's plan holds those before it.
+SETTLE_ROUNDS = 4
 
 
 def resolve_cache(units: DataFrame, previous: DataFrame | None, container: Column | None = None) -> DataFrame:
@@ -62,6 +66,8 @@ def blend_files(files: DataFrame, units: DataFrame) -> DataFrame:
         now = inward.where(F.col("_n") == n).drop("_n").join(around, "directory", "left").join(content, "file", "left")
         now = now.withColumn("_c", F.coalesce("_around", "content")).withColumn("leaf", half("_c")).select(*done.columns)
         done = done.unionByName(now)
+        if n % SETTLE_ROUNDS == 0:
+            done = settled(done)
     return done
 
 
@@ -76,6 +82,8 @@ def blend_directories(directories: DataFrame, files: DataFrame) -> DataFrame:
         content = held.groupBy("parent").agg(V.centroid(F.col("leaf")).alias("_c")).withColumnRenamed("parent", "path")
         now = levels.where(F.col("_d") == level).drop("_d").join(content, "path", "left")
         now = now.withColumn("leaf", V.blend(F.col("identity"), F.coalesce("_c", V.empty()), 0.5, 0.5)).drop("_c")
+        if (spans[1] - level) % SETTLE_ROUNDS == SETTLE_ROUNDS - 1:
+            now = settled(now)
         held = held.unionByName(now.where(~V.is_empty(F.col("leaf"))).select("parent", "leaf"))
         done = now if done is None else done.unionByName(now)
     return done

@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import vectors as V
+from canopy.plans.settle import settled
 
 from .blocks import Group, over_groups
 from .tree import eligible_children, is_leaf
 
 
+SETTLE_LEVELS = 4
+
+
 def _inward():
     return F.col("bound").eqNullSafe(F.lit("inward"))
 
@@ -113,7 +117,9 @@ def closure(nodes: DataFrame) -> DataFrame:
     step = inner.where(~F.col("util")).select(F.col("parent_key").alias("_p"), F.col("key").alias("_c"))
     front = inner.select(F.col("key").alias("top"), "key")
     found = front
-    for _ in range(nodes.agg(F.max("depth")).first()[0] or 0):
+    for n in range(nodes.agg(F.max("depth")).first()[0] or 0):
+        if n % SETTLE_LEVELS == SETTLE_LEVELS - 1:  # a deep tree's plan would hold every level many times over
+            front, found = settled(front), settled(found)
         front = front.join(step, F.col("key") == F.col("_p")).select("top", F.col("_c").alias("key"))
         found = found.union(front)
     return found
