@@ -9,6 +9,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,25 +244,60 @@ def misplaced(ctx: Context) -> DataFrame:
     return finding("misplaced", rows, value=F.col("parent_fit"), pair_key=F.col("uncle"))
 
 
+PULLS = 3
+_PULL = "key string, other string, ord long, similarity double"
+
+
+def _nearest_pulls(dirs: DataFrame, floors: DataFrame) -> DataFrame:
+    """Rows (key, other, ord, similarity): for each candidate, of every block of directories the PULLS nearest above its floor.
+
+    A pull is no sibling, parent, or child, and not the directory that the candidate borrows from. Blocks of directories
+    meet in tasks of their own, which multiply matrices; only the nearest few leave them.
+    """
+    blocks = max(1, -(-dirs.count() // pairs.BLOCK_ROWS))
+    numbered = dirs.join(floors, "key", "left").withColumn("_own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    sides = []
+    for side in (0, 1):
+        met = numbered.where("min_sibling_sim is not null") if side == 0 else numbered
+        met = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        i, j = ("_own", "_other") if side == 0 else ("_other", "_own")
+        sides.append(met.select("key", "ord", "parent_key", F.col("_target").alias("target"), F.col("_u").alias("vector"), F.col("min_sibling_sim").alias("floor"), F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side")))
+
+    def nearest(table: pa.Table) -> pa.Table:
+        own, other = (table.filter(pc.equal(table["side"], side)) for side in (0, 1))
+        out: list[dict] = []
+        if own.num_rows and other.num_rows:
+            u, v = (np.array(t["vector"].to_pylist(), np.float64) for t in (own, other))
+            keys, parents = ([np.array([x or "" for x in t[c].to_pylist()]) for t in (own, other)] for c in ("key", "parent_key"))
+            ids = np.unique(np.concatenate([*keys, *parents]))
+            (k, l), (p, q) = ([np.searchsorted(ids, x) for x in pair] for pair in (keys, parents))
+            apart = (p[:, None] != q[None, :]) & (l[None, :] != p[:, None]) & (q[None, :] != k[:, None]) & (k[:, None] != l[None, :])
+            product = np.clip(u @ v.T, -1.0, 1.0)
+            near = apart & (product > own["floor"].to_numpy()[:, None])
+            order, targets = other["ord"].to_numpy(), own["target"].to_pylist()
+            for r in np.flatnonzero(near.any(1)).tolist():
+                at = np.flatnonzero(near[r])
+                if targets[r]:
+                    at = at[[not keys[1][c].endswith("/" + targets[r]) for c in at]]
+                for c in at[np.lexsort((order[at], -product[r, at]))][:PULLS].tolist():
+                    out.append({"key": str(keys[0][r]), "other": str(keys[1][c]), "ord": int(order[c]), "similarity": float(product[r, c])})
+        return pa.table({c: pa.array([x[c] for x in out], kind) for c, kind in (("key", pa.string()), ("other", pa.string()), ("ord", pa.int64()), ("similarity", pa.float64()))})
+
+    return sides[0].unionByName(sides[1]).groupBy("i", "j").applyInArrow(nearest, _PULL)
+
+
 def vocabulary_pulls(ctx: Context) -> tuple[DataFrame, DataFrame]:
-    """Candidates (key, min_sibling_sim, max_delta) and their pulls: other directories nearer than the least similar sibling."""
+    """Candidates (key, min_sibling_sim, _top, max_delta) and their PULLS nearest pulls: other directories nearer than the least similar sibling."""
     dirs = ctx.nodes.where("kind = 'directory'").where(~V.is_empty(F.col("identity")))
     borrowed = F.col("borrows.target") if "borrows" in ctx.nodes.columns else F.lit(None).cast("string")
     dirs = dirs.withColumn("_target", borrowed).withColumn("_u", V.unit(F.col("identity")))
     parents = dirs.select(F.col("key").alias("parent_key"))
-    own = dirs.where(~suppressed(F.col("residuals"), F.col("hash"), "vocabulary-bleed")).join(parents, "parent_key", "left_semi").select("key", "parent_key", "_target", "_u")
+    own = dirs.where(~suppressed(F.col("residuals"), F.col("hash"), "vocabulary-bleed")).join(parents, "parent_key", "left_semi").select("key", "parent_key", "_u")
     siblings = dirs.select(F.col("key").alias("_sk"), "parent_key", F.col("_u").alias("_su"))
     least = own.join(siblings, "parent_key").where("_sk <> key").groupBy("key").agg(F.min(V.unit_cosine(F.col("_u"), F.col("_su"))).alias("min_sibling_sim"))
-    # Directories are compared with all others in blocks of the table; the floor of a pull is the least sibling similarity.
-    floor = least.agg(F.min("min_sibling_sim")).first()[0]
-    side = lambda f: f.select("key", "ord", F.col("identity").alias("vector"))
-    met = pairs.pairs_above(side(dirs), None, -1.1 if floor is None else floor - 1e-9)
-    both = met.select(F.col("a").alias("key"), F.col("b").alias("other"), "similarity").union(met.select(F.col("b").alias("key"), F.col("a").alias("other"), "similarity"))
-    others = dirs.select(F.col("key").alias("other"), F.col("parent_key").alias("_op"), F.col("ord").alias("_oo"))
-    pulls = both.join(own.drop("_u"), "key").join(least, "key").join(others, "other")
-    allowed = ~F.col("_op").eqNullSafe(F.col("parent_key")) & (F.col("other") != F.col("parent_key")) & ~F.col("_op").eqNullSafe(F.col("key"))
-    lent = F.coalesce(F.endswith("other", F.concat(F.lit("/"), F.col("_target"))), F.lit(False))
-    pulls = pulls.where(allowed & ~lent & (F.col("similarity") > F.col("min_sibling_sim"))).select("key", "other", "_oo", "similarity", "min_sibling_sim")
+    found = _nearest_pulls(dirs.select("key", "ord", "parent_key", "_target", "_u"), least)
+    ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "ord"))).where(F.col("_n") <= PULLS)
+    pulls = ranked.join(least, "key").select("key", "other", F.col("ord").alias("_oo"), "similarity", "min_sibling_sim")
     most = pulls.groupBy("key").agg(F.max("similarity").alias("_top"))
     return least.join(most, "key", "left").select("key", "min_sibling_sim", "_top", F.coalesce(F.col("_top") - F.col("min_sibling_sim"), F.lit(0.0)).alias("max_delta")), pulls
 
@@ -269,7 +307,7 @@ def vocabulary_bleed(ctx: Context) -> DataFrame:
     candidates, pulls = vocabulary_pulls(ctx)
     fences = stats.leave_one_out(candidates, "key", "max_delta", ctx.k)
     rows = candidates.join(fences, "key").where(F.col("_top").isNotNull() & (F.col("max_delta") > F.col("upper")))
-    named = pulls.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "_oo"))).where("_n <= 3")
+    named = pulls.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "_oo"))).where(F.col("_n") <= PULLS)
     listed = named.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "other"))), lambda x: x["other"]), ", ").alias("_listed"))
     rows = rows.join(listed, "key").join(ctx.nodes.select("key", "name", "hash", "ord"), "key")
     return finding("vocabulary-bleed", rows, value=F.col("max_delta"), fence=F.col("upper"), pair_name=F.col("_listed"))

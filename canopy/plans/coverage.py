@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import text
 from canopy.functions import vectors as V
-from canopy.operators import audits, brief, rollup, tree
+from canopy.operators import audits, brief, place, rollup, scores, tree
 from canopy.sources import typescript
 from canopy.sources.store import SnapshotStore
 
@@ -269,6 +269,25 @@ def brief_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+@query(
+    f"""WITH {NODES_SQL}, f AS (SELECT parent_key, 'about ' || key AS description, row_number() OVER (PARTITION BY parent_key ORDER BY ord) AS n FROM nodes WHERE kind = 'file' AND ord % 3 <> 0)
+SELECT parent_key, description FROM f WHERE n = 1"""
+)
+def probe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = vector_tree(spark, sf_dir)
+    told = F.when((F.col("kind") == "file") & (F.col("ord") % 3 != 0), F.concat(F.lit("about "), F.col("key")))
+    return place.probes(nodes.withColumn("description", told)).select("parent_key", "description")
+
+
+@query(
+    f"""WITH {NODES_SQL}, u AS (SELECT parent_key AS f, ord, {_cos('identity', 'leaf')} AS s FROM nodes WHERE depth = 3), top AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY s DESC, ord) AS n FROM u)
+SELECT f AS file, ord, round(s, 6) AS fit FROM top WHERE n <= 2"""
+)
+def best_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = vector_tree(spark, sf_dir).where("depth = 3").select(F.col("parent_key").alias("file"), "ord", V.cosine(F.col("identity"), F.col("leaf")).alias("fit"))
+    return scores.top_of_group(units, "file", [F.desc("fit"), F.asc("ord")], 2).select("file", "ord", r6("fit").alias("fit"))
+
+
 @query(
     f"""WITH {NODES_SQL}, f AS (SELECT 'a' || ord % 3 AS audit, key, row_number() OVER (PARTITION BY ord % 3 ORDER BY ord) AS rank, count(*) OVER (PARTITION BY ord % 3) AS n FROM nodes WHERE depth = 3)
 SELECT audit, key, rank::INTEGER AS rank, greatest(n - 4, 0) AS more FROM f WHERE rank <= 4"""

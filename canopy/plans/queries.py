@@ -268,9 +268,21 @@ def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.report(_context(spark, sf_dir)).select("audit", "audit_ord", "rank", "key", "pair_key", r6("value").alias("value"))
 
 
-@query()
+@query(
+    f"""WITH {NODES_SQL}, d AS (SELECT key, ord, parent_key, identity FROM nodes WHERE depth < 3), own AS (SELECT * FROM d WHERE parent_key IS NOT NULL),
+least AS (SELECT a.key, min({_cos('a.identity', 'b.identity')}) AS m FROM own a JOIN d b ON a.parent_key = b.parent_key AND a.key <> b.key GROUP BY a.key),
+pulls AS (SELECT a.key, b.key AS other, b.ord, {_cos('a.identity', 'b.identity')} AS s FROM own a JOIN least USING (key)
+  JOIN d b ON b.key <> a.key AND coalesce(b.parent_key, '') <> a.parent_key AND b.key <> a.parent_key AND coalesce(b.parent_key, '') <> a.key WHERE {_cos('a.identity', 'b.identity')} > m),
+cand AS (SELECT key, any_value(m) AS m, max(s) AS top, coalesce(max(s) - any_value(m), 0) AS delta FROM least LEFT JOIN pulls USING (key) GROUP BY key),
+mid AS (SELECT a.key, quantile_cont(b.delta, 0.5) AS med, (quantile_cont(b.delta, 0.75) - quantile_cont(b.delta, 0.25)) / 2 AS half FROM cand a JOIN cand b ON a.key <> b.key GROUP BY a.key),
+spread AS (SELECT mid.key, any_value(med) AS med, greatest(quantile_cont(abs(b.delta - med), 0.5), any_value(half)) AS spread FROM mid JOIN cand b ON mid.key <> b.key GROUP BY mid.key),
+listed AS (SELECT key, string_agg(other, ', ' ORDER BY s DESC, ord) AS pair_name FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC, ord) AS n FROM pulls) WHERE n <= 3 GROUP BY key)
+SELECT key, pair_name, round(delta, 6) AS value FROM cand JOIN spread USING (key) JOIN listed USING (key) WHERE spread > 0 AND delta > med + {K} * 1.4826 * spread"""
+)
 def vocabulary_bleed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.vocabulary_bleed(_context(spark, sf_dir)).select("key", "pair_name", r6("value").alias("value"))
+    """The tree's files stand for directories, so that directories have others beside their siblings."""
+    nodes = vector_tree(spark, sf_dir).where("depth < 3").withColumn("kind", F.lit("directory"))
+    return audits.vocabulary_bleed(audits.Context(nodes, K)).select("key", "pair_name", r6("value").alias("value"))
 
 
 # Clustering, placement and briefs: checked against numpy in the tests.
@@ -372,7 +384,12 @@ def child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.count_children(vector_tree(spark, sf_dir).select("key", "kind"))
 
 
-@query()
+@query(
+    f"""WITH {NODES_SQL}, t AS (SELECT pattern AS tag, parent_key AS file, path, regexp_extract(path, 'root/L[0-9]+') AS d, count(*) AS members FROM nodes WHERE pattern IS NOT NULL GROUP BY ALL),
+l AS (SELECT tag, CASE WHEN count(DISTINCT d) = 1 THEN 'dir:' || any_value(d) ELSE 'dir:root' END AS holder FROM t GROUP BY tag HAVING count(DISTINCT path) >= 2)
+SELECT 'pattern:' || file || ':' || tag AS key, coalesce('pattern:' || holder || ':' || tag, file) AS parent_key, tag AS name, false AS util FROM t LEFT JOIN l USING (tag) WHERE members >= 2
+UNION ALL SELECT 'pattern:' || holder || ':' || tag, holder, tag, false FROM l"""
+)
 def pattern_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.lift_patterns(tree.group_patterns(vector_tree(spark, sf_dir))).where("kind = 'pattern'").select("key", "parent_key", "name", "util")
 
