@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import shared_root, trimmed
+from ._common import own_folder, trimmed
 
 CHUNK_BYTES = 8 << 20
 
@@ -156,7 +156,7 @@ def chunked(
             yield from flush()
 
     name = f"canopy_chunks_{uuid.uuid4().hex}"
-    writer = source.mapInArrow(trimmed(run), schema).write.format("parquet").option("path", f"{shared_root(spark)}/{name}").option("compression", "zstd")
+    writer = source.mapInArrow(trimmed(run), schema).write.format("parquet").option("path", f"{own_folder(spark)}/{name}").option("compression", "zstd")
     writer.bucketBy(partitions, "chunk").saveAsTable(name)
     table = spark.table(name)
     found = Chunks(table)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_ROOT: dict[str, str] = {}
+_OWN_FOLDERS: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,20 +29,40 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN_ROOT[app]
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one, deleted when the driver's Python ends."""
+    folder = f"{shared_root(spark)}/canopy-{spark.sparkContext.applicationId}"
+    if folder not in _OWN_FOLDERS:
+        _OWN_FOLDERS.add(folder)
+        context = spark.sparkContext
+        atexit.register(_delete_at_end, context._jvm, context._jsc.hadoopConfiguration(), folder)
+    return folder
+
+
+def _delete(jvm, configuration, folder: str) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(configuration).delete(path, True)
+
+
+def _delete_at_end(jvm, configuration, folder: str) -> None:
+    try:
+        _delete(jvm, configuration, folder)
+    except Exception:  # noqa: BLE001 (the session's JVM may be gone already)
+        return
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/canopy-{uuid.uuid4().hex}/{tag}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete a staged table that no later result reads."""
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), file.rsplit("/", 1)[0])
 
 
 #: A key is hot in more rows than HOT_ROWS that are also more than one in HOT_SHARE of all: at most HOT_SHARE keys are, so a table of them may be broadcast.

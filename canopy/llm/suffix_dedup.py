@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._chunks import pack, unpack
-from ._common import shared_root, staged, trimmed
+from ._common import own_folder, staged, trimmed
 
 LENGTH = 50
 GRAM = 24
@@ -235,7 +235,7 @@ def _text_chunks(documents: DataFrame, id_col: str, text_col: str, chunk_bytes:
 
     name = f"canopy_texts_{uuid.uuid4().hex}"
     writer = source.mapInArrow(trimmed(run), "chunk long, ids array<long>, texts array<binary>").write.format("parquet")
-    writer = writer.option("path", f"{shared_root(spark)}/{name}").option("compression", "zstd")
+    writer = writer.option("path", f"{own_folder(spark)}/{name}").option("compression", "zstd")
     writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").saveAsTable(name)
     table = spark.table(name)
     found = table.select("*")
