@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from canopy.llm import bpe, decontaminate, line_dedup, minhash, toxicity
-from canopy.llm._common import bounded_batches, shared_root, table
+from canopy.llm._common import bounded_batches, own_folder, table
 
 #: Least Jaccard similarity of near copies on word shingles, in hundredths.
 NEAR = 80
@@ -47,7 +47,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    root = f"{shared_root(spark)}/canopy-{uuid.uuid4().hex}"
+    root = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
