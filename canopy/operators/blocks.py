@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_ROWS = 2_000
 TILE = 2_000
@@ -47,10 +48,9 @@ class Group:
 def over_groups(rows: DataFrame, group: str, work: Callable[[Group], list[dict]], schema: str) -> DataFrame:
     """work's rows of every group of rows (group, key, ord, vector of length one, ...); a large group is seen in pairs of blocks."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
     spark = rows.sparkSession
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
     sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks")).where("_blocks > 1")
     split = F.broadcast(sizes.orderBy(F.desc("_blocks"), group).limit(MOST_SPLIT))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))

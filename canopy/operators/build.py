@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopy.functions import text
 from canopy.functions import vectors as V
 from canopy.plans.settle import settled
 from canopy.sources.embed import Embedder, embedded
 from canopy.sources.store import SnapshotStore
+from canopy.sources.typescript import FILE, UNIT
 
 from . import rollup, scores, tree
 
@@ -124,3 +126,15 @@ def generate(
         "metadata": nodes.sparkSession.createDataFrame([("model_id", model_id), ("commit_hash", commit)], "key string, value string"),
     }
     return store.write(tables, commit=commit, model_id=model_id, pin=pin, now_ms=now_ms)
+
+
+def rebuild(store: SnapshotStore, snapshot: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files with their units, and directories, as they were parsed, from a stored snapshot (the active one by default)."""
+    shape = T.StructType.fromDDL(f"units array<{UNIT}>")["units"].dataType
+    names = shape.elementType.names
+    units = store.read("functions", snapshot).unionByName(store.read("types", snapshot), allowMissingColumns=True)
+    line = F.struct("start_line", "name", F.struct(*names).cast(shape.elementType).alias("u"))
+    held = units.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["u"]).alias("units"))
+    files = store.read("files", snapshot).join(held, "path", "left").withColumn("units", F.coalesce("units", F.array().cast(shape)))
+    columns = [f.name for f in T.StructType.fromDDL(FILE).fields if f.name != "corrupt"]
+    return files.select(*columns), store.read("directories", snapshot).select("path", "name", "children", "description", "util", "borrows", "residuals")

@@ -209,6 +209,11 @@ def test_generate_reuses_unchanged_units(spark, tmp_path):
     (src / "a.ts").write_text((src / "a.ts").read_text().replace("Adds", "Sums"))
     run(2)
     assert (0 < sent.value - first < first / 2, len(store.history())) == (True, 1), (first, sent.value)
+    files, directories = build.rebuild(store)
+    parsed = typescript.parse_files(typescript.source_files(spark, str(src)))
+    plainly = lambda rows: {r["path"]: (r["description"], r["imports_internal"], sorted((u["name"], u["calls"], u["fields"], u["start_line"]) for u in r["units"])) for r in rows.collect()}
+    assert plainly(files) == plainly(parsed) and files.columns == parsed.drop("corrupt").columns
+    assert sorted(r["name"] for r in directories.collect()) == ["src", "sub"]
 
 
 def test_prose(spark):
