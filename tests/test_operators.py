@@ -420,3 +420,36 @@ def test_texts_of_placements(spark):
     assert "confidence" in render.placement_text(place.place(nodes, "invoice tax", embed, cal))
     told = render.brief_text(brief.brief(nodes, "invoice tax", embed, calibration=cal))
     assert told.startswith("Placement:") and "Utilities:\n  trimAll" in told
+
+
+def test_duplicate_pairs_are_ruled_out_before_they_leave_their_task(spark):
+    """Nulls and shared values rule out as the joins on every pair did, and nothing is joined to the pairs any more."""
+    rows, r = [], np.random.default_rng(3)
+    t = Tree()
+    t.dir("src", [1, 0])
+    for f, companion in enumerate((None, "c", "c", "d")):
+        t.file(f"src/f{f}.ts", [1, 0.1 * f], companion=companion)
+        for u in range(4):
+            extra = {"patterns": [[], None, ["p", None], [None]][u], "calls": [None, ["f0u1"], [], ["f2u0", None]][u], "util": u == 3, "kind": "type" if u == 1 else "function"}
+            t.fn(f"src/f{f}.ts", f"f{f}u{u}", r.uniform(0.2, 1, 2).tolist(), **extra)
+    nodes = t.frame(spark)
+    found = pairs.duplicates(nodes, 0.5, 0.5, told=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
+    rows = [x.asDict() for x in nodes.collect()]
+    parent = {x["key"]: x for x in rows}
+    want = set()
+    for x in rows:
+        for y in rows:
+            s = np.dot(x["leaf"], y["leaf"]) / np.linalg.norm(x["leaf"]) / np.linalg.norm(y["leaf"])
+            p, q = parent.get(x["parent_key"]), parent.get(y["parent_key"])
+            if x["depth"] != y["depth"] or not p or p is q and x["depth"] == 2 or x["parent_key"] == y["parent_key"] or s <= 0.5 or x["depth"] != 2:
+                continue
+            called = x["kind"] == "function" and y["name"] in (x["calls"] or ()) or y["kind"] == "function" and x["name"] in (y["calls"] or ())
+            shared = {v for v in x["patterns"] or () if v} & set(y["patterns"] or ())
+            mates = p["companion"] and p["companion"] == q["companion"]
+            if called or shared or x["util"] or (x["ord"] > y["ord"] if not y["util"] else False) or (mates and not y["util"]):
+                continue
+            want.add((x["key"], y["key"], x["name"], y["name"], x["parent_key"], x["ord"]))
+    got = [(f["a"], f["b"], f["a_name"], f["b_name"], f["a_parent_key"], f["a_ord"]) for f in found.collect()]
+    assert want and sorted(got) == sorted(want)
