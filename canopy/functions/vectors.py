@@ -18,6 +18,16 @@ def is_empty(v: Column) -> Column:
     return F.coalesce(F.size(v), F.lit(0)) == 0
 
 
+def rounded(a: Column, digits: int = 6) -> Column:
+    """a with each component rounded as SQL rounds doubles: half away from zero, what is no number as it is, and the sign of zeros kept."""
+    scale = F.lit(10.0**digits)
+
+    def one(x: Column) -> Column:
+        return F.when(F.abs(x * scale) < float("inf"), F.signum(x) * F.round(F.abs(x * scale)) / scale).otherwise(x)
+
+    return F.transform(a, one)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -202,8 +202,7 @@ def blended_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vector_parts(spark, sf_dir)
     named = {"name_vec": F.col("a"), "path_vec": F.col("b"), "description_vec": F.col("c"), "signature_vec": F.col("c"), "causes_vec": V.empty(), "calls_vec": F.col("b")}
     found = rollup.blend_units(v.select("vec_id", *[c.alias(n) for n, c in named.items()]))
-    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6) + F.lit(0.0)).alias(c)
-    return found.select("vec_id", rounded("identity"), rounded("leaf"))
+    return found.select("vec_id", *[V.rounded(F.col(c)).alias(c) for c in ("identity", "leaf")])
 
 
 # Trees.

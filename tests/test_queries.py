@@ -33,6 +33,26 @@ def test_query_equals_sql(spark, sql, name):
     assert sorted(map(repr, rows)) == sorted(repr([_plain(v) for v in r]) for r in want.fetchall())
 
 
+@pytest.fixture(scope="module")
+def small_vectors(tmp_path_factory):
+    """Components that round to zero from either side, and halves of the last digit."""
+    at = str(tmp_path_factory.mktemp("vectors"))
+    cell = "CASE WHEN v % 3 = 0 THEN 1 ELSE -1 END * CASE WHEN i % 2 = 0 THEN 1e-7 * (1 + v % 7) ELSE i / 64.0 + 0.0000005 END"
+    duckdb.execute(f"COPY (SELECT v AS vec_id, (v % 3)::INTEGER AS label, list_transform(generate_series(1, 64), lambda i: ({cell})::FLOAT) AS embedding FROM range(60) t(v)) TO '{at}/embeddings.parquet'")
+    return at
+
+
+@pytest.mark.parametrize("name", ["blended_units"])
+def test_signs_of_zeros_equal_sql(spark, small_vectors, name):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{small_vectors}/embeddings.parquet')")
+    want = c.execute(queries.SQL[name])
+    columns = [d[0] for d in want.description]
+    want, found = [repr(list(r)) for r in want.fetchall()], queries.QUERIES[name](spark, small_vectors).collect()
+    assert "-0.0," in "".join(want)
+    assert sorted(repr([r[c] for c in columns]) for r in found) == sorted(want)
+
+
 @pytest.mark.parametrize("name", ["advice", "bloated_files", "dendrogram_merges", "unit_positions", "pattern_containers", "placement_paths"])
 def test_other_queries_run(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
