@@ -583,5 +583,4 @@ def usage_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {NODES_SQL} SELECT key, list_transform(identity, lambda x: round(x, 6)) AS identity, list_transform(leaf, lambda x: round(x, 6)) AS leaf FROM nodes WHERE depth < 3"""
 )
 def container_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6) + F.lit(0.0)).alias(c)
-    return vector_tree(spark, sf_dir).where("depth < 3").select("key", rounded("identity"), rounded("leaf"))
+    return vector_tree(spark, sf_dir).where("depth < 3").select("key", *[V.rounded(F.col(c)).alias(c) for c in ("identity", "leaf")])
