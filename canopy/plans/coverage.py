@@ -115,11 +115,10 @@ _ROUNDED = lambda x: f"list_transform({x}, lambda z: round(z, 6))"
 {_ROUNDED(_mix('b', 'a', 0.75, 0.25))} AS routing, {_ROUNDED("CASE WHEN len(b) > 0 AND len(c) > 0 THEN list_transform(list_zip(a, b, c), lambda z: z[1] * 0.6 + z[2] * 0.25 + z[3] * 0.15) WHEN len(b) > 0 THEN " + _mix('a', 'b', 0.7, 0.3) + " WHEN len(c) > 0 THEN " + _mix('a', 'c', 0.7, 0.3) + " ELSE a END")} AS signature FROM v"""
 )
 def vector_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6) + F.lit(0.0))
     v = _vector_parts(spark, sf_dir)
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     return v.select(
-        "vec_id", rounded(V.with_parent(a, b)).alias("parented"), rounded(V.identity(a, b, c)).alias("identity"), rounded(V.routing(b, a)).alias("routing"), rounded(V.signature_signals(a, b, c)).alias("signature")
+        "vec_id", V.rounded(V.with_parent(a, b)).alias("parented"), V.rounded(V.identity(a, b, c)).alias("identity"), V.rounded(V.routing(b, a)).alias("routing"), V.rounded(V.signature_signals(a, b, c)).alias("signature")
     )
 
 
@@ -169,7 +168,7 @@ def _units(nodes: DataFrame) -> DataFrame:
 @query(f"WITH {NODES_SQL}, {_CONTENT_SQL} SELECT key AS file, {_ROUNDED('c')} AS content FROM content")
 def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rollup.file_content(_units(vector_tree(spark, sf_dir)))
-    return found.select("file", F.transform("content", lambda x: F.round(x, 6) + F.lit(0.0)).alias("content"))
+    return found.select("file", V.rounded(F.col("content")).alias("content"))
 
 
 @query(
@@ -191,7 +190,7 @@ def rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     directories = nodes.where("kind = 'directory'").select("path", strip(F.col("parent_key")).alias("parent"), "identity")
     above = rollup.blend_directories(directories, files.withColumn("directory", strip(F.col("directory"))))
     out = files.select(F.col("file").alias("key"), "leaf").unionByName(above.select(F.concat(F.lit("dir:"), F.col("path")).alias("key"), "leaf"))
-    return out.select("key", F.transform("leaf", lambda x: F.round(x, 6) + F.lit(0.0)).alias("leaf"))
+    return out.select("key", V.rounded(F.col("leaf")).alias("leaf"))
 
 
 @query(

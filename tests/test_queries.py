@@ -42,7 +42,7 @@ def small_vectors(tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["blended_units", "container_vectors"])
+@pytest.mark.parametrize("name", ["blended_units", "container_vectors", "vector_blends", "file_contents", "rolled_up"])
 def test_signs_of_zeros_equal_sql(spark, small_vectors, name):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{small_vectors}/embeddings.parquet')")
