@@ -453,3 +453,19 @@ def test_duplicate_pairs_are_ruled_out_before_they_leave_their_task(spark):
             want.add((x["key"], y["key"], x["name"], y["name"], x["parent_key"], x["ord"]))
     got = [(f["a"], f["b"], f["a_name"], f["b_name"], f["a_parent_key"], f["a_ord"]) for f in found.collect()]
     assert want and sorted(got) == sorted(want)
+
+
+def test_report_holds_no_cached_tree_and_ranks_ties_by_pair(spark):
+    t = Tree()
+    t.dir("src", [1, 0])
+    for f in range(5):
+        t.file(f"src/f{f}.ts", [1, 0.1 * f])
+        for u in range(3):
+            t.fn(f"src/f{f}.ts", f"f{f}u{u}", [1, 0] if u == 0 else [float(u - 1), f + 1.0])
+    nodes = t.frame(spark).persist()
+    rows = audits.report(audits.Context(nodes, 0.1), ["duplicates", "outliers"])
+    assert "InMemory" not in rows._jdf.queryExecution().toString()
+    found = [(r["rank"], -r["value"], r["ord"], r["key"], r["pair_key"]) for r in rows.where("audit = 'duplicates'").collect()]
+    nodes.unpersist()
+    assert len({x[1:4] for x in found}) < len(found)
+    assert [x[0] for x in sorted(found, key=lambda x: x[1:])] == list(range(1, len(found) + 1))
