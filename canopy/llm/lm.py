@@ -51,7 +51,7 @@ ROUNDS = [(100, 0.015, 96), (300, 0.01, 192), (600, 0.008, 192), (1000, 0.006, 1
 LEAST_WINDOWS = 128
 PARTS = 16
 #: Rows whose class scores are worked out at a time, so that they stay in the processor's cache.
-CACHED_ROWS = 1_024
+CACHED_ROWS = 512
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 
@@ -82,20 +82,12 @@ class Vocabulary:
 
 def _powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """e to the rows of x, which is overwritten, and the rows' sums. Scores of a bounded state never come near the bound of 60."""
-    np.exp(np.minimum(x, 60, out=x), out=x)
+    if x.size and x.max() > 60:
+        np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
     return x, x @ np.ones(x.shape[1], x.dtype)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x, total = _powers(x)
-    x /= total[:, None]
-    return x
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * 0.5) * 0.5 + 0.5
-
-
 class Network:
     """A gated recurrent unit with a class-factored softmax. Symbols are frequent words, then rare classes; START begins."""
 
@@ -122,99 +114,150 @@ class Network:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def states(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None, begins: np.ndarray | None = None) -> np.ndarray:
-        """inputs (steps, abreast) -> states after each step; keep collects what backpropagation needs.
+    def states(self, inputs: np.ndarray, h: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
+        """inputs (steps, abreast) -> states after each step. Where begins is true a document begins, and the state of the one before is dropped."""
+        return self._steps(self._drive(), inputs, h.T, begins)[0].transpose(0, 2, 1)
 
-        Where begins is true a document begins, and the state of the one before is dropped.
-        """
-        p, n = self.p, HIDDEN
-        drive = (p["embed"] @ p["inward"] + p["bias"])[inputs]
-        out = np.empty((*inputs.shape, n), np.float32)
-        for t in range(len(inputs)):
-            if begins is not None and begins[t].any():
-                h = h * ~begins[t][:, None]
-            gates = _sigmoid(drive[t, :, : 2 * n] + h @ p["gates"])
-            update, reset = gates[:, :n], gates[:, n:]
-            fresh = np.tanh(drive[t, :, 2 * n :] + (reset * h) @ p["fresh"])
-            if keep is not None:
-                keep.append((h, update, reset, fresh))
-            h = h + update * (fresh - h)
-            out[t] = h
-        return out
+    def _drive(self) -> np.ndarray:
+        """What each symbol adds to the gates, halved, and to the fresh state."""
+        drive = self.p["embed"] @ self.p["inward"] + self.p["bias"]
+        drive[:, : 2 * HIDDEN] *= 0.5
+        return drive
 
-    def by_class(self, classes: np.ndarray):
-        """For each frequent class that occurs, which rows have it."""
-        order = np.argsort(classes, kind="stable")
-        found, starts = np.unique(classes[order], return_index=True)
-        for c, rows in zip(found.tolist(), np.split(order, starts[1:]), strict=True):
-            if c < FREQUENT // CLASS_SIZE:
-                yield c, rows
+    def _steps(self, drive: np.ndarray, inputs: np.ndarray, h: np.ndarray, begins: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """From h (HIDDEN, abreast), for each step: states after and before it, both gates, fresh states.
+
+        Lanes come last, so that each gate lies in one piece. The gates are sigmoids, (1 + tanh(x / 2)) / 2.
+        """
+        n, (steps, lanes), kind = HIDDEN, inputs.shape, drive.dtype
+        to_gates, to_fresh = np.ascontiguousarray(self.p["gates"].T) * kind.type(0.5), np.ascontiguousarray(self.p["fresh"].T)
+        gates, fresh = np.split(np.ascontiguousarray(drive[inputs].transpose(0, 2, 1)), [2 * n], axis=1)
+        out, before = np.empty((steps, n, lanes), kind), np.empty((steps, n, lanes), kind)
+        gate_part, part = np.empty((2 * n, lanes), kind), np.empty((n, lanes), kind)
+        new = np.zeros(steps, bool) if begins is None else begins.any(1)
+        for t in range(steps):
+            held, gate, young, after = before[t], gates[t], fresh[t], out[t]
+            held[:] = h
+            if new[t]:
+                held *= ~begins[t]
+            np.matmul(to_gates, held, out=gate_part)
+            gate += gate_part
+            np.tanh(gate, out=gate)
+            gate *= 0.5
+            gate += 0.5
+            np.multiply(gate[n:], held, out=part)
+            np.matmul(to_fresh, part, out=after)
+            young += after
+            np.tanh(young, out=young)
+            np.subtract(young, held, out=after)
+            after *= gate[:n]
+            after += held
+            h = after
+        return out, before, gates, fresh
+
+    def by_class(self, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """Rows of frequent classes in the order of the classes, and the part of these that each class that occurs has."""
+        ends = np.cumsum([0, *np.bincount(classes, minlength=self.CLASSES)[: FREQUENT // CLASS_SIZE]]).tolist()
+        order = np.argsort(classes.astype(np.uint8), kind="stable")[: ends[-1]]
+        return order, [(c, slice(*x)) for c, x in enumerate(zip(ends[:-1], ends[1:], strict=True)) if x[0] < x[1]]
+
+    def _within(self, rows: np.ndarray, parts: list[tuple[int, slice]], weights: np.ndarray) -> np.ndarray:
+        """Scores of the words of each row's class; rows and weights as _rows and _weights give them."""
+        inner = np.empty((len(rows), CLASS_SIZE), rows.dtype)
+        for c, part in parts:
+            np.matmul(rows[part], weights[c], out=inner[part])
+        return inner
+
+    def _rows(self, states: np.ndarray) -> np.ndarray:
+        """States (any shape, HIDDEN) as rows that close with a one, which stands for the bias."""
+        rows = np.ones((*states.shape[:-1], HIDDEN + 1), np.result_type(states, self.p["to_class"]))
+        rows[..., :HIDDEN] = states
+        return rows.reshape(-1, HIDDEN + 1)
+
+    def _weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the classes and of the words in each, with the biases as last rows."""
+        p = self.p
+        return np.concatenate([p["to_class"], p["class_bias"][None]]), np.concatenate([p["to_word"], p["word_bias"][:, None]], 1)
 
     def log10_of(self, states: np.ndarray, targets: np.ndarray, rare_log10: np.ndarray) -> np.ndarray:
         """log10 probability of each target; rare_log10 is that of a rare word within its class."""
-        p, classes = self.p, self.class_of[targets]
-        out = np.empty(len(targets), states.dtype)
+        classes, rows, (to_class, to_word) = self.class_of[targets], self._rows(states), self._weights()
+        out, total = np.empty(len(targets), rows.dtype), np.empty(len(targets), rows.dtype)
         for at in range(0, len(targets), CACHED_ROWS):
             part = slice(at, at + CACHED_ROWS)
-            logits = states[part] @ p["to_class"]
-            logits += p["class_bias"]
-            out[part] = logits[np.arange(len(logits)), classes[part]] - np.log(_powers(logits)[1])
-        for c, own in self.by_class(classes):
-            inner = states[own] @ p["to_word"][c] + p["word_bias"][c]
-            out[own] += inner[np.arange(own.size), self.place[targets[own]]] - np.log(_powers(inner)[1])
+            logits = rows[part] @ to_class
+            out[part] = logits[np.arange(len(logits)), classes[part]]
+            total[part] = _powers(logits)[1]
+        out -= np.log(total)
+        own, parts = self.by_class(classes)
+        inner = self._within(rows[own], parts, to_word)
+        reached = inner[np.arange(own.size), self.place[targets[own]]]
+        out[own] += reached - np.log(_powers(inner)[1])
         return out.astype(np.float64) / np.log(10) + rare_log10
 
     def gradients(
         self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray, begins: np.ndarray | None = None
     ) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the mean cross-entropy over one window, and the state to carry on."""
-        p, n, keep = self.p, HIDDEN, []
-        out = self.states(inputs, h, keep, begins)
-        flat, goal, weight = out.reshape(-1, n), targets.ravel(), mask.ravel().astype(np.float32) / max(1, mask.sum())
-        classes = self.class_of[goal]
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        down = np.empty_like(flat)
+        p, n = self.p, HIDDEN
+        out, before, gates, fresh = self._steps(self._drive(), inputs, h.T, begins)
+        rows, goal, weight = self._rows(out.transpose(0, 2, 1)), targets.ravel(), mask.ravel().astype(np.float32) / max(1, mask.sum())
+        classes, (to_class, to_word) = self.class_of[goal], self._weights()
+        g, g_class, g_word = {k: np.zeros_like(v) for k, v in p.items()}, np.zeros_like(to_class), np.zeros_like(to_word)
+        down = np.empty((goal.size, n), rows.dtype)
+        # Errors stay multiples of the rows' sums of powers; the narrow matrices that they meet are divided by these instead.
         for at in range(0, goal.size, CACHED_ROWS):
             part = slice(at, at + CACHED_ROWS)
-            error = flat[part] @ p["to_class"]
-            error += p["class_bias"]
-            error = _softmax(error)
-            error[np.arange(len(error)), classes[part]] -= 1
-            error *= weight[part, None]
-            g["to_class"] += flat[part].T @ error
-            g["class_bias"] += error.sum(0)
-            down[part] = error @ p["to_class"].T
-        for c, own in self.by_class(classes):
-            inner = _softmax(flat[own] @ p["to_word"][c] + p["word_bias"][c])
-            inner[np.arange(own.size), self.place[goal[own]]] -= 1
-            inner *= weight[own, None]
-            g["to_word"][c], g["word_bias"][c] = flat[own].T @ inner, inner.sum(0)
-            down[own] += inner @ p["to_word"][c].T
-        down = down.reshape(out.shape)
-        drive = np.empty((*inputs.shape, 3 * n), np.float32)
-        back = np.zeros_like(h)
+            error, total = _powers(rows[part] @ to_class)
+            error[np.arange(len(error)), classes[part]] -= total
+            share = (weight[part] / total)[:, None]
+            g_class += (rows[part] * share).T @ error
+            np.multiply(error @ p["to_class"].T, share, out=down[part])
+        own, parts = self.by_class(classes)
+        picked, back = rows[own], np.empty((own.size, n), rows.dtype)
+        inner, total = _powers(self._within(picked, parts, to_word))
+        inner[np.arange(own.size), self.place[goal[own]]] -= total
+        share = (weight[own] / total)[:, None]
+        picked *= share
+        for c, part in parts:
+            g_word[c] = picked[part].T @ inner[part]
+            np.matmul(inner[part], p["to_word"][c].T, out=back[part])
+        back *= share
+        down[own] += back
+        g["to_class"], g["class_bias"], g["to_word"], g["word_bias"] = g_class[:n], g_class[n], g_word[:, :n], g_word[:, n]
+
+        down = np.ascontiguousarray(down.reshape(*inputs.shape, n).transpose(0, 2, 1))
+        update, reset = gates[:, :n], gates[:, n:]
+        stay, to_fresh = 1 - update, update * (1 - fresh * fresh)
+        to_update, to_reset = (fresh - before) * update * stay, before * reset * (1 - reset)
+        drive = np.empty((len(inputs), 3 * n, inputs.shape[1]), rows.dtype)
+        back, inward, part = np.zeros_like(down[0]), np.empty_like(down[0]), np.empty_like(down[0])
+        new = np.zeros(len(inputs), bool) if begins is None else begins.any(1)
         for t in range(len(inputs) - 1, -1, -1):
-            before, update, reset, fresh = keep[t]
-            d = down[t] + back
-            d_fresh = d * update * (1 - fresh**2)
-            inward = d_fresh @ p["fresh"].T
-            d_update = d * (fresh - before) * update * (1 - update)
-            d_reset = inward * before * reset * (1 - reset)
-            both = np.concatenate([d_update, d_reset], 1)
-            g["gates"] += before.T @ both
-            g["fresh"] += (reset * before).T @ d_fresh
-            back = d * (1 - update) + inward * reset + both @ p["gates"].T
-            if begins is not None and begins[t].any():
-                back = back * ~begins[t][:, None]
-            drive[t] = np.concatenate([both, d_fresh], 1)
-        rows = drive.reshape(-1, 3 * n)
-        g["bias"] = rows.sum(0)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        own, starts = np.unique(inputs.ravel()[order], return_index=True)
-        sums = np.add.reduceat(rows[order], starts)
+            d, both, d_fresh = down[t], drive[t, : 2 * n], drive[t, 2 * n :]
+            d += back
+            np.multiply(d, to_fresh[t], out=d_fresh)
+            np.matmul(p["fresh"], d_fresh, out=inward)
+            np.multiply(d, to_update[t], out=both[:n])
+            np.multiply(inward, to_reset[t], out=both[n:])
+            np.matmul(p["gates"], both, out=back)
+            back += np.multiply(d, stay[t], out=part)
+            back += np.multiply(inward, reset[t], out=part)
+            if new[t]:
+                back *= ~begins[t]
+        rows = np.ascontiguousarray(drive.transpose(0, 2, 1))
+        g["gates"] = np.matmul(before, rows[:, :, : 2 * n]).sum(0)
+        g["fresh"] = np.matmul(reset * before, rows[:, :, 2 * n :]).sum(0)
+        rows = rows.reshape(-1, 3 * n)
+        symbols = inputs.ravel().astype(np.uint16)
+        order = np.argsort(symbols, kind="stable")
+        symbols = symbols[order]
+        starts = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
+        own, sums = symbols[starts], np.add.reduceat(rows[order], starts)
+        g["bias"] = sums.sum(0)
         g["inward"] = p["embed"][own].T @ sums
         g["embed"][own] = sums @ p["inward"].T
-        return g, out[-1]
+        return g, out[-1].T
 
     def dump(self) -> bytes:
         file = io.BytesIO()
@@ -307,7 +350,10 @@ def train(texts: list[np.ndarray], epochs: int = EPOCHS, lanes: int = 64, rate:
     for t, k, at in zip(texts, lane, first, strict=True):
         inputs[at + 1 : at + len(t), k] = t[:-1]
         targets[at : at + len(t), k], mask[at : at + len(t), k], fresh[at, k] = t, True, True
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    weights = np.concatenate([v.ravel() for v in net.p.values()])
+    parts = np.split(weights, np.cumsum([v.size for v in net.p.values()])[:-1])
+    net.p = {k: x.reshape(v.shape) for (k, v), x in zip(net.p.items(), parts, strict=True)}  # views: a step on the weights is one on all
+    m, v = np.zeros_like(weights), np.zeros_like(weights)
     done, windows = 0, epochs * steps // WINDOW
     for _ in range(epochs):
         h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
@@ -316,62 +362,47 @@ def train(texts: list[np.ndarray], epochs: int = EPOCHS, lanes: int = 64, rate:
             grads, h = net.gradients(inputs[now], targets[now], mask[now], h[now[1]], fresh[now])
             done += 1
             step = rate * (1 - done / (windows + 1)) + 1e-4
-            norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
-            for k, g in grads.items():
-                g = g * min(1.0, 1.0 / (norm + 1e-9))
-                m, v = moment[k]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                net.p[k] = (net.p[k] - step * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.999**done)) + 1e-8)).astype(np.float32)
+            g = np.concatenate([grads[k].ravel() for k in net.p])
+            g *= min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-9))
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            weights -= step * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.999**done)) + 1e-8)
     return net
 
 
 def document_scores(net: Network, symbols: list[np.ndarray], rare_log10: list[np.ndarray], lanes: int = ABREAST, window: int = 64) -> np.ndarray:
     """log10 probability of each whole sequence."""
     lengths = np.array([len(s) for s in symbols], np.int64)
-    total = np.zeros(len(symbols))
-    lane, first, steps = abreast(lengths, lanes)
-    width = lane.max() + 1 if len(lane) else 0
-    by_lane: list[list[int]] = [[] for _ in range(width)]
-    for i in np.argsort(first, kind="stable"):
-        by_lane[lane[i]].append(int(i))
-    used = np.array([sum(lengths[i] for i in own) for own in by_lane], np.int64)
+    if not lengths.sum():
+        return np.zeros(len(symbols))
+    lane, first, _ = abreast(lengths, lanes)
+    used = np.bincount(lane, weights=lengths).astype(np.int64)
     order = np.argsort(-used, kind="stable")  # the longest lanes first, so that the lanes still running are a prefix
-    lanes_in = [by_lane[k] for k in order]
-    streams = [np.concatenate([symbols[i] for i in own]) for own in lanes_in]
-    inner = [np.concatenate([rare_log10[i] for i in own]) for own in lanes_in]
-    owner = [np.repeat(own, lengths[own]) for own in lanes_in]
-    used = used[order]
-    starts = [np.cumsum([0, *lengths[own][:-1]]) for own in lanes_in]
-    h = np.zeros((width, HIDDEN), np.float32)
-    for at in range(0, steps, window):
-        running = int((used > at).sum())
-        n = min(window, int(used[0]) - at)
-        inputs, targets = np.full((n, running), Network.START), np.zeros((n, running), np.int64)
-        extra, whose, mask = np.zeros((n, running)), np.zeros((n, running), np.int64), np.zeros((n, running), bool)
-        begins = np.zeros((n, running), bool)
-        for k in range(running):
-            part = slice(at, min(at + n, int(used[k])))
-            m = part.stop - at
-            targets[:m, k], extra[:m, k], whose[:m, k], mask[:m, k] = streams[k][part], inner[k][part], owner[k][part], True
-            if at:
-                inputs[0, k] = streams[k][at - 1]
-            inputs[1:m, k] = targets[: m - 1, k]
-            new = starts[k][np.searchsorted(starts[k], at) : np.searchsorted(starts[k], at + m)] - at
-            inputs[new, k], begins[new, k] = Network.START, True
-        out = np.empty((n, running, HIDDEN), np.float32)
-        state, done = h[:running], 0
-        for stop in [*np.flatnonzero(begins.any(1)).tolist(), n]:  # a lane that begins a document drops the state of the last
-            if stop > done:
-                out[done:stop] = net.states(inputs[done:stop], state)
-                state = out[stop - 1]
-                done = stop
-            if stop < n:
-                state = state * ~begins[stop][:, None]
-        h[:running] = state
-        logs = net.log10_of(out[mask], targets[mask], extra[mask])
-        total += np.bincount(whose[mask], weights=logs, minlength=len(symbols))
-    return total
+    lane, used = np.argsort(order, kind="stable")[lane], used[order]
+    running = len(used) - np.searchsorted(used[::-1], np.arange(used[0]), side="right")
+    offsets = np.concatenate([[0], np.cumsum(running)])
+    # Tokens lie step by step, and by lane in each: all lanes that run, without gaps.
+    owner, begun = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
+    place = offsets[np.arange(owner.size) + np.repeat(first - begun, lengths)] + lane[owner]
+    flat = np.concatenate(symbols)
+    begun = begun[lengths > 0]
+    targets, inputs, begins = np.empty(flat.size, np.int16), np.empty(flat.size, np.int16), np.zeros(flat.size, bool)
+    targets[place], inputs[place[1:]] = flat, flat[:-1]
+    inputs[place[begun]], begins[place[begun]] = Network.START, True
+    logs, drive, h = np.empty(flat.size), net._drive(), np.zeros((HIDDEN, len(used)), np.float32)
+    changes = np.flatnonzero(np.diff(running)) + 1
+    for at in range(0, len(running), window):
+        end = min(at + window, len(running))
+        stops = [at, *changes[np.searchsorted(changes, at, side="right") : np.searchsorted(changes, end)].tolist(), end]
+        out = []
+        for a, b in zip(stops[:-1], stops[1:], strict=True):
+            part, shape = slice(offsets[a], offsets[b]), (b - a, running[a])
+            states = net._steps(drive, inputs[part].reshape(shape), h[:, : running[a]], begins[part].reshape(shape))[0]
+            h = states[-1]
+            out.append(states.transpose(0, 2, 1).reshape(-1, HIDDEN))
+        part = slice(offsets[at], offsets[end])
+        logs[part] = net.log10_of(np.concatenate(out), targets[part], 0.0)
+    return np.bincount(owner, weights=logs[place] + np.concatenate(rare_log10), minlength=len(symbols))
 
 
 def _statistics(tokens: DataFrame):

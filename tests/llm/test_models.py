@@ -86,6 +86,34 @@ def test_lanes_and_windows_do_not_change_a_score():
         assert lm.document_scores(net, texts, zeros, lanes, window) == pytest.approx(alone, rel=1e-4)
 
 
+def test_symbols_are_projected_once_however_many_documents_begin():
+    """What every symbol adds to the gates is worked out once for all documents that are scored together."""
+    products = []
+
+    class Counted(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, **more):
+            products.extend([ufunc] * (ufunc is np.matmul))
+            return getattr(ufunc, method)(*[x.view(np.ndarray) if isinstance(x, Counted) else x for x in inputs], **more)
+
+    r = np.random.default_rng(4)
+    net = lm.Network(np.repeat(np.arange(lm.FREQUENT // lm.CLASS_SIZE), lm.CLASS_SIZE))
+    texts = [np.append(r.integers(0, lm.FREQUENT + lm.RARE, n), 0) for n in r.integers(0, 40, 100)]
+    zeros = [np.zeros(len(t)) for t in texts]
+    plain = lm.document_scores(net, texts, zeros, 8, 16)
+    net.p["embed"] = net.p["embed"].view(Counted)
+    assert lm.document_scores(net, texts, zeros, 8, 16) == pytest.approx(plain)
+    assert len(products) == 1
+
+
+def test_high_scores_stay_finite():
+    powers, total = lm._powers(np.array([[200, 0], [1, 2]], np.float32))
+    assert np.isfinite(powers).all() and total.tolist() == pytest.approx([math.exp(60) + 1, math.exp(1) + math.exp(2)], rel=1e-5)
+    net = lm.Network(np.repeat(np.arange(lm.FREQUENT // lm.CLASS_SIZE), lm.CLASS_SIZE))
+    targets = np.arange(6).reshape(3, 2)
+    grads, _ = net.gradients(targets, targets, np.zeros((3, 2), bool), np.zeros((2, lm.HIDDEN), np.float32))
+    assert not any(g.any() for g in grads.values())
+
+
 def test_lm_base_and_model(spark):
     r = np.random.default_rng(3)
     rows = []
