@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.operators import audits, brief, cluster, pairs, place, rollup, scores, tree
+from canopy.operators import audits, brief, cluster, pairs, place, ranked, rollup, scores, tree
 from canopy.sources.embed import embedded, hashing_embedder
 
 from .helpers import Tree
@@ -469,3 +469,50 @@ def test_report_holds_no_cached_tree_and_ranks_ties_by_pair(spark):
     nodes.unpersist()
     assert len({x[1:4] for x in found}) < len(found)
     assert [x[0] for x in sorted(found, key=lambda x: x[1:])] == list(range(1, len(found) + 1))
+
+
+def _copies():
+    """Units in files of two directories, many of them copies, with calls, companions, a pattern and types that units make."""
+    t = Tree()
+    t.dir("src", [1, 0, 0])
+    for d in "ab":
+        t.dir(f"src/{d}", [1, 0, 0])
+        for f in range(3):
+            path = f"src/{d}/f{f}.ts"
+            t.file(path, [1, 0.1 * f, 0], companion="c" if f == 1 else None)
+            if f == 2:
+                t.add("pattern", f"{path}/p", "p", [1, 0.2, 0.1], parent=f"file:{path}", depth=4)
+                t.add("function", f"{path}/p", f"{d}in", [1, 0.2, 0], parent=f"pattern:{path}/p", depth=5)
+            for u in range(7):
+                name = f"{d}{f}u{u}"
+                extra = {"calls": [f"{d}{f}u0", "bin"], "returns_type": f"{d}{f}t0", "residuals": [("merge-candidates", None)] if u == 5 else []}
+                t.fn(path, name, [1, 0, 0] if u < 3 else [1, 0.3 * u, 0.1 * f], util=d == "b" and f < 2, patterns=["P"] if u == 4 else [], **extra)
+                t.fn(path, f"{d}{f}t{u}", [1, 0.01 * u, 0.2], kind="type", companion="c" if u == 6 else None)
+    return t
+
+
+@pytest.mark.parametrize("name", ["duplicates", "util-duplicates", "merge-candidates"])
+@pytest.mark.parametrize(("block_rows", "range_pairs"), [(4_000, 4_000_000), (7, 10)])
+def test_pairs_are_ranked_in_blocks_and_ranges(spark, name, block_rows, range_pairs):
+    ctx = audits.Context(_copies().frame(spark), -0.5)
+    columns = ["key", "name", "hash", "parent_key", "pair_key", "pair_name", "ord"]
+    members, meets = audits.PAIRED[name](ctx)
+    rows = ranked.ranked_pairs(members, meets, [*columns, "value", "rank"], siblings=name == "merge-candidates", block_rows=block_rows, range_pairs=range_pairs).collect()
+    found = {tuple(r[c] for c in columns): r["value"] for r in rows}
+    want = {tuple(r[c] for c in columns): r["value"] for r in audits.REGISTRY[name].detect(ctx).collect()}
+    assert want and len(found) == len(rows) and found == pytest.approx(want)
+    order = sorted(rows, key=lambda r: (-r["value"], r["ord"], r["key"], r["pair_key"]))
+    assert len({r["value"] for r in rows}) < len(rows) and [r["rank"] for r in order] == list(range(1, len(rows) + 1))
+
+
+def test_report_sorts_no_pairs(spark):
+    rows = audits.report(audits.Context(_copies().frame(spark), -0.5), list(audits.PAIRED))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "parent_key" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    assert {r["audit"] for r in rows.select("audit").collect()} == set(audits.PAIRED)
+
+
+def test_cells_are_packed_with_gaps_of_any_width():
+    for cells in ([], [0], [5, 6, 65_540, 65_541, 131_075, 10**9], list(range(0, 10**6, 7))):
+        cells = np.array(cells, np.int64)
+        assert (ranked.unpacked(ranked.packed(cells), len(cells)) == cells).all()
